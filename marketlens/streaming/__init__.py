@@ -1,0 +1,6 @@
+"""Streaming.
+
+The analysis this library re-expresses is batch only: it has no streams,
+watermarks, event-time windows or stateful operators.  Nothing is
+implemented here on purpose; every operator is a batch DataFrame job.
+"""

@@ -81,4 +81,7 @@ class CteLibrary:
         if not order:
             return query.strip()
         ctes = ",\n".join(f"{n} AS (\n{self.bodies[n].strip()}\n)" for n in order)
-        return f"WITH {ctes}\n{query.strip()}"
+        body = query.strip()
+        if re.match(r"(?i)^WITH\s", body):
+            return f"WITH {ctes},\n{body[5:].lstrip()}"
+        return f"WITH {ctes}\n{body}"

@@ -25,3 +25,22 @@ TABLE_LABELS = {
     "category_translation": "product_category_name_translation",
     "geolocation": "geolocation",
 }
+
+# Repeat-purchase segments by delivered order count (1 / 2-3 / 4-6 / more).
+REPEAT_ONCE = "一次购买客户"          # one-time buyer
+REPEAT_LIGHT = "轻度复购客户"         # light repeat
+REPEAT_MEDIUM = "中度复购客户"        # medium repeat
+REPEAT_HEAVY = "高复购客户"           # heavy repeat
+
+# Seller segments, in precedence order.
+SELLER_SMALL_SAMPLE = "样本不足卖家"      # fewer than 5 delivered orders
+SELLER_CORE = "核心优质卖家"              # core high quality
+SELLER_HIGH_RISK = "高收入高风险卖家"      # high revenue, high risk
+SELLER_REPUTATION = "口碑潜力卖家"         # reputation potential
+SELLER_LOGISTICS = "物流重点优化卖家"      # logistics focus
+SELLER_STABLE = "稳定普通卖家"             # stable regular
+
+# Great-circle distance bands (upper bounds in km) and the earth radius.
+DISTANCE_BANDS = [(100, "0-99 km"), (500, "100-499 km"), (1000, "500-999 km"), (2000, "1000-1999 km")]
+DISTANCE_BAND_LAST = "2000 km 及以上"      # 2000 km and more
+EARTH_RADIUS_KM = 6371.0

@@ -44,3 +44,31 @@ SELLER_STABLE = "稳定普通卖家"             # stable regular
 DISTANCE_BANDS = [(100, "0-99 km"), (500, "100-499 km"), (1000, "500-999 km"), (2000, "1000-1999 km")]
 DISTANCE_BAND_LAST = "2000 km 及以上"      # 2000 km and more
 EARTH_RADIUS_KM = 6371.0
+
+# Weekday names (0 = Monday) and day types.
+WEEKDAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+WEEKEND = "Weekend"
+WEEKDAY = "Weekday"
+
+# Customer value tiers, in precedence order.
+TIER_HIGH_VALUE_REPEAT = "高价值复购客户"   # top payment quartile and frequency quartile >= 3
+TIER_HIGH_TICKET = "高客单价值客户"         # top payment quartile
+TIER_FREQUENT = "高频客户"                  # top frequency quartile
+TIER_LOW_ACTIVITY = "低活跃低消费客户"       # bottom payment and frequency quartiles
+TIER_REGULAR = "普通客户"                   # everyone else
+
+# RFM segments, in precedence order.
+RFM_BEST = "最佳客户"                # best
+RFM_LOYAL = "忠诚客户"               # loyal
+RFM_RECENT_BIG = "近期高消费客户"     # recent big spender
+RFM_WIN_BACK = "需要唤醒的老客户"     # needs win-back
+RFM_AT_RISK = "可能流失客户"          # probably lost
+RFM_REGULAR = "普通客户"             # regular
+
+# CLV segments by quartile 4, 3, 2, 1.
+CLV_SEGMENTS = {4: "高 CLV 客户", 3: "中高 CLV 客户", 2: "中低 CLV 客户", 1: "低 CLV 客户"}
+
+# Churn status by days since the last order (> 180, 90..180, else).
+CHURN_LOST = "可能流失"      # probably churned
+CHURN_RISK = "流失风险"      # churn risk
+CHURN_ACTIVE = "活跃"        # active

@@ -12,7 +12,6 @@ from marketlens.functions.ranking import global_ntile, global_rank
 from marketlens.operators import base
 from marketlens.sources.catalog import Tables
 
-ONE = F.lit(1)
 
 
 def delivered_order_preview(t: Tables, n: int = 20) -> DataFrame:
@@ -27,7 +26,7 @@ def delivered_order_preview(t: Tables, n: int = 20) -> DataFrame:
 def duplicate_order_grain(t: Tables) -> DataFrame:
     """Order ids appearing more than once in V04 (expected 0)."""
     dup = base.delivered_order_base(t).groupBy("order_id").count().where(F.col("count") > 1)
-    return dup.groupBy().agg(F.count(ONE).alias("duplicate_order_id_count"))
+    return dup.groupBy().agg(F.count("*").alias("duplicate_order_id_count"))
 
 
 def payment_fanout_audit(t: Tables) -> DataFrame:
@@ -39,7 +38,7 @@ def payment_fanout_audit(t: Tables) -> DataFrame:
     """
     correct = base.delivered_order_base(t).groupBy().agg(F.sum("total_payment_value").alias("correct_total_payment"))
     delivered = t.orders.where(F.col("order_status") == "delivered").select("order_id")
-    items = t.order_items.groupBy("order_id").agg(F.count(ONE).alias("n_items"))
+    items = t.order_items.groupBy("order_id").agg(F.count("*").alias("n_items"))
     pays = t.order_payments.groupBy("order_id").agg(msum("payment_value").alias("pay"))
     wrong = (delivered.join(pays, "order_id").join(items, "order_id")
              .groupBy().agg(F.sum((F.col("pay") * F.col("n_items")).cast("decimal(38,2)"))
@@ -119,10 +118,10 @@ def category_summary(t: Tables) -> DataFrame:
     dob = base.delivered_order_base(t).select("order_id", "avg_review_score", "late_delivery_flag")
     ocb = (_items_with_category(t, L.UNCATEGORIZED).join(dob, "order_id")
            .groupBy("order_id", "product_category", "avg_review_score", "late_delivery_flag")
-           .agg(F.count(ONE).alias("item_row_count"), msum("price").alias("category_product_gmv"),
+           .agg(F.count("*").alias("item_row_count"), msum("price").alias("category_product_gmv"),
                 msum("freight_value").alias("category_freight_value")))
     return (ocb.groupBy("product_category").agg(
-        F.count(ONE).alias("order_category_count"),
+        F.count("*").alias("order_category_count"),
         F.sum("item_row_count").alias("item_row_count"),
         F.sum("category_product_gmv").alias("product_gmv"),
         F.sum("category_freight_value").alias("freight_value"),
@@ -140,7 +139,7 @@ def products_above_avg_gmv(t: Tables, n: int = 50) -> DataFrame:
     ps = (_items_with_category(t, L.UNCATEGORIZED).join(delivered, "order_id", "left_semi")
           .groupBy("product_id", "product_category").agg(
               F.countDistinct("order_id").alias("delivered_order_count"),
-              F.count(ONE).alias("item_row_count"),
+              F.count("*").alias("item_row_count"),
               msum("price").alias("product_gmv"), msum("freight_value").alias("freight_value")))
     avg = ps.groupBy().agg(avg6("product_gmv", 2).alias("avg_product_gmv"))
     return (ps.crossJoin(F.broadcast(avg)).where(F.col("product_gmv") > F.col("avg_product_gmv"))
@@ -154,7 +153,7 @@ def customer_repeat_segments(t: Tables) -> DataFrame:
            .when(n.between(4, 6), L.REPEAT_MEDIUM).otherwise(L.REPEAT_HEAVY))
     cs = base.customer_summary(t).withColumn("customer_segment", seg)
     return (cs.groupBy("customer_segment").agg(
-        F.count(ONE).alias("customer_count"),
+        F.count("*").alias("customer_count"),
         F.sum("total_payment_value").alias("total_payment_value"),
         avg6("total_payment_value", 2).alias("avg_customer_value"),
         avg6(F.col("avg_payment_per_order").cast("decimal(18,2)"), 2).alias("avg_order_payment"),
@@ -212,7 +211,7 @@ def seller_segments(t: Tables, n: int = 200) -> DataFrame:
 def seller_segment_summary(t: Tables) -> DataFrame:
     """A13."""
     return (_seller_scored(t).groupBy("seller_segment").agg(
-        F.count(ONE).alias("seller_count"),
+        F.count("*").alias("seller_count"),
         F.sum("delivered_order_count").alias("delivered_order_count"),
         F.sum("seller_product_gmv").alias("seller_product_gmv"),
         avg6(base.review2("avg_review_score"), 2).alias("avg_review_score"),
@@ -256,7 +255,7 @@ def distance_band_delivery(t: Tables) -> DataFrame:
         band = F.when(F.col("km") < upper, label) if band is None else band.when(F.col("km") < upper, label)
     band = band.otherwise(L.DISTANCE_BAND_LAST)
     return (d.withColumn("distance_band", band).groupBy("distance_band").agg(
-        F.count(ONE).alias("seller_order_count"),
+        F.count("*").alias("seller_order_count"),
         avg6(F.col("km").cast("decimal(18,2)"), 2).alias("avg_estimated_distance_km"),
         avg6("purchase_to_delivery_days").alias("avg_delivery_days"),
         avg6("delivery_delay_days").alias("avg_delay_days"),

@@ -16,7 +16,6 @@ from marketlens.functions.columns import (
 )
 from marketlens.sources.catalog import Tables
 
-ONE = F.lit(1)
 
 
 def review2(c) -> "F.Column":
@@ -37,14 +36,14 @@ def geolocation_zip_prefix(t: Tables) -> DataFrame:
         avg15("geolocation_lng").alias("avg_geolocation_lng"),
         F.max("geolocation_city").alias("example_city"),
         F.max("geolocation_state").alias("example_state"),
-        F.count(ONE).alias("source_row_count"),
+        F.count("*").alias("source_row_count"),
     )
 
 
 def order_payment(t: Tables) -> DataFrame:
     """Payments at order grain."""
     return t.order_payments.groupBy("order_id").agg(
-        F.count(ONE).alias("payment_record_count"),
+        F.count("*").alias("payment_record_count"),
         F.countDistinct("payment_type").alias("payment_type_count"),
         F.max(F.coalesce("payment_installments", F.lit(0))).alias("max_payment_installments"),
         msum("payment_value").alias("total_payment_value"),
@@ -56,7 +55,7 @@ def order_item_summary(t: Tables) -> DataFrame:
     price0 = F.coalesce("price", F.lit(0))
     freight0 = F.coalesce("freight_value", F.lit(0))
     return t.order_items.groupBy("order_id").agg(
-        F.count(ONE).alias("item_row_count"),
+        F.count("*").alias("item_row_count"),
         F.countDistinct("product_id").alias("product_count"),
         F.countDistinct("seller_id").alias("seller_count"),
         msum("price").alias("product_gmv"),
@@ -69,7 +68,7 @@ def order_review_score(t: Tables) -> DataFrame:
     """Reviews at order grain; the score average is exact decimal(38,6)."""
     return t.order_reviews.groupBy("order_id").agg(
         avg6("review_score").alias("avg_review_score"),
-        F.count(ONE).alias("review_row_count"),
+        F.count("*").alias("review_row_count"),
         F.countDistinct("review_id").alias("review_id_count"),
         F.max("review_creation_date").alias("latest_review_creation_date"),
         F.max("review_answer_timestamp").alias("latest_review_answer_timestamp"),
@@ -136,7 +135,7 @@ def order_seller_base(t: Tables) -> DataFrame:
     the (smaller) aggregated side.
     """
     agg = t.order_items.groupBy("order_id", "seller_id").agg(
-        F.count(ONE).alias("seller_item_row_count"),
+        F.count("*").alias("seller_item_row_count"),
         F.countDistinct("product_id").alias("seller_product_count"),
         msum("price").alias("seller_product_gmv"),
         msum("freight_value").alias("seller_freight_value"),
@@ -173,7 +172,7 @@ def monthly_business(t: Tables, dob: DataFrame | None = None) -> DataFrame:
     """Delivered-order KPIs per purchase month."""
     dob = dob if dob is not None else delivered_order_base(t)
     return dob.groupBy("order_year", "order_month", "order_month_start").agg(
-        F.count(ONE).alias("delivered_order_count"),
+        F.count("*").alias("delivered_order_count"),
         F.countDistinct("customer_unique_id").alias("buyer_count"),
         F.sum("total_payment_value").alias("total_payment_value"),
         F.sum("product_gmv").alias("product_gmv"),
@@ -193,7 +192,7 @@ def customer_summary(t: Tables, dob: DataFrame | None = None) -> DataFrame:
     """
     dob = dob if dob is not None else delivered_order_base(t)
     return dob.where(F.col("customer_unique_id").isNotNull()).groupBy("customer_unique_id").agg(
-        F.count(ONE).alias("delivered_order_count"),
+        F.count("*").alias("delivered_order_count"),
         F.sum("total_payment_value").alias("total_payment_value"),
         F.sum("product_gmv").alias("product_gmv"),
         F.sum("freight_value").alias("freight_value"),
@@ -211,7 +210,7 @@ def seller_summary(t: Tables, soa: DataFrame | None = None) -> DataFrame:
     """One row per seller; (order_id, seller_id) is unique in V06."""
     soa = soa if soa is not None else seller_order_analysis(t)
     return soa.groupBy("seller_id", "seller_city", "seller_state").agg(
-        F.count(ONE).alias("delivered_order_count"),
+        F.count("*").alias("delivered_order_count"),
         F.countDistinct("customer_unique_id").alias("buyer_count"),
         F.sum("seller_item_row_count").alias("seller_item_row_count"),
         F.sum("seller_product_gmv").alias("seller_product_gmv"),

@@ -15,7 +15,6 @@ from marketlens.functions.columns import avg6, category_label, days_between, mon
 from marketlens.functions.labels import DELAYED, NOT_DELAYED, TABLE_LABELS, UNCATEGORIZED
 from marketlens.sources.catalog import Tables
 
-ONE = F.lit(1)
 
 PREVIEW_ORDER = {
     "customers": ["customer_id"],
@@ -32,7 +31,7 @@ PREVIEW_ORDER = {
 def table_row_counts(t: Tables, include_translation: bool = True) -> DataFrame:
     """Q01: (table_name, row_count) for the base tables, one scan each, one job."""
     names = [n for n in TABLE_LABELS if include_translation or n != "category_translation"]
-    parts = [t[n].groupBy().agg(F.count(ONE).alias("row_count"))
+    parts = [t[n].groupBy().agg(F.count("*").alias("row_count"))
              .select(F.lit(TABLE_LABELS[n]).alias("table_name"), "row_count") for n in names]
     out = parts[0]
     for p in parts[1:]:
@@ -47,9 +46,9 @@ def table_preview(t: Tables, table: str, n: int = 10) -> DataFrame:
 
 def orders_vs_items_count(t: Tables) -> DataFrame:
     """Q02: two counts; the column takes the first branch's name."""
-    a = t.orders.groupBy().agg(F.count(ONE).alias("total_orders")).select(
+    a = t.orders.groupBy().agg(F.count("*").alias("total_orders")).select(
         F.lit("orders").alias("table_name"), "total_orders")
-    b = t.order_items.groupBy().agg(F.count(ONE).alias("total_orders")).select(
+    b = t.order_items.groupBy().agg(F.count("*").alias("total_orders")).select(
         F.lit("order_items").alias("table_name"), "total_orders")
     return a.unionAll(b)
 
@@ -58,7 +57,7 @@ def distinct_orders_in_items(t: Tables) -> DataFrame:
     """Q03."""
     return t.order_items.groupBy().agg(
         F.countDistinct("order_id").alias("distinct_orders_in_order_items"),
-        F.count(ONE).alias("item_row_count"))
+        F.count("*").alias("item_row_count"))
 
 
 def distinct_customer_states(t: Tables) -> DataFrame:
@@ -134,7 +133,7 @@ def _items_category(t: Tables, default: str = UNCATEGORIZED) -> DataFrame:
 def top_categories_by_orders(t: Tables, n: int = 10) -> DataFrame:
     """Q11."""
     return (_items_category(t).groupBy("product_category").agg(
-        F.countDistinct("order_id").alias("order_count"), F.count(ONE).alias("item_row_count"))
+        F.countDistinct("order_id").alias("order_count"), F.count("*").alias("item_row_count"))
         .orderBy(F.col("order_count").desc(), F.col("item_row_count").desc(), "product_category").limit(n))
 
 
@@ -153,7 +152,7 @@ def category_sales_in_seller_state(t: Tables, state: str, n: int = 50) -> DataFr
     s = t.sellers.where(F.col("seller_state") == state).select("seller_id", "seller_state")
     items = _items_category(t).join(s, "seller_id")
     return (items.groupBy("seller_state", "product_category").agg(
-        F.countDistinct("order_id").alias("order_count"), F.count(ONE).alias("item_row_count"),
+        F.countDistinct("order_id").alias("order_count"), F.count("*").alias("item_row_count"),
         msum("price").alias("total_item_price"), msum("freight_value").alias("total_freight"))
         .orderBy(F.col("order_count").desc(), F.col("item_row_count").desc(), "product_category").limit(n))
 
@@ -163,7 +162,7 @@ def five_star_customers(t: Tables, n: int = 100) -> DataFrame:
     r = t.order_reviews.where(F.col("review_score") == 5).select("order_id")
     return (r.join(t.orders.select("order_id", "customer_id"), "order_id").join(t.customers, "customer_id")
             .groupBy("customer_unique_id", "customer_city", "customer_state")
-            .agg(F.count(ONE).alias("five_star_review_count"))
+            .agg(F.count("*").alias("five_star_review_count"))
             .orderBy(F.col("five_star_review_count").desc(), "customer_state", "customer_city",
                      "customer_unique_id").limit(n))
 
@@ -171,7 +170,7 @@ def five_star_customers(t: Tables, n: int = 100) -> DataFrame:
 def _seller_items(t: Tables) -> DataFrame:
     """Items aggregated per seller first, then joined to sellers (seller_id is the key)."""
     return t.order_items.groupBy("seller_id").agg(
-        F.countDistinct("order_id").alias("order_count"), F.count(ONE).alias("item_row_count"),
+        F.countDistinct("order_id").alias("order_count"), F.count("*").alias("item_row_count"),
         msum("price").alias("total_item_price"), msum("freight_value").alias("total_freight"),
         avg6("price", 2).alias("avg_item_price"))
 
@@ -187,14 +186,14 @@ def top_sellers_by_orders(t: Tables, n: int = 5) -> DataFrame:
 
 def order_status_counts(t: Tables) -> DataFrame:
     """Q16."""
-    return (t.orders.groupBy("order_status").agg(F.count(ONE).alias("order_count"))
+    return (t.orders.groupBy("order_status").agg(F.count("*").alias("order_count"))
             .orderBy(F.col("order_count").desc(), "order_status"))
 
 
 def largest_orders_by_items(t: Tables, n: int = 20) -> DataFrame:
     """Q17."""
     return (t.order_items.groupBy("order_id").agg(
-        F.count(ONE).alias("item_row_count"), msum("price").alias("order_items_price"),
+        F.count("*").alias("item_row_count"), msum("price").alias("order_items_price"),
         msum("freight_value").alias("order_items_freight"))
         .orderBy(F.col("item_row_count").desc(), "order_id").limit(n))
 
@@ -202,7 +201,7 @@ def largest_orders_by_items(t: Tables, n: int = 20) -> DataFrame:
 def order_payment_summary(t: Tables, n: int = 20) -> DataFrame:
     """Q18: orders left-joined to payments aggregated per order."""
     p = t.order_payments.groupBy("order_id").agg(
-        msum("payment_value").alias("total_payment"), F.count(ONE).alias("payment_row_count"))
+        msum("payment_value").alias("total_payment"), F.count("*").alias("payment_row_count"))
     return (t.orders.join(p, "order_id", "left")
             .select("order_id", "order_purchase_timestamp", "order_status", "payment_row_count", "total_payment")
             .orderBy(F.col("total_payment").desc_nulls_last(), "order_id").limit(n))
@@ -228,7 +227,7 @@ def monthly_orders_payment(t: Tables) -> DataFrame:
     o = t.orders.where(F.col("order_purchase_timestamp").isNotNull())
     return (o.join(p, "order_id", "left")
             .groupBy(month_start("order_purchase_timestamp").alias("order_month"))
-            .agg(F.count(ONE).alias("order_count"),
+            .agg(F.count("*").alias("order_count"),
                  F.sum(F.coalesce("total_payment", F.lit(0))).alias("total_payment"))
             .orderBy("order_month"))
 
@@ -236,7 +235,7 @@ def monthly_orders_payment(t: Tables) -> DataFrame:
 def category_revenue(t: Tables, n: int = 20) -> DataFrame:
     """Q21."""
     return (_items_category(t).groupBy("product_category").agg(
-        F.countDistinct("order_id").alias("order_count"), F.count(ONE).alias("item_row_count"),
+        F.countDistinct("order_id").alias("order_count"), F.count("*").alias("item_row_count"),
         msum("price").alias("total_item_price"), msum("freight_value").alias("total_freight"),
         avg6("price", 2).alias("avg_item_price"))
         .orderBy(F.col("total_item_price").desc(), F.col("order_count").desc(), "product_category").limit(n))
@@ -278,7 +277,7 @@ def review_score_by_delay(t: Tables) -> DataFrame:
     r = (t.order_reviews.where(F.col("review_score").isNotNull()).groupBy("order_id")
          .agg(avg6("review_score").alias("avg_review_score")))
     return (d.join(r, "order_id").groupBy("delayed_flag")
-            .agg(F.count(ONE).alias("reviewed_order_count"), avg6("avg_review_score", 6).alias("avg_review_score"))
+            .agg(F.count("*").alias("reviewed_order_count"), avg6("avg_review_score", 6).alias("avg_review_score"))
             .orderBy("delayed_flag"))
 
 
@@ -287,7 +286,7 @@ def state_flow_freight(t: Tables, n: int = 50) -> DataFrame:
     oc = t.orders.select("order_id", "customer_id").join(t.customers.select("customer_id", "customer_state"), "customer_id")
     return (t.order_items.join(oc, "order_id").join(t.sellers.select("seller_id", "seller_state"), "seller_id")
             .groupBy("customer_state", "seller_state").agg(
-                F.countDistinct("order_id").alias("order_count"), F.count(ONE).alias("item_row_count"),
+                F.countDistinct("order_id").alias("order_count"), F.count("*").alias("item_row_count"),
                 msum("freight_value").alias("total_freight"), avg6("freight_value", 2).alias("avg_freight"))
             .orderBy(F.col("order_count").desc(), F.col("item_row_count").desc(), "customer_state", "seller_state")
             .limit(n))

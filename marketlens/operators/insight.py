@@ -18,26 +18,26 @@ from marketlens.functions.ranking import global_ntile, stable
 from marketlens.operators import base
 from marketlens.sources.catalog import Tables
 
-ONE = F.lit(1)
-D100 = F.lit(Decimal("100.0"))
+def _d100():
+    return F.lit(Decimal("100.0"))
 
 
 def growth_pct(cur, prev) -> "F.Column":
     """ROUND(100.0 * (cur - prev) / NULLIF(prev, 0), 2) on decimals."""
     cur, prev = F.col(cur), F.col(prev)
-    return F.round(D100 * (cur - prev) / F.nullif(prev, F.lit(0)), 2).cast("decimal(38,2)")
+    return F.round(_d100() * (cur - prev) / F.nullif(prev, F.lit(0)), 2).cast("decimal(38,2)")
 
 
 def share_pct(part, total) -> "F.Column":
     """ROUND(100.0 * part / NULLIF(total, 0), 2) for integer counts."""
-    return F.round(D100 * part / F.nullif(total, F.lit(0)), 2).cast("decimal(38,2)")
+    return F.round(_d100() * part / F.nullif(total, F.lit(0)), 2).cast("decimal(38,2)")
 
 
 def kpi_snapshot(t: Tables) -> DataFrame:
     """One KPI row; the seller count is a one-row aggregate cross joined."""
     dob = base.delivered_order_base(t)
     k = dob.groupBy().agg(
-        F.count(ONE).alias("delivered_order_count"),
+        F.count("*").alias("delivered_order_count"),
         F.countDistinct("customer_unique_id").alias("buyer_count"),
         F.sum("total_payment_value").alias("total_payment_value"),
         F.sum("product_gmv").alias("product_gmv"),
@@ -49,7 +49,7 @@ def kpi_snapshot(t: Tables) -> DataFrame:
         avg6("late_delivery_flag").alias("late_delivery_rate"),
         F.min("order_purchase_timestamp").alias("first_order_time"),
         F.max("order_purchase_timestamp").alias("last_order_time"))
-    sellers = base.seller_summary(t).groupBy().agg(F.count(ONE).alias("seller_count"))
+    sellers = base.seller_summary(t).groupBy().agg(F.count("*").alias("seller_count"))
     return k.crossJoin(sellers).select(
         "delivered_order_count", "buyer_count", "seller_count", "total_payment_value", "product_gmv",
         "freight_value", "avg_payment_per_order", "avg_product_gmv_per_order", "avg_review_score",
@@ -74,7 +74,7 @@ def category_seller_region_gmv(t: Tables) -> DataFrame:
     d = _delivered_items_categorised(t).join(c, "customer_id").join(s, "seller_id", "left")
     return d.groupBy("product_category_name", "product_category_name_english", "seller_id", "seller_state",
                      "seller_city", "customer_region").agg(
-        F.count(ONE).alias("sold_item_row_count"),
+        F.count("*").alias("sold_item_row_count"),
         F.countDistinct("order_id").alias("delivered_order_count"),
         F.countDistinct("customer_unique_id").alias("buyer_count"),
         msum_nullable("price").alias("product_gmv"),
@@ -99,7 +99,7 @@ def monthly_category_gmv(t: Tables) -> DataFrame:
     return d.groupBy(F.year(pt).alias("order_year"), F.month(pt).alias("order_month"),
                      month_start(pt).alias("order_month_start"),
                      "product_category_name", "product_category_name_english").agg(
-        F.count(ONE).alias("sold_item_row_count"),
+        F.count("*").alias("sold_item_row_count"),
         F.countDistinct("order_id").alias("delivered_order_count"),
         msum_nullable("price").alias("product_gmv"),
         msum_nullable("freight_value").alias("freight_value"))
@@ -117,7 +117,7 @@ def monthly_business_trend(t: Tables, dob: DataFrame | None = None) -> DataFrame
     dob = dob if dob is not None else base.delivered_order_base(t)
     return dob.where(F.col("order_month_start").isNotNull()).groupBy(
         "order_year", "order_month", "order_month_start").agg(
-        F.count(ONE).alias("delivered_order_count"),
+        F.count("*").alias("delivered_order_count"),
         F.countDistinct("customer_unique_id").alias("buyer_count"),
         F.sum("total_payment_value").alias("total_payment_value"),
         F.sum("product_gmv").alias("product_gmv"),
@@ -131,7 +131,7 @@ def monthly_business_trend(t: Tables, dob: DataFrame | None = None) -> DataFrame
 def yoy_growth(t: Tables) -> DataFrame:
     """Yearly totals with LAG over the (few) year rows."""
     y = (base.delivered_order_base(t).where(F.col("order_year").isNotNull()).groupBy("order_year").agg(
-        F.count(ONE).alias("delivered_order_count"),
+        F.count("*").alias("delivered_order_count"),
         F.sum("total_payment_value").alias("total_payment_value"),
         F.sum("product_gmv").alias("product_gmv")))
     w = Window.orderBy("order_year")
@@ -153,7 +153,7 @@ def weekday_vs_weekend(t: Tables) -> DataFrame:
         name = F.when(F.col("__wd") == i, nm) if name is None else name.when(F.col("__wd") == i, nm)
     return d.groupBy((F.col("__wd") + 1).alias("weekday_number_monday_1"), name.alias("weekday_name_en"),
                      F.when(F.col("__wd").isin(5, 6), L.WEEKEND).otherwise(L.WEEKDAY).alias("day_type")).agg(
-        F.count(ONE).alias("delivered_order_count"),
+        F.count("*").alias("delivered_order_count"),
         F.countDistinct("customer_unique_id").alias("buyer_count"),
         F.sum("total_payment_value").alias("total_payment_value"),
         F.sum("product_gmv").alias("product_gmv"),
@@ -267,7 +267,7 @@ def customer_churn(t: Tables) -> DataFrame:
 def churn_summary(t: Tables) -> DataFrame:
     """B11."""
     return (customer_churn(t).groupBy("churn_status").agg(
-        F.count(ONE).alias("customer_count"),
+        F.count("*").alias("customer_count"),
         F.sum("total_payment_value").alias("total_payment_value"),
         avg6("days_since_last_order").alias("avg_days_since_last_order"))
         .orderBy(F.col("customer_count").desc(), "churn_status"))
@@ -276,7 +276,7 @@ def churn_summary(t: Tables) -> DataFrame:
 def region_delivery_insight(t: Tables) -> DataFrame:
     """B12."""
     return (base.delivered_order_base(t).groupBy(F.col("customer_state").alias("customer_region")).agg(
-        F.count(ONE).alias("delivered_order_count"),
+        F.count("*").alias("delivered_order_count"),
         F.countDistinct("customer_unique_id").alias("buyer_count"),
         F.sum("total_payment_value").alias("total_payment_value"),
         F.sum("product_gmv").alias("product_gmv"),
@@ -306,7 +306,7 @@ def seller_category_delivery_risk(t: Tables) -> DataFrame:
          .otherwise(0).alias("late_delivery_flag")).distinct())
     return osc.groupBy("seller_id", "seller_state", "customer_state", "product_category_name",
                        "product_category_name_english").agg(
-        F.count(ONE).alias("delivered_order_count"),
+        F.count("*").alias("delivered_order_count"),
         avg6("delivery_days").alias("avg_delivery_days"),
         avg6("delay_days").alias("avg_delay_days"),
         avg6("late_delivery_flag").alias("late_delivery_rate"))
@@ -343,7 +343,7 @@ def cross_sell_product_pairs(t: Tables) -> DataFrame:
     a = op.select("order_id", F.col("product_id").alias("product_a"))
     b = op.select("order_id", F.col("product_id").alias("product_b"))
     pairs = (a.join(b, "order_id").where(F.col("product_a") < F.col("product_b"))
-             .groupBy("product_a", "product_b").agg(F.count(ONE).alias("co_purchase_order_count")))
+             .groupBy("product_a", "product_b").agg(F.count("*").alias("co_purchase_order_count")))
     return (pairs.join(_category_labels(t, "a"), "product_a", "left")
             .join(_category_labels(t, "b"), "product_b", "left")
             .select("product_a",
@@ -369,7 +369,7 @@ def cross_sell_category_pairs(t: Tables) -> DataFrame:
     a = oc.select("order_id", F.col("category_name").alias("category_a"))
     b = oc.select("order_id", F.col("category_name").alias("category_b"))
     return (a.join(b, "order_id").where(F.col("category_a") < F.col("category_b"))
-            .groupBy("category_a", "category_b").agg(F.count(ONE).alias("co_purchase_order_count")))
+            .groupBy("category_a", "category_b").agg(F.count("*").alias("co_purchase_order_count")))
 
 
 def cross_sell_category_top(t: Tables, n: int = 100) -> DataFrame:
@@ -390,11 +390,11 @@ def seller_retention(t: Tables) -> DataFrame:
     ret = F.sum(F.when(F.col("delivered_order_count") > 1, 1).otherwise(0))
     lng = F.sum(F.when(F.col("retention_days") >= 90, 1).otherwise(0))
     return (scs.join(ss, "seller_id", "left").groupBy("seller_id", "seller_state", "seller_city").agg(
-        F.count(ONE).alias("total_customers"),
+        F.count("*").alias("total_customers"),
         ret.alias("returning_customers"),
         lng.alias("long_term_retained_customers"),
-        share_pct(ret, F.count(ONE)).alias("returning_customer_rate_percent"),
-        share_pct(lng, F.count(ONE)).alias("long_term_retention_rate_percent"),
+        share_pct(ret, F.count("*")).alias("returning_customer_rate_percent"),
+        share_pct(lng, F.count("*")).alias("long_term_retention_rate_percent"),
         avg6("delivered_order_count").alias("avg_orders_per_customer"),
         avg6("retention_days").alias("avg_retention_days")))
 

@@ -17,7 +17,6 @@ from marketlens.functions import labels as L
 from marketlens.sources import schemas
 from marketlens.sources.catalog import Tables
 
-ONE = F.lit(1)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -33,7 +32,7 @@ def staging_row_counts(spark: SparkSession, prefix: str = "stg_") -> DataFrame:
     names = sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(prefix))
     if not names:
         return spark.createDataFrame([], "table_name string, row_count long")
-    return _union([spark.table(n).groupBy().agg(F.count(ONE).alias("row_count"))
+    return _union([spark.table(n).groupBy().agg(F.count("*").alias("row_count"))
                    .select(F.lit(n).alias("table_name"), "row_count") for n in names]).orderBy("table_name")
 
 
@@ -42,7 +41,7 @@ def reconcile_row_counts(t: Tables, expected: dict[str, int] | None = None) -> D
     expected = expected or L.EXPECTED_ROWS
     order = ["customers", "orders", "products", "sellers", "category_translation", "order_items",
              "order_payments", "order_reviews", "geolocation"]
-    return _union([t[n].groupBy().agg(F.count(ONE).alias("actual_rows")).select(
+    return _union([t[n].groupBy().agg(F.count("*").alias("actual_rows")).select(
         F.lit(L.TABLE_LABELS[n]).alias("table_name"), "actual_rows",
         F.lit(expected[n]).cast("int").alias("expected_rows")) for n in order])
 
@@ -51,7 +50,7 @@ def duplicate_keys(t: Tables) -> DataFrame:
     """Single-column keys used more than once."""
     checks = [("customers", "customer_id"), ("orders", "order_id"), ("products", "product_id"),
               ("sellers", "seller_id")]
-    return _union([t[tb].groupBy(F.col(k).alias("key_value")).agg(F.count(ONE).alias("duplicate_count"))
+    return _union([t[tb].groupBy(F.col(k).alias("key_value")).agg(F.count("*").alias("duplicate_count"))
                    .where(F.col("duplicate_count") > 1)
                    .select(F.lit(L.TABLE_LABELS[tb]).alias("table_name"), "key_value", "duplicate_count")
                    for tb, k in checks])
@@ -59,7 +58,7 @@ def duplicate_keys(t: Tables) -> DataFrame:
 
 def repeated_review_ids(t: Tables) -> DataFrame:
     """Review ids attached to more than one row."""
-    return (t.order_reviews.groupBy("review_id").agg(F.count(ONE).alias("rows_with_same_review_id"))
+    return (t.order_reviews.groupBy("review_id").agg(F.count("*").alias("rows_with_same_review_id"))
             .where(F.col("rows_with_same_review_id") > 1)
             .orderBy(F.col("rows_with_same_review_id").desc(), "review_id"))
 
@@ -83,7 +82,7 @@ def orphan_counts(t: Tables) -> DataFrame:
         (t.order_reviews, "order_id", t.orders, "order_id", False),
         (t.products, "product_category_name", t.category_translation, "product_category_name", True),
     ]
-    return _union([_orphans(*s).groupBy().agg(F.count(ONE).alias("orphan_count"))
+    return _union([_orphans(*s).groupBy().agg(F.count("*").alias("orphan_count"))
                    .select(F.lit(name).alias("check_name"), "orphan_count")
                    for name, s in zip(L.ORPHAN_CHECKS, specs)])
 
@@ -98,7 +97,7 @@ def primary_key_contract(t: Tables) -> DataFrame:
     for table, keys in schemas.PRIMARY_KEYS.items():
         not_null = [n for n, _, nn in schemas.SILVER_COLUMNS[table] if nn]
         null_any = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in set(keys) | set(not_null)])
-        g = t[table].groupBy(*keys).agg(F.count(ONE).alias("__n"), _count_if(null_any).alias("__nulls"))
+        g = t[table].groupBy(*keys).agg(F.count("*").alias("__n"), _count_if(null_any).alias("__nulls"))
         frames.append(g.groupBy().agg(
             F.coalesce(F.sum("__nulls"), F.lit(0)).cast("long").alias("null_key_rows"),
             _count_if(F.col("__n") > 1).alias("duplicate_key_groups"))
@@ -110,7 +109,7 @@ def primary_key_contract(t: Tables) -> DataFrame:
 
 def foreign_key_contract(t: Tables) -> DataFrame:
     """Declared foreign keys; a NULL reference is allowed, a dangling one is a violation."""
-    return _union([_orphans(t[c], cc, t[p], pc, True).groupBy().agg(F.count(ONE).alias("violation_count"))
+    return _union([_orphans(t[c], cc, t[p], pc, True).groupBy().agg(F.count("*").alias("violation_count"))
                    .select(F.lit(L.TABLE_LABELS[c]).alias("child_table"), F.lit(cc).alias("child_column"),
                            F.lit(L.TABLE_LABELS[p]).alias("parent_table"), "violation_count")
                    for c, cc, p, pc in schemas.FOREIGN_KEYS])
@@ -126,8 +125,8 @@ def data_quality_counts(t: Tables) -> list:
         _count_if(delivered & F.col("order_delivered_carrier_date").isNull()).alias("c1"),
         _count_if(pt.isNotNull() & ap.isNotNull() & (ap < pt)).alias("c12"),
         _count_if(pt.isNotNull() & dl.isNotNull() & (dl < pt)).alias("c13"))
-    no_pay = o.select("order_id").join(p.select("order_id"), "order_id", "left_anti").groupBy().agg(F.count(ONE).alias("c2"))
-    no_item = o.select("order_id").join(i.select("order_id"), "order_id", "left_anti").groupBy().agg(F.count(ONE).alias("c3"))
+    no_pay = o.select("order_id").join(p.select("order_id"), "order_id", "left_anti").groupBy().agg(F.count("*").alias("c2"))
+    no_item = o.select("order_id").join(i.select("order_id"), "order_id", "left_anti").groupBy().agg(F.count("*").alias("c3"))
     s = F.col("review_score")
     rc = r.groupBy().agg(_count_if(s.isNotNull() & ((s < 1) | (s > 5))).alias("c4"))
     ic = i.groupBy().agg(_count_if(F.col("price").isNull()).alias("c5"), _count_if(F.col("price") < 0).alias("c6"),

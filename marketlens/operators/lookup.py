@@ -10,7 +10,6 @@ from marketlens.functions.columns import category_label, msum_nullable
 from marketlens.operators import base
 from marketlens.sources.catalog import Tables
 
-ONE = F.lit(1)
 
 
 def _require(value: str | None, message: str) -> str:
@@ -77,11 +76,11 @@ def product_sales_summary(t: Tables) -> DataFrame:
     d = (t.order_items.join(o, "order_id").join(p, "product_id", "left")
          .join(t.category_translation, "product_category_name", "left"))
     return d.groupBy("product_id", "product_category_name", "product_category_name_english").agg(
-        F.count(ONE).alias("sold_item_row_count"),
+        F.count("*").alias("sold_item_row_count"),
         F.countDistinct("order_id").alias("delivered_order_count"),
         F.countDistinct("seller_id").alias("seller_count"),
         F.count("price").alias("price_known_row_count"),
-        (F.count(ONE) - F.count("price")).alias("price_missing_row_count"),
+        (F.count("*") - F.count("price")).alias("price_missing_row_count"),
         msum_nullable("price").alias("product_gmv_known_price_only"),
         msum_nullable("freight_value").alias("freight_value_known_only"),
         F.min("order_purchase_timestamp").alias("first_purchase_time"),
@@ -105,5 +104,5 @@ def ordered_string_agg(t: Tables) -> DataFrame:
          .select("order_id", category_label("product_category_name_english", "product_category_name",
                                             L.UNCATEGORIZED).alias("category")))
     return d.groupBy("order_id").agg(
-        F.count(ONE).alias("item_row_count"),
+        F.count("*").alias("item_row_count"),
         F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("category_list"))

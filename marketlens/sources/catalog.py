@@ -44,7 +44,7 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def from_parquet(spark: SparkSession, silver_dir: str) -> Tables:
-    return Tables(spark, {t: spark.read.parquet(os.path.join(silver_dir, t)) for t in schemas.TABLES})
+    return Tables(spark, {t: spark.read.parquet(f"{silver_dir.rstrip('/')}/{t}") for t in schemas.TABLES})
 
 
 def write_silver(tables: Tables, out_dir: str, mode: str = "overwrite") -> None:
@@ -58,7 +58,7 @@ def write_silver(tables: Tables, out_dir: str, mode: str = "overwrite") -> None:
         df = tables[t]
         if t in ("orders", "order_items", "order_payments", "order_reviews"):
             df = df.sortWithinPartitions("order_id")
-        df.write.mode(mode).parquet(os.path.join(out_dir, t))
+        df.write.mode(mode).parquet(f"{out_dir.rstrip('/')}/{t}")
 
 
 _CACHE: dict[tuple[int, str], Tables] = {}
@@ -78,12 +78,9 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     key = (id(spark), os.path.abspath(sf_dir))
     if key not in _CACHE:
         from marketlens.session import ensure_checkpoint_dir
-        root = ensure_checkpoint_dir(spark)
+        root = ensure_checkpoint_dir(spark).rstrip("/")
         tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-        out = os.path.join(root, f"silver-{tag}")
-        if not os.path.exists(os.path.join(out, "_DONE")) if "://" not in out else True:
-            write_silver(from_testdata(spark, sf_dir), out)
-            if "://" not in out:
-                open(os.path.join(out, "_DONE"), "w").close()
+        out = f"{root}/silver-{tag}"
+        write_silver(from_testdata(spark, sf_dir), out)
         _CACHE[key] = from_parquet(spark, out)
     return _CACHE[key]

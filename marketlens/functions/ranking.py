@@ -130,6 +130,92 @@ def global_ntile(df: DataFrame, n: int, order: list[tuple[str, bool]], id_col: s
     return pos.withColumn(out, bucket.cast("int")).select(*cols, out)
 
 
+def global_ntiles(df: DataFrame, specs: list[tuple[int, list[tuple[str, bool]], str]], id_col: str,
+                  bins: int | None = None) -> DataFrame:
+    """Several NTILEs over the same rows with three bounded driver round trips
+    in total (one count, one shared sample, one pass of per-bin counts).
+
+    ``specs`` holds (n, order, output column); each order gets ``id_col`` as
+    its last key.  Each NTILE then costs one partitioned window.
+    """
+    cols = df.columns
+    n_rows = df.count()
+    if n_rows == 0:
+        for _, _, out in specs:
+            df = df.withColumn(out, F.lit(None).cast("int"))
+        return df
+    nb = _bins_for(df.sparkSession, bins)
+    xdf = df
+    spec_keys = []
+    for i, (_, order, _) in enumerate(specs):
+        xdf, keys = _expand(list(order) + [(id_col, True)], xdf)
+        keys = [(k, a) for k, a in keys]
+        renamed = []
+        for k, a in keys:
+            new = f"__s{i}{k}"
+            xdf = xdf.withColumnRenamed(k, new)
+            renamed.append((new, a))
+        spec_keys.append(renamed)
+    # one shared sample of every key column
+    frac = min(1.0, nb * SAMPLES_PER_BIN / n_rows)
+    key_names = sorted({k for keys in spec_keys for k, _ in keys})
+    sample = xdf.select(*key_names).sample(withReplacement=False, fraction=frac, seed=17) \
+        .limit(4 * nb * SAMPLES_PER_BIN).collect()
+    for i, keys in enumerate(spec_keys):
+        rows = [tuple(r[k] for k, _ in keys) for r in sample]
+        rows.sort(key=_py_sort_key(keys))
+        step = max(1, len(rows) // nb)
+        bounds = []
+        for b in rows[step::step][: nb - 1]:
+            if not bounds or b != bounds[-1]:
+                bounds.append(b)
+        xdf = xdf.withColumn(f"__bin{i}", _bin_column(keys, bounds))
+    # per-spec bin counts in one job
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(f"__bin{i}").alias("b"))
+                                for i in range(len(specs))]))
+    counts = xdf.select(pairs.alias("p")).groupBy("p.s", "p.b").count().collect()
+    base_rows: dict[int, list] = {}
+    for r in counts:
+        base_rows.setdefault(r["s"], []).append((r["b"], r["count"]))
+    out_df = xdf
+    for i, (n, _, out) in enumerate(specs):
+        running, kv = 0, []
+        for b, c in sorted(base_rows.get(i, [])):
+            kv += [F.lit(b), F.lit(running)]
+            running += c
+        off = F.element_at(F.create_map(*kv), F.col(f"__bin{i}")).cast("long")
+        w = Window.partitionBy(f"__bin{i}").orderBy(*_sort_cols(spec_keys[i]))
+        p = off + F.row_number().over(w) - 1
+        base, big = n_rows // n, n_rows % n
+        if base == 0:
+            bucket = p + 1
+        else:
+            cut = big * (base + 1)
+            bucket = F.when(p < cut, F.floor(p / (base + 1)) + 1).otherwise(F.lit(big) + F.floor((p - cut) / base) + 1)
+        out_df = out_df.withColumn(out, bucket.cast("int"))
+    return out_df.select(*cols, *[out for _, _, out in specs])
+
+
+class _Desc:
+    """Inverts ordering for descending sort keys in Python."""
+
+    __slots__ = ("v",)
+
+    def __init__(self, v):
+        self.v = v
+
+    def __lt__(self, other):
+        return other.v < self.v
+
+    def __eq__(self, other):
+        return self.v == other.v
+
+
+def _py_sort_key(keys):
+    dirs = [a for _, a in keys]
+    return lambda row: tuple(v if a else _Desc(v) for v, a in zip(row, dirs))
+
+
 def global_rank(df: DataFrame, order: list[tuple[str, bool]], out: str, bins: int | None = None,
                 partition_by: list[str] | None = None) -> DataFrame:
     """RANK() OVER ([PARTITION BY p] ORDER BY order...) over distinct key tuples.
@@ -167,13 +253,15 @@ def global_rank(df: DataFrame, order: list[tuple[str, bool]], out: str, bins: in
     return df.join(ranked, cond).select(*cols, out)
 
 
-def stable(df: DataFrame) -> DataFrame:
+def stable(df: DataFrame, enabled: bool = True) -> DataFrame:
     """Cut lineage before several ranking passes over the same input.
 
     Uses a reliable checkpoint in the session's shared checkpoint folder
     (``spark.checkpoint.dir``) so a lost executor does not force the whole
     upstream plan to be recomputed.
     """
+    if not enabled:
+        return df
     from marketlens.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import labels as L
 from marketlens.functions.columns import avg6, category_label, msum
 from marketlens.functions.geo import great_circle_km
-from marketlens.functions.ranking import global_ntile, global_rank
+from marketlens.functions.ranking import global_ntiles, global_rank, stable
 from marketlens.operators import base
 from marketlens.sources.catalog import Tables
 
@@ -174,8 +174,9 @@ def top_sellers_by_gmv(t: Tables, n: int = 100) -> DataFrame:
 
 def seller_rank(t: Tables, n: int = 200) -> DataFrame:
     """Rank in state and overall by GMV, both without a single-partition window."""
-    ss = base.seller_summary(t).select("seller_id", "seller_state", "delivered_order_count",
-                                       "seller_product_gmv", "avg_review_score", "late_delivery_rate")
+    ss = stable(base.seller_summary(t), t.gold_dir is None).select(
+        "seller_id", "seller_state", "delivered_order_count", "seller_product_gmv", "avg_review_score",
+        "late_delivery_rate")
     ranked = global_rank(ss, [("seller_product_gmv", False)], "rank_in_seller_state_by_gmv",
                          partition_by=["seller_state"])
     ranked = global_rank(ranked, [("seller_product_gmv", False)], "overall_rank_by_gmv")
@@ -183,12 +184,12 @@ def seller_rank(t: Tables, n: int = 200) -> DataFrame:
 
 
 def _seller_scored(t: Tables) -> DataFrame:
-    ss = (base.seller_summary(t)
+    ss = (stable(base.seller_summary(t), t.gold_dir is None)
           .withColumn("__review0", F.coalesce("avg_review_score", F.lit(0)))
           .withColumn("__late0", F.coalesce("late_delivery_rate", F.lit(0))))
-    ss = global_ntile(ss, 4, [("seller_product_gmv", True)], "seller_id", "revenue_quartile")
-    ss = global_ntile(ss, 4, [("__review0", True)], "seller_id", "review_quartile")
-    ss = global_ntile(ss, 4, [("__late0", True)], "seller_id", "late_risk_quartile")
+    ss = global_ntiles(ss, [(4, [("seller_product_gmv", True)], "revenue_quartile"),
+                            (4, [("__review0", True)], "review_quartile"),
+                            (4, [("__late0", True)], "late_risk_quartile")], "seller_id")
     rq, vq, lq = F.col("revenue_quartile"), F.col("review_quartile"), F.col("late_risk_quartile")
     seg = (F.when(F.col("delivered_order_count") < 5, L.SELLER_SMALL_SAMPLE)
            .when((rq == 4) & (vq >= 3) & (lq <= 2), L.SELLER_CORE)

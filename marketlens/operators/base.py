@@ -94,6 +94,10 @@ def delivered_order_base(t: Tables) -> DataFrame:
     Orders without payments/items keep zeros; review average and count stay
     NULL (R10).  The status filter is pushed to the orders scan.
     """
+    return t.view("delivered_order_base", lambda: _delivered_order_base(t))
+
+
+def _delivered_order_base(t: Tables) -> DataFrame:
     o = t.orders.where(F.col("order_status") == "delivered")
     c = t.customers.select("customer_id", "customer_unique_id", "customer_city", "customer_state")
     df = (o.join(c, "customer_id")
@@ -151,7 +155,8 @@ def order_seller_base(t: Tables) -> DataFrame:
 
 def seller_order_analysis(t: Tables, dob: DataFrame | None = None) -> DataFrame:
     """V05 joined to the delivered order facts (R12: order facts repeat per seller)."""
-    dob = dob if dob is not None else delivered_order_base(t)
+    if dob is None:
+        return t.view("seller_order_analysis", lambda: seller_order_analysis(t, delivered_order_base(t)))
     d = dob.select(
         "order_id", "customer_unique_id", "customer_city", "customer_state",
         "order_purchase_timestamp", "order_year", "order_month", "order_month_start",
@@ -190,7 +195,8 @@ def customer_summary(t: Tables, dob: DataFrame | None = None) -> DataFrame:
     ``COUNT(DISTINCT order_id)`` is ``count(*)`` here: order_id is unique in
     V04 (audited by A02), which avoids a second distinct aggregation.
     """
-    dob = dob if dob is not None else delivered_order_base(t)
+    if dob is None:
+        return t.view("customer_summary", lambda: customer_summary(t, delivered_order_base(t)))
     return dob.where(F.col("customer_unique_id").isNotNull()).groupBy("customer_unique_id").agg(
         F.count("*").alias("delivered_order_count"),
         F.sum("total_payment_value").alias("total_payment_value"),
@@ -208,7 +214,8 @@ def customer_summary(t: Tables, dob: DataFrame | None = None) -> DataFrame:
 
 def seller_summary(t: Tables, soa: DataFrame | None = None) -> DataFrame:
     """One row per seller; (order_id, seller_id) is unique in V06."""
-    soa = soa if soa is not None else seller_order_analysis(t)
+    if soa is None:
+        return t.view("seller_summary", lambda: seller_summary(t, seller_order_analysis(t)))
     return soa.groupBy("seller_id", "seller_city", "seller_state").agg(
         F.count("*").alias("delivered_order_count"),
         F.countDistinct("customer_unique_id").alias("buyer_count"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import labels as L
 from marketlens.functions.columns import avg6, days_between, month_start, msum_nullable, weekday0
-from marketlens.functions.ranking import global_ntile, stable
+from marketlens.functions.ranking import global_ntile, global_ntiles, stable
 from marketlens.operators import base
 from marketlens.sources.catalog import Tables
 
@@ -162,10 +162,11 @@ def weekday_vs_weekend(t: Tables) -> DataFrame:
 
 def customer_value_tiers(t: Tables) -> DataFrame:
     """Three global quartiles per person and a tier."""
-    cs = stable(base.customer_summary(t)).withColumn("__review0", F.coalesce("avg_review_score", F.lit(0)))
-    cs = global_ntile(cs, 4, [("total_payment_value", True)], "customer_unique_id", "payment_quartile")
-    cs = global_ntile(cs, 4, [("delivered_order_count", True)], "customer_unique_id", "frequency_quartile")
-    cs = global_ntile(cs, 4, [("__review0", True)], "customer_unique_id", "review_quartile")
+    cs = stable(base.customer_summary(t), t.gold_dir is None) \
+        .withColumn("__review0", F.coalesce("avg_review_score", F.lit(0)))
+    cs = global_ntiles(cs, [(4, [("total_payment_value", True)], "payment_quartile"),
+                            (4, [("delivered_order_count", True)], "frequency_quartile"),
+                            (4, [("__review0", True)], "review_quartile")], "customer_unique_id")
     pq, fq = F.col("payment_quartile"), F.col("frequency_quartile")
     tier = (F.when((pq == 4) & (fq >= 3), L.TIER_HIGH_VALUE_REPEAT).when(pq == 4, L.TIER_HIGH_TICKET)
             .when(fq == 4, L.TIER_FREQUENT).when((pq == 1) & (fq == 1), L.TIER_LOW_ACTIVITY)
@@ -188,7 +189,7 @@ def _snapshot(dob: DataFrame) -> DataFrame:
 def customer_rfm(t: Tables) -> DataFrame:
     """recency/frequency/monetary quintiles (recency 5 = most recent)."""
     dob = base.delivered_order_base(t)
-    cs = base.customer_summary(t, dob)
+    cs = base.customer_summary(t)
     rb = cs.crossJoin(F.broadcast(_snapshot(dob))).select(
         "customer_unique_id",
         days_between("last_purchase_time", "snapshot_date").alias("recency_days"),
@@ -196,9 +197,9 @@ def customer_rfm(t: Tables) -> DataFrame:
         F.col("total_payment_value").alias("monetary_value"),
         "avg_payment_per_order", "first_purchase_time", "last_purchase_time", "snapshot_date")
     rb = stable(rb)
-    rb = global_ntile(rb, 5, [("recency_days", False)], "customer_unique_id", "recency_score")
-    rb = global_ntile(rb, 5, [("frequency_orders", True)], "customer_unique_id", "frequency_score")
-    rb = global_ntile(rb, 5, [("monetary_value", True)], "customer_unique_id", "monetary_score")
+    rb = global_ntiles(rb, [(5, [("recency_days", False)], "recency_score"),
+                            (5, [("frequency_orders", True)], "frequency_score"),
+                            (5, [("monetary_value", True)], "monetary_score")], "customer_unique_id")
     r, f, m = F.col("recency_score"), F.col("frequency_score"), F.col("monetary_score")
     seg = (F.when((r >= 4) & (f >= 4) & (m >= 4), L.RFM_BEST).when((r >= 4) & (f >= 3), L.RFM_LOYAL)
            .when((r >= 4) & (m >= 4), L.RFM_RECENT_BIG).when((r <= 2) & (f >= 3), L.RFM_WIN_BACK)
@@ -231,7 +232,7 @@ def customer_clv(t: Tables) -> DataFrame:
     cc = (cb.withColumn("purchase_frequency_per_month", n4 / am)
             .withColumn("estimated_monthly_value", F.col("avg_payment_per_order") * n4 / am)
             .withColumn("clv_12m_estimate", F.col("avg_payment_per_order") * n4 / am * F.lit(Decimal("12.0"))))
-    cc = global_ntile(stable(cc), 4, [("clv_12m_estimate", True)], "customer_unique_id", "clv_quartile")
+    cc = global_ntile(stable(cc, t.gold_dir is None), 4, [("clv_12m_estimate", True)], "customer_unique_id", "clv_quartile")
     seg = None
     for q, label in L.CLV_SEGMENTS.items():
         if q == 1:
@@ -255,7 +256,7 @@ def customer_clv_top(t: Tables, n: int = 100) -> DataFrame:
 def customer_churn(t: Tables) -> DataFrame:
     """Days since the last order vs the snapshot date (90 and 180 are 'risk')."""
     dob = base.delivered_order_base(t)
-    cs = base.customer_summary(t, dob).crossJoin(F.broadcast(_snapshot(dob)))
+    cs = base.customer_summary(t).crossJoin(F.broadcast(_snapshot(dob)))
     days = days_between("last_purchase_time", "snapshot_date")
     status = (F.when(days > 180, L.CHURN_LOST).when(days.between(90, 180), L.CHURN_RISK)
               .otherwise(L.CHURN_ACTIVE))
@@ -380,13 +381,13 @@ def cross_sell_category_top(t: Tables, n: int = 100) -> DataFrame:
 def seller_retention(t: Tables) -> DataFrame:
     """Per seller, persons served, returning (>1 order) and long-term (>= 90 days)."""
     dob = base.delivered_order_base(t)
-    soa = base.seller_order_analysis(t, dob)
+    soa = base.seller_order_analysis(t)
     sco = (soa.where(F.col("customer_unique_id").isNotNull())
            .select("seller_id", "customer_unique_id", "order_id", "order_purchase_timestamp").distinct())
     scs = sco.groupBy("seller_id", "customer_unique_id").agg(
         F.countDistinct("order_id").alias("delivered_order_count"),
         days_between(F.min("order_purchase_timestamp"), F.max("order_purchase_timestamp")).alias("retention_days"))
-    ss = base.seller_summary(t, soa).select("seller_id", "seller_state", "seller_city")
+    ss = base.seller_summary(t).select("seller_id", "seller_state", "seller_city")
     ret = F.sum(F.when(F.col("delivered_order_count") > 1, 1).otherwise(0))
     lng = F.sum(F.when(F.col("retention_days") >= 90, 1).otherwise(0))
     return (scs.join(ss, "seller_id", "left").groupBy("seller_id", "seller_state", "seller_city").agg(

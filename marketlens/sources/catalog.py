@@ -16,9 +16,11 @@ from marketlens.sources import schemas, testdata
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame]):
+    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame], gold_dir: str | None = None):
         self.spark = spark
         self._frames = dict(frames)
+        self.gold_dir = gold_dir
+        self._gold: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         frames = self.__dict__.get("_frames", {})
@@ -33,10 +35,22 @@ class Tables:
         return list(self._frames)
 
     def with_frames(self, **frames: DataFrame) -> "Tables":
+        """A copy with some tables replaced; shared views are not reused."""
         merged = dict(self._frames)
         merged.update(frames)
         return Tables(self.spark, merged)
 
+    def view(self, name: str, build) -> DataFrame:
+        """A shared view: built lazily, or persisted once as a gold parquet
+        table (under the shared checkpoint folder) when ``gold_dir`` is set."""
+        if self.gold_dir is None:
+            return build()
+        if name not in self._gold:
+            path = f"{self.gold_dir}/{name}"
+            build().write.mode("overwrite").parquet(path)
+            self._gold[name] = self.spark.read.parquet(path)
+        return self._gold[name]
+
 
 def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
     """Lazy silver tables derived from the driver's parquet tables."""
@@ -82,5 +96,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
         out = f"{root}/silver-{tag}"
         write_silver(from_testdata(spark, sf_dir), out)
-        _CACHE[key] = from_parquet(spark, out)
+        tables = from_parquet(spark, out)
+        tables.gold_dir = f"{root}/gold-{tag}"
+        _CACHE[key] = tables
     return _CACHE[key]

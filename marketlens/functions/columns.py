@@ -54,14 +54,12 @@ def try_dec(c, precision: int = 18, scale: int = 2) -> Column:
 def try_ts(c) -> Column:
     """R3: 'yyyy-MM-dd[ HH:mm[:ss]]' -> timestamp_ntz; invalid dates -> NULL.
 
-    Built from the parsed parts with ``try_make_timestamp_ntz`` so no
-    session time zone is involved and bad values never raise under ANSI.
+    The shape is checked first (a bare year such as '2018' is rejected), then
+    ``try_cast`` to ``timestamp_ntz`` turns impossible dates into NULL; no
+    session time zone is involved and nothing raises under ANSI mode.
     """
     s = clean_str(c)
-    part = lambda i: F.regexp_extract(s, _TS_RE, i)
-    num = lambda i, d="0": F.coalesce(F.nullif(part(i), F.lit("")), F.lit(d)).cast("int")
-    ts = F.try_make_timestamp_ntz(num(1), num(2), num(3), num(5), num(6), num(8).cast("decimal(16,6)"))
-    return F.when(s.rlike(_TS_RE), ts)
+    return F.when(s.rlike(_TS_RE), s.try_cast("timestamp_ntz"))
 
 
 def left_str(c, n: int) -> Column:

@@ -17,13 +17,22 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES_PER_BIN = 20
+SAMPLES_PER_BIN = 10
+ROWS_PER_BIN = 1_000_000
 
 
-def _bins_for(spark, requested: int | None) -> int:
+def _bins_for(spark, requested: int | None, n_rows: int | None = None) -> int:
+    """Number of ranges: ~1M rows each, at most 4x the shuffle partitions.
+
+    Small inputs use one range (no sample, no boundaries); a range is one
+    window partition, so each task sorts at most about ROWS_PER_BIN rows.
+    """
     if requested:
         return requested
-    return max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cap = max(2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if n_rows is None:
+        return cap
+    return max(1, min(cap, -(-n_rows // ROWS_PER_BIN)))
 
 
 def _expand(order: list[tuple[str, bool]], df: DataFrame) -> tuple[DataFrame, list[tuple[str, bool]]]:
@@ -62,6 +71,8 @@ def _at_or_after(keys: list[tuple[str, bool]], bound: tuple) -> Column:
 
 
 def _boundaries(df: DataFrame, keys: list[tuple[str, bool]], n_rows: int, bins: int) -> list[tuple]:
+    if bins <= 1:
+        return []
     target = bins * SAMPLES_PER_BIN
     frac = min(1.0, target / max(n_rows, 1))
     names = [c for c, _ in keys]
@@ -79,9 +90,14 @@ def _boundaries(df: DataFrame, keys: list[tuple[str, bool]], n_rows: int, bins:
 
 
 def _bin_column(keys, bounds) -> Column:
-    if not bounds:
-        return F.lit(0)
-    return sum((F.when(_at_or_after(keys, b), 1).otherwise(0) for b in bounds), F.lit(0))
+    """Number of boundaries at or before the row, as a binary search tree of
+    CASE WHENs: about log2(len(bounds)) comparisons per row."""
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(_at_or_after(keys, bounds[mid - 1]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
+    return tree(0, len(bounds))
 
 
 def _offsets(df: DataFrame, bin_col: str, weight: str | None) -> Column:
@@ -99,7 +115,7 @@ def _offsets(df: DataFrame, bin_col: str, weight: str | None) -> Column:
 def _positioned(df: DataFrame, keys, bins: int, n_rows: int) -> DataFrame:
     bounds = _boundaries(df, keys, n_rows, bins)
     df = df.withColumn("__bin", _bin_column(keys, bounds))
-    off = _offsets(df, "__bin", None)
+    off = _offsets(df, "__bin", None) if bounds else F.lit(0).cast("long")
     w = Window.partitionBy("__bin").orderBy(*_sort_cols(keys))
     return df.withColumn("__pos", off + F.row_number().over(w) - 1)
 
@@ -118,7 +134,7 @@ def global_ntile(df: DataFrame, n: int, order: list[tuple[str, bool]], id_col: s
     if n_rows == 0:
         return df.withColumn(out, F.lit(None).cast("int"))
     xdf, keys = _expand(list(order) + [(id_col, True)], df)
-    pos = _positioned(xdf, keys, _bins_for(df.sparkSession, bins), n_rows)
+    pos = _positioned(xdf, keys, _bins_for(df.sparkSession, bins, n_rows), n_rows)
     base, big = n_rows // n, n_rows % n
     p = F.col("__pos")
     if base == 0:
@@ -144,7 +160,7 @@ def global_ntiles(df: DataFrame, specs: list[tuple[int, list[tuple[str, bool]],
         for _, _, out in specs:
             df = df.withColumn(out, F.lit(None).cast("int"))
         return df
-    nb = _bins_for(df.sparkSession, bins)
+    nb = _bins_for(df.sparkSession, bins, n_rows)
     xdf = df
     spec_keys = []
     for i, (_, order, _) in enumerate(specs):
@@ -156,10 +172,10 @@ def global_ntiles(df: DataFrame, specs: list[tuple[int, list[tuple[str, bool]],
             xdf = xdf.withColumnRenamed(k, new)
             renamed.append((new, a))
         spec_keys.append(renamed)
-    # one shared sample of every key column
+    # one shared sample of every key column (none needed for a single range)
     frac = min(1.0, nb * SAMPLES_PER_BIN / n_rows)
     key_names = sorted({k for keys in spec_keys for k, _ in keys})
-    sample = xdf.select(*key_names).sample(withReplacement=False, fraction=frac, seed=17) \
+    sample = [] if nb <= 1 else xdf.select(*key_names).sample(withReplacement=False, fraction=frac, seed=17) \
         .limit(4 * nb * SAMPLES_PER_BIN).collect()
     for i, keys in enumerate(spec_keys):
         rows = [tuple(r[k] for k, _ in keys) for r in sample]
@@ -170,10 +186,13 @@ def global_ntiles(df: DataFrame, specs: list[tuple[int, list[tuple[str, bool]],
             if not bounds or b != bounds[-1]:
                 bounds.append(b)
         xdf = xdf.withColumn(f"__bin{i}", _bin_column(keys, bounds))
-    # per-spec bin counts in one job
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(f"__bin{i}").alias("b"))
-                                for i in range(len(specs))]))
-    counts = xdf.select(pairs.alias("p")).groupBy("p.s", "p.b").count().collect()
+    # per-spec bin counts in one job (a single range holds every row)
+    if nb <= 1:
+        counts = [{"s": i, "b": 0, "count": n_rows} for i in range(len(specs))]
+    else:
+        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(f"__bin{i}").alias("b"))
+                                    for i in range(len(specs))]))
+        counts = xdf.select(pairs.alias("p")).groupBy("p.s", "p.b").count().collect()
     base_rows: dict[int, list] = {}
     for r in counts:
         base_rows.setdefault(r["s"], []).append((r["b"], r["count"]))
@@ -242,10 +261,10 @@ def global_rank(df: DataFrame, order: list[tuple[str, bool]], out: str, bins: in
     if n_keys == 0:
         return df.withColumn(out, F.lit(None).cast("int"))
     xdf, keys = _expand(list(order), distinct)
-    nb = _bins_for(df.sparkSession, bins)
+    nb = _bins_for(df.sparkSession, bins, n_keys)
     bounds = _boundaries(xdf, keys, n_keys, nb)
     xdf = xdf.withColumn("__bin", _bin_column(keys, bounds))
-    off = _offsets(xdf, "__bin", "__w")
+    off = _offsets(xdf, "__bin", "__w") if bounds else F.lit(0).cast("long")
     w = Window.partitionBy("__bin").orderBy(*_sort_cols(keys)).rowsBetween(Window.unboundedPreceding, -1)
     ranked = xdf.withColumn(out, (off + F.coalesce(F.sum("__w").over(w), F.lit(0)) + 1).cast("int")) \
         .select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(names)], out)

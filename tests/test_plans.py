@@ -22,6 +22,8 @@ def test_filters_and_projection_reach_the_silver_scan(spark, tables):
     assert "ReadSchema: struct<order_id:string,customer_id:string,order_status:string" in _plan(v04)
 
 
-def test_ranked_views_have_no_single_partition_exchange(tables):
+def test_ranked_views_have_no_single_partition_exchange(tables, monkeypatch):
+    from marketlens.functions import ranking
+    monkeypatch.setattr(ranking, "ROWS_PER_BIN", 2)  # force several ranges on the small fixture
     for df in (insight.customer_value_tiers(tables), analysis.seller_rank(tables)):
         assert "SinglePartition" not in _plan(df)

@@ -42,10 +42,18 @@ def test_rank_plain_and_partitioned(spark):
 
 def test_no_single_partition_exchange(spark):
     df = _data(spark)
-    plan = global_ntile(df, 4, [("v", True)], "id", "b")._jdf.queryExecution().executedPlan().toString()
+    plan = global_ntile(df, 4, [("v", True)], "id", "b", bins=4)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
 
 
+def test_range_count_grows_with_rows(spark):
+    from marketlens.functions.ranking import ROWS_PER_BIN, _bins_for
+    assert _bins_for(spark, None, 10) == 1  # one bounded range: at most ROWS_PER_BIN rows in a task
+    assert _bins_for(spark, None, 3 * ROWS_PER_BIN + 1) == 4
+    cap = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert _bins_for(spark, None, 10 ** 12) == cap
+
+
 def test_empty_and_tiny_inputs(spark):
     df = _data(spark).limit(3)
     got = {r.id: r.b for r in global_ntile(df, 5, [("v", True)], "id", "b").collect()}

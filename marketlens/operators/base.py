@@ -100,11 +100,14 @@ def delivered_order_base(t: Tables) -> DataFrame:
 def _delivered_order_base(t: Tables) -> DataFrame:
     o = t.orders.where(F.col("order_status") == "delivered")
     c = t.customers.select("customer_id", "customer_unique_id", "customer_city", "customer_state")
-    df = (o.join(c, "customer_id")
-           .join(order_payment(t), "order_id", "left")
+    # The three order-grain aggregates are joined first, on order_id, so
+    # they share one partitioning (none at all when the facts are bucketed
+    # by order_id); the customer attributes are joined last.
+    df = (o.join(order_payment(t), "order_id", "left")
            .join(order_item_summary(t), "order_id", "left")
            .join(order_review_score(t).select("order_id", "avg_review_score", "review_row_count"),
-                 "order_id", "left"))
+                 "order_id", "left")
+           .join(c, "customer_id"))
     pt, ap = F.col("order_purchase_timestamp"), F.col("order_approved_at")
     car, dl = F.col("order_delivered_carrier_date"), F.col("order_delivered_customer_date")
     est = F.col("order_estimated_delivery_date")

@@ -272,6 +272,12 @@ def global_rank(df: DataFrame, order: list[tuple[str, bool]], out: str, bins: in
     return df.join(ranked, cond).select(*cols, out)
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast ``df`` only after checking its size; otherwise leave the join
+    to the planner (sort-merge, with AQE skew handling)."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def stable(df: DataFrame, enabled: bool = True) -> DataFrame:
     """Cut lineage before several ranking passes over the same input.
 
@@ -287,3 +293,64 @@ def stable(df: DataFrame, enabled: bool = True) -> DataFrame:
 
 
 __all__ = ["global_ntile", "global_rank", "stable", "StorageLevel"]
+
+
+def running_sum(df: DataFrame, partition_by: list[str], order: list[tuple[str, bool]], value: str,
+                out: str, bins: int | None = None) -> DataFrame:
+    """SUM(value) OVER (PARTITION BY p ORDER BY order ROWS UNBOUNDED PRECEDING).
+
+    ``order`` must make rows unique within a partition.  The total order
+    (p, order...) is cut into ranges by literal boundaries, so one partition
+    holding a third of all rows is spread over many tasks.  Each range runs
+    its own running sum; a partition that continues from earlier ranges gets
+    the sum of its rows there as an offset.  Only partitions that straddle a
+    boundary (at most one per boundary) need an offset, so that table has at
+    most bins x bins rows and is broadcast.
+    """
+    cols = df.columns
+    n_rows = df.count()
+    nb = _bins_for(df.sparkSession, bins, n_rows)
+    w_order = [F.col(c).asc_nulls_first() if a else F.col(c).desc_nulls_last() for c, a in order]
+    frame = (Window.unboundedPreceding, Window.currentRow)
+    if nb <= 1:
+        w = Window.partitionBy(*partition_by).orderBy(*w_order).rowsBetween(*frame)
+        return df.withColumn(out, F.sum(value).over(w))
+    xdf, keys = _expand([(c, True) for c in partition_by] + list(order), df)
+    bounds = _boundaries(xdf, keys, n_rows, nb)
+    xdf = xdf.withColumn("__bin", _bin_column(keys, bounds))
+    w = Window.partitionBy("__bin", *partition_by).orderBy(*w_order).rowsBetween(*frame)
+    local = xdf.withColumn("__local", F.sum(value).over(w))
+    if not bounds:
+        return local.withColumn(out, F.col("__local")).select(*cols, out)
+    # partitions cut by a boundary: their (nn, value) key pairs lead each boundary tuple
+    width = 2 * len(partition_by)
+    straddling = {b[:width] for b in bounds}
+    match = None
+    for tup in straddling:
+        cond = None
+        for (k, _), v in zip(keys[:width], tup):
+            c = F.col(k) == F.lit(v)
+            cond = c if cond is None else cond & c
+        match = cond if match is None else match | cond
+    totals = (xdf.where(match).groupBy("__bin", *partition_by).agg(F.sum(value).alias("__t")).collect())
+    per_part: dict[tuple, list] = {}
+    for r in totals:
+        per_part.setdefault(tuple(r[c] for c in partition_by), []).append((r["__bin"], r["__t"]))
+    rows = []
+    for part, items in per_part.items():
+        running = None
+        for b, tot in sorted(items, key=lambda x: x[0]):
+            if running is not None:
+                rows.append((b, *part, running))
+            running = tot if running is None else running + (tot or 0)
+    spark = df.sparkSession
+    vtype = df.schema[value].dataType
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("__bin", T.IntegerType())]
+                          + [T.StructField(f"__p{i}", df.schema[c].dataType) for i, c in enumerate(partition_by)]
+                          + [T.StructField("__off", vtype)])
+    offsets = spark.createDataFrame(rows, schema)
+    cond = [F.col("__bin") == F.col("__obin")] + [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(partition_by)]
+    joined = local.join(F.broadcast(offsets.withColumnRenamed("__bin", "__obin")), cond, "left")
+    total = F.when(F.col("__off").isNull(), F.col("__local")).otherwise(F.col("__local") + F.col("__off"))
+    return joined.withColumn(out, total.cast(vtype) if vtype.typeName() == "decimal" else total).select(*cols, out)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import labels as L
 from marketlens.functions.columns import avg6, category_label, msum
 from marketlens.functions.geo import great_circle_km
-from marketlens.functions.ranking import global_ntiles, global_rank, stable
+from marketlens.functions.ranking import broadcast_if_small, global_ntiles, global_rank, running_sum, stable
 from marketlens.operators import base
 from marketlens.sources.catalog import Tables
 
@@ -79,16 +79,17 @@ def customer_cumulative_payment(t: Tables, n: int | None = 200) -> DataFrame:
 
     The report orders by person first, so its first n rows come from at most
     n persons: those are picked first (a top-k over distinct ids) and only
-    their orders are windowed.  ``n=None`` returns every row.
+    their orders are summed.  The running sum itself is range-split
+    (``running_sum``), so one person with a very large share of all orders
+    does not end up in a single task.  ``n=None`` returns every row.
     """
     dob = base.delivered_order_base(t).where(F.col("customer_unique_id").isNotNull()).select(
         "customer_unique_id", "order_id", "order_purchase_timestamp", "total_payment_value")
     if n is not None:
         firsts = dob.select("customer_unique_id").distinct().orderBy("customer_unique_id").limit(n)
         dob = dob.join(firsts, "customer_unique_id", "left_semi")
-    w = (Window.partitionBy("customer_unique_id").orderBy("order_purchase_timestamp", "order_id")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = dob.withColumn("cumulative_customer_payment_value", F.sum("total_payment_value").over(w))
+    out = running_sum(dob, ["customer_unique_id"], [("order_purchase_timestamp", True), ("order_id", True)],
+                      "total_payment_value", "cumulative_customer_payment_value")
     out = out.orderBy("customer_unique_id", "order_purchase_timestamp", "order_id")
     return out.limit(n) if n is not None else out
 
@@ -244,8 +245,10 @@ def distance_band_delivery(t: Tables) -> DataFrame:
     cz = (t.orders.select("order_id", "customer_id")
           .join(t.customers.select("customer_id", "customer_zip_code_prefix"), "customer_id"))
     sz = t.sellers.select("seller_id", "seller_zip_code_prefix")
-    geo = base.geolocation_zip_prefix(t).select("geolocation_zip_code_prefix", "avg_geolocation_lat",
-                                                "avg_geolocation_lng")
+    # One row per zip prefix: small, and the join key is low-cardinality and
+    # skewed (big cities), so broadcast it once its size is checked.
+    geo = broadcast_if_small(base.geolocation_zip_prefix(t).select(
+        "geolocation_zip_code_prefix", "avg_geolocation_lat", "avg_geolocation_lng"))
     cg = geo.toDF("customer_zip_code_prefix", "customer_lat", "customer_lng")
     sg = geo.toDF("seller_zip_code_prefix", "seller_lat", "seller_lng")
     d = (soa.join(cz, "order_id").join(sz, "seller_id")

@@ -60,3 +60,15 @@ def test_empty_and_tiny_inputs(spark):
     assert sorted(got.values()) == [1, 2, 3]
     empty = _data(spark).where("false")
     assert global_ntile(empty, 4, [("v", True)], "id", "b").count() == 0
+
+
+def test_running_sum_matches_window_with_hot_partition(spark):
+    from marketlens.functions.ranking import running_sum
+    df = _data(spark).withColumn("p", F.when(F.col("k") < 3, F.lit("hot")).otherwise(F.col("k").cast("string")))
+    df = df.withColumn("val", F.coalesce("v", F.lit(0.0)).cast("decimal(18,2)"))
+    got = running_sum(df, ["p"], [("id", True)], "val", "r", bins=7)
+    w = Window.partitionBy("p").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = df.withColumn("r2", F.sum("val").over(w))
+    j = got.join(want.select("id", "r2"), "id")
+    assert j.count() == df.count()
+    assert j.where("r <> r2").count() == 0

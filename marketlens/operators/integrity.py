@@ -225,3 +225,15 @@ def quarantine(t: Tables, table: str) -> tuple[DataFrame, DataFrame]:
         return t[table], t[table].limit(0)
     bad = reduce(lambda a, b: a | b, [F.coalesce(pr, F.lit(False)) for pr in preds])
     return t[table].where(~bad), t[table].where(bad)
+
+
+def assert_contracts(t: Tables) -> None:
+    """Fail fast when a declared key or reference does not hold (the gate
+    before building views on the silver tables)."""
+    bad = [f"{r.table_name}({r.key_columns}): {r.null_key_rows} NULL key rows, "
+           f"{r.duplicate_key_groups} duplicated keys"
+           for r in primary_key_contract(t).collect() if r.null_key_rows or r.duplicate_key_groups]
+    bad += [f"{r.child_table}.{r.child_column} -> {r.parent_table}: {r.violation_count} dangling"
+            for r in foreign_key_contract(t).collect() if r.violation_count]
+    if bad:
+        raise ValueError("contract violations: " + "; ".join(bad))

@@ -92,3 +92,21 @@ def test_growth_is_null_without_previous(tables):
 def test_clv_floor_one_month(tables):
     rows = insight.customer_clv(tables).where("customer_lifetime_days < 30").select("active_months").distinct().collect()
     assert all(r.active_months == Decimal("1.00000000") for r in rows)
+
+
+def test_contract_gate_passes_on_clean_silver(tables):
+    integrity.assert_contracts(tables)
+
+
+def test_contract_gate_fails_on_duplicates(tables):
+    broken = tables.with_frames(orders=tables.orders.unionAll(tables.orders.limit(1)))
+    with pytest.raises(ValueError):
+        integrity.assert_contracts(broken)
+
+
+def test_views_published_for_sql(spark, tables):
+    from marketlens.plans import views
+    views.publish(tables, ["v_phase3_monthly_business", "v_phase5_kpi_snapshot"])
+    a = spark.sql("SELECT SUM(delivered_order_count) AS n FROM v_phase3_monthly_business").first().n
+    b = spark.sql("SELECT delivered_order_count AS n FROM v_phase5_kpi_snapshot").first().n
+    assert a == b

@@ -27,3 +27,19 @@ def test_ranked_views_have_no_single_partition_exchange(tables, monkeypatch):
     monkeypatch.setattr(ranking, "ROWS_PER_BIN", 2)  # force several ranges on the small fixture
     for df in (insight.customer_value_tiers(tables), analysis.seller_rank(tables)):
         assert "SinglePartition" not in _plan(df)
+
+
+def test_bucketed_silver_removes_order_grain_shuffles(spark, tables):
+    from marketlens.operators import base
+    out = tempfile.mkdtemp(prefix="marketlens-bucketed-")
+    bt = catalog.write_silver_bucketed(tables, out, "marketlens_test_bucketed", 4)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = base.order_payment(bt)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan          # group by order_id on tables bucketed by order_id
+        v04 = base.delivered_order_base(bt)._jdf.queryExecution().toString()
+        # only the customer join (both sides) and the two-distinct item aggregate shuffle
+        assert v04.count("Exchange hashpartitioning") <= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)

@@ -44,7 +44,7 @@ def payment_fanout_audit(t: Tables) -> DataFrame:
              .groupBy().agg(F.sum((F.col("pay") * F.col("n_items")).cast("decimal(38,2)"))
                             .alias("wrong_total_payment_after_join")))
     c, w = F.col("correct_total_payment"), F.col("wrong_total_payment_after_join")
-    return correct.crossJoin(wrong).select(
+    return correct.withColumn("wrong_total_payment_after_join", wrong.scalar()).select(
         c, w, (w - c).alias("overcount_amount"),
         (w / F.nullif(c, F.lit(0))).cast("decimal(18,4)").alias("wrong_to_correct_ratio"))
 
@@ -95,11 +95,11 @@ def customer_cumulative_payment(t: Tables, n: int | None = 200) -> DataFrame:
 
 
 def orders_above_avg_items(t: Tables) -> DataFrame:
-    """Orders with more item rows than the average order (scalar subquery
-    as a one-row aggregate, broadcast: its size is exactly one row)."""
+    """Orders with more item rows than the average order (an uncorrelated
+    scalar subquery: evaluated once, then compared row by row)."""
     dob = base.delivered_order_base(t)
     avg = dob.groupBy().agg(avg6("item_row_count").alias("__avg_items"))
-    return (dob.crossJoin(F.broadcast(avg)).where(F.col("item_row_count") > F.col("__avg_items"))
+    return (dob.where(F.col("item_row_count") > avg.scalar())
             .select("order_id", "customer_unique_id", "order_purchase_timestamp", "item_row_count",
                     "product_count", "total_payment_value")
             .orderBy(F.col("item_row_count").desc(), F.col("total_payment_value").desc(), "order_id"))
@@ -134,7 +134,8 @@ def category_summary(t: Tables) -> DataFrame:
 def products_above_avg_gmv(t: Tables, n: int = 50) -> DataFrame:
     """Product GMV (delivered orders) above the mean product GMV.
 
-    ``AVG() OVER ()`` is replaced by a one-row aggregate joined by broadcast.
+    ``AVG() OVER ()`` is a scalar subquery over the product rows, not a
+    window over one partition.
     """
     delivered = t.orders.where(F.col("order_status") == "delivered").select("order_id")
     ps = (_items_with_category(t, L.UNCATEGORIZED).join(delivered, "order_id", "left_semi")
@@ -143,7 +144,7 @@ def products_above_avg_gmv(t: Tables, n: int = 50) -> DataFrame:
               F.count("*").alias("item_row_count"),
               msum("price").alias("product_gmv"), msum("freight_value").alias("freight_value")))
     avg = ps.groupBy().agg(avg6("product_gmv", 2).alias("avg_product_gmv"))
-    return (ps.crossJoin(F.broadcast(avg)).where(F.col("product_gmv") > F.col("avg_product_gmv"))
+    return (ps.withColumn("avg_product_gmv", avg.scalar()).where(F.col("product_gmv") > F.col("avg_product_gmv"))
             .orderBy(F.col("product_gmv").desc(), "product_id").limit(n))
 
 

@@ -34,7 +34,7 @@ def share_pct(part, total) -> "F.Column":
 
 
 def kpi_snapshot(t: Tables) -> DataFrame:
-    """One KPI row; the seller count is a one-row aggregate cross joined."""
+    """One KPI row; the seller count is a scalar subquery."""
     dob = base.delivered_order_base(t)
     k = dob.groupBy().agg(
         F.count("*").alias("delivered_order_count"),
@@ -50,7 +50,7 @@ def kpi_snapshot(t: Tables) -> DataFrame:
         F.min("order_purchase_timestamp").alias("first_order_time"),
         F.max("order_purchase_timestamp").alias("last_order_time"))
     sellers = base.seller_summary(t).groupBy().agg(F.count("*").alias("seller_count"))
-    return k.crossJoin(sellers).select(
+    return k.withColumn("seller_count", sellers.scalar()).select(
         "delivered_order_count", "buyer_count", "seller_count", "total_payment_value", "product_gmv",
         "freight_value", "avg_payment_per_order", "avg_product_gmv_per_order", "avg_review_score",
         "avg_delivery_days", "late_delivery_rate", "first_order_time", "last_order_time")
@@ -182,7 +182,7 @@ def customer_value_tiers_top(t: Tables, n: int = 100) -> DataFrame:
 
 
 def _snapshot(dob: DataFrame) -> DataFrame:
-    """One row: the day after the last delivered purchase (time of day kept)."""
+    """One row, one column: the day after the last delivered purchase (time of day kept)."""
     return dob.groupBy().agg(F.timestamp_add("DAY", F.lit(1), F.max("order_purchase_timestamp")).alias("snapshot_date"))
 
 
@@ -190,7 +190,7 @@ def customer_rfm(t: Tables) -> DataFrame:
     """recency/frequency/monetary quintiles (recency 5 = most recent)."""
     dob = base.delivered_order_base(t)
     cs = base.customer_summary(t)
-    rb = cs.crossJoin(F.broadcast(_snapshot(dob))).select(
+    rb = cs.withColumn("snapshot_date", _snapshot(dob).scalar()).select(
         "customer_unique_id",
         days_between("last_purchase_time", "snapshot_date").alias("recency_days"),
         F.col("delivered_order_count").alias("frequency_orders"),
@@ -256,7 +256,7 @@ def customer_clv_top(t: Tables, n: int = 100) -> DataFrame:
 def customer_churn(t: Tables) -> DataFrame:
     """Days since the last order vs the snapshot date (90 and 180 are 'risk')."""
     dob = base.delivered_order_base(t)
-    cs = base.customer_summary(t).crossJoin(F.broadcast(_snapshot(dob)))
+    cs = base.customer_summary(t).withColumn("snapshot_date", _snapshot(dob).scalar())
     days = days_between("last_purchase_time", "snapshot_date")
     status = (F.when(days > 180, L.CHURN_LOST).when(days.between(90, 180), L.CHURN_RISK)
               .otherwise(L.CHURN_ACTIVE))

@@ -116,7 +116,7 @@ def foreign_key_contract(t: Tables) -> DataFrame:
 
 
 def data_quality_counts(t: Tables) -> list:
-    """The 14 issue counts in report order, each a one-row DataFrame column ``n``."""
+    """The 14 issue counts as one row with columns c0..c13 (report order)."""
     o, i, p, r, g = t.orders, t.order_items, t.order_payments, t.order_reviews, t.geolocation
     delivered = F.col("order_status") == "delivered"
     pt, ap, dl = F.col("order_purchase_timestamp"), F.col("order_approved_at"), F.col("order_delivered_customer_date")
@@ -136,7 +136,14 @@ def data_quality_counts(t: Tables) -> list:
     lat, lng = F.col("geolocation_lat"), F.col("geolocation_lng")
     gc = g.groupBy().agg(_count_if(lat.isNotNull() & ((lat < -90) | (lat > 90))).alias("c10"),
                          _count_if(lng.isNotNull() & ((lng < -180) | (lng > 180))).alias("c11"))
-    return reduce(lambda a, b: a.crossJoin(b), [oc, no_pay, no_item, rc, ic, pc, gc])
+    # One wide row: the orders counts plus the other tables' counts as scalar
+    # subqueries (each packed in a struct, so each table is still scanned once).
+    out = oc
+    for extra in (no_pay, no_item, rc, ic, pc, gc):
+        names = extra.columns
+        packed = extra.select(F.struct(*names).alias("s")).scalar()
+        out = out.withColumn("__s", packed).select(*out.columns, *[F.col("__s")[n].alias(n) for n in names])
+    return out
 
 
 def data_quality_report(t: Tables) -> DataFrame:

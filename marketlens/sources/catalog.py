@@ -48,7 +48,7 @@ class Tables:
         if name not in self._gold:
             path = f"{self.gold_dir}/{name}"
             build().write.mode("overwrite").parquet(path)
-            self._gold[name] = self.spark.read.parquet(path)
+            self._gold[name] = read_fresh(self.spark, path)
         return self._gold[name]
 
 
@@ -57,8 +57,18 @@ def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, {name: build(spark, sf_dir) for name, build in testdata.BUILDERS.items()})
 
 
+def read_fresh(spark: SparkSession, path: str) -> DataFrame:
+    """Read a parquet folder that may have been overwritten in this session.
+
+    The session caches directory listings; refreshing the path first avoids
+    reading files an overwrite has already removed.
+    """
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)
+
+
 def from_parquet(spark: SparkSession, silver_dir: str) -> Tables:
-    return Tables(spark, {t: spark.read.parquet(f"{silver_dir.rstrip('/')}/{t}") for t in schemas.TABLES})
+    return Tables(spark, {t: read_fresh(spark, f"{silver_dir.rstrip('/')}/{t}") for t in schemas.TABLES})
 
 
 ORDER_KEYED = ("orders", "order_items", "order_payments", "order_reviews")

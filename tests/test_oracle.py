@@ -14,12 +14,23 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
 
 
+def _type(dt) -> str:
+    n = dt.typeName()
+    if n == "decimal":
+        return f"DECIMAL({dt.precision},{dt.scale})"
+    return {"long": "BIGINT", "integer": "INTEGER", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
+            "date": "DATE", "double": "DOUBLE", "boolean": "BOOLEAN"}.get(n, n)
+
+
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, key):
-    cols, rows = spark_rows(QUERIES[key](spark, SMALL))
+    df = QUERIES[key](spark, SMALL)
+    cols, rows = spark_rows(df)
     dcols, drows = duck_rows(duck, ORACLE[key])
     assert sorted(cols) == sorted(dcols)
     assert canon(cols, rows) == canon(dcols, drows)
+    dtypes = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {ORACLE[key]}").fetchall()}
+    assert {f.name: _type(f.dataType) for f in df.schema.fields} == dtypes
 
 
 def test_entry_smoke(spark):

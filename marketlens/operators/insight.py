@@ -56,8 +56,16 @@ def kpi_snapshot(t: Tables) -> DataFrame:
         "avg_delivery_days", "late_delivery_rate", "first_order_time", "last_order_time")
 
 
-def _delivered_items_categorised(t: Tables) -> DataFrame:
+def _delivered_items_categorised(t: Tables, customer_cols: list[str] | None = None) -> DataFrame:
+    """Delivered order items with category labels ('unknown' fallback).
+
+    Customer attributes, when needed, are joined to the orders first (order
+    grain), so the item rows are shuffled only once, by order_id, and not at
+    all when items are bucketed by order_id.
+    """
     o = t.orders.where(F.col("order_status") == "delivered")
+    if customer_cols:
+        o = o.join(t.customers.select("customer_id", *customer_cols), "customer_id")
     p = t.products.select("product_id", "product_category_name")
     return (t.order_items.join(o, "order_id")
             .join(p, "product_id", "left")
@@ -69,9 +77,9 @@ def _delivered_items_categorised(t: Tables) -> DataFrame:
 
 def category_seller_region_gmv(t: Tables) -> DataFrame:
     """Category x seller x customer region (SUM keeps NULL for unknown prices)."""
-    c = t.customers.select("customer_id", "customer_unique_id", F.col("customer_state").alias("customer_region"))
     s = t.sellers.select("seller_id", "seller_state", "seller_city")
-    d = _delivered_items_categorised(t).join(c, "customer_id").join(s, "seller_id", "left")
+    d = (_delivered_items_categorised(t, ["customer_unique_id", "customer_state"])
+         .withColumnRenamed("customer_state", "customer_region").join(s, "seller_id", "left"))
     return d.groupBy("product_category_name", "product_category_name_english", "seller_id", "seller_state",
                      "seller_city", "customer_region").agg(
         F.count("*").alias("sold_item_row_count"),
@@ -294,11 +302,10 @@ def region_delivery_listing(t: Tables) -> DataFrame:
 
 def seller_category_delivery_risk(t: Tables) -> DataFrame:
     """Distinct order x seller x category rows (late by *timestamp*, R6), then averaged."""
-    d = _delivered_items_categorised(t).where(
+    d = _delivered_items_categorised(t, ["customer_state"]).where(
         F.col("order_delivered_customer_date").isNotNull() & F.col("order_estimated_delivery_date").isNotNull())
-    c = t.customers.select("customer_id", "customer_state")
     s = t.sellers.select("seller_id", "seller_state")
-    osc = (d.join(c, "customer_id").join(s, "seller_id", "left").select(
+    osc = (d.join(s, "seller_id", "left").select(
         "order_id", "seller_id", "product_category_name", "product_category_name_english", "seller_state",
         "customer_state",
         days_between("order_purchase_timestamp", "order_delivered_customer_date").alias("delivery_days"),

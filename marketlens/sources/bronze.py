@@ -32,7 +32,8 @@ def read_csv(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]
 def _text(c, dtype: str):
     if dtype in ("timestamp_ntz", "timestamp"):
         midnight = (F.hour(c) == 0) & (F.minute(c) == 0) & (F.second(c) == 0)
-        return F.when(midnight, F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+        # string casts of timestamp_ntz / date are wall-clock text, independent of the session time zone
+        return F.when(midnight, F.to_date(c).cast("string")).otherwise(c.cast("string"))
     return c.cast("string")
 
 

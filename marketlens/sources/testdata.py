@@ -123,7 +123,9 @@ def order_payments(spark, sf_dir) -> DataFrame:
 def order_reviews(spark, sf_dir) -> DataFrame:
     e = _read(spark, sf_dir, "events")
     eid = F.col("event_id")
-    created = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz")
+    ts = F.col("ts")
+    # whole seconds, built from the wall-clock fields (no session time zone involved)
+    created = F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts), F.second(ts))
     return e.select(
         _id("r", eid - F.when(eid % 50 == 1, 1).otherwise(0)).alias("review_id"),
         _id("o", eid - F.when(eid % 5 == 4, 1).otherwise(0)).alias("order_id"),

@@ -13,7 +13,6 @@ Driver traffic is bounded: one count, a sample of at most
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -292,7 +291,6 @@ def stable(df: DataFrame, enabled: bool = True) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-__all__ = ["global_ntile", "global_rank", "stable", "StorageLevel"]
 
 
 def running_sum(df: DataFrame, partition_by: list[str], order: list[tuple[str, bool]], value: str,
@@ -354,3 +352,6 @@ def running_sum(df: DataFrame, partition_by: list[str], order: list[tuple[str, b
     joined = local.join(F.broadcast(offsets.withColumnRenamed("__bin", "__obin")), cond, "left")
     total = F.when(F.col("__off").isNull(), F.col("__local")).otherwise(F.col("__local") + F.col("__off"))
     return joined.withColumn(out, total.cast(vtype) if vtype.typeName() == "decimal" else total).select(*cols, out)
+
+
+__all__ = ["global_ntile", "global_ntiles", "global_rank", "running_sum", "broadcast_if_small", "stable"]

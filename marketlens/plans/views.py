@@ -6,7 +6,7 @@ so users of the original SQL can keep querying them with ``spark.sql``.
 
 from __future__ import annotations
 
-from marketlens.operators import analysis, base, insight, integrity, lookup
+from marketlens.operators import base, insight, integrity, lookup
 from marketlens.sources.catalog import Tables
 
 VIEWS = {
@@ -61,4 +61,4 @@ def publish(t: Tables, names: list[str] | None = None) -> list[str]:
     return done
 
 
-__all__ = ["VIEWS", "publish", "analysis"]
+__all__ = ["VIEWS", "TABLE_NAMES", "publish"]

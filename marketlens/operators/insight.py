@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import labels as L
 from marketlens.functions.columns import avg6, days_between, month_start, msum_nullable, weekday0
+from marketlens.functions.pairs import DEFAULT_CHUNK, pair_counts
 from marketlens.functions.ranking import global_ntile, global_ntiles, stable
 from marketlens.operators import base
 from marketlens.sources.catalog import Tables
@@ -338,20 +339,19 @@ def _category_labels(t: Tables, side: str) -> DataFrame:
         .alias(f"product_{side}_category_name_english")))
 
 
-def cross_sell_product_pairs(t: Tables) -> DataFrame:
+def cross_sell_product_pairs(t: Tables, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Unordered product pairs bought in the same delivered order.
 
-    Baskets are de-duplicated first, pairs are generated by an equi-join on
-    order_id with the residual ``a < b`` (no cross join), counted by id
-    pair, and only then joined to the product dimensions.  A very large
-    basket is split across tasks by AQE's skew-join handling.
+    Baskets are de-duplicated first; pairs come from an equi-join on
+    order_id with the residual ``a < b`` (no cross join), where a basket
+    larger than a chunk is split into chunk-pair join keys so no single task
+    gets a hot basket's quadratic work (``functions.pairs``).  Pairs are
+    counted by id and only then joined to the product dimensions.
     """
     delivered = t.orders.where(F.col("order_status") == "delivered").select("order_id")
-    op = t.order_items.select("order_id", "product_id").join(delivered, "order_id", "left_semi").distinct()
-    a = op.select("order_id", F.col("product_id").alias("product_a"))
-    b = op.select("order_id", F.col("product_id").alias("product_b"))
-    pairs = (a.join(b, "order_id").where(F.col("product_a") < F.col("product_b"))
-             .groupBy("product_a", "product_b").agg(F.count("*").alias("co_purchase_order_count")))
+    op = t.order_items.select("order_id", "product_id").join(delivered, "order_id", "left_semi")
+    pairs = pair_counts(op, "order_id", "product_id", "product_a", "product_b", "co_purchase_order_count",
+                        chunk=chunk)
     return (pairs.join(_category_labels(t, "a"), "product_a", "left")
             .join(_category_labels(t, "b"), "product_b", "left")
             .select("product_a",
@@ -370,14 +370,11 @@ def cross_sell_product_top(t: Tables, n: int = 100) -> DataFrame:
             .orderBy(F.col("co_purchase_order_count").desc(), "product_a", "product_b").limit(n))
 
 
-def cross_sell_category_pairs(t: Tables) -> DataFrame:
+def cross_sell_category_pairs(t: Tables, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Category pairs per delivered order (a basket has at most one row per category)."""
-    oc = (_delivered_items_categorised(t)
-          .select("order_id", F.col("product_category_name_english").alias("category_name")).distinct())
-    a = oc.select("order_id", F.col("category_name").alias("category_a"))
-    b = oc.select("order_id", F.col("category_name").alias("category_b"))
-    return (a.join(b, "order_id").where(F.col("category_a") < F.col("category_b"))
-            .groupBy("category_a", "category_b").agg(F.count("*").alias("co_purchase_order_count")))
+    oc = _delivered_items_categorised(t).select("order_id", F.col("product_category_name_english").alias("category_name"))
+    return pair_counts(oc, "order_id", "category_name", "category_a", "category_b", "co_purchase_order_count",
+                       chunk=chunk)
 
 
 def cross_sell_category_top(t: Tables, n: int = 100) -> DataFrame:

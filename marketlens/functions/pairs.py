@@ -33,7 +33,7 @@ from marketlens.functions.ranking import broadcast_if_small
 # DEFAULT_CHUNK ** 2 / 2 candidate pairs.
 DEFAULT_CHUNK = 2048
 # Split baskets are broadcast to the items only up to this many baskets.
-MAX_BROADCAST_BASKETS = 1_000_000
+MAX_BROADCAST_BASKETS = 200_000
 
 
 def chunked_basket(df: DataFrame, group: str, item: str, chunk: int = DEFAULT_CHUNK) -> DataFrame:

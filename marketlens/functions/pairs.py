@@ -17,9 +17,11 @@ of chunks ``(lo, hi)`` becomes its own join key ``(group, lo, hi)``:
 
 Each item of a split basket is replicated ``m + 1`` times; baskets at or
 below ``chunk`` items are not replicated and join exactly like the plain
-self-join.  Basket sizes are partial-aggregated map side, and the list of
-split baskets is broadcast only after a row-count check (otherwise the join
-is left to the planner and AQE's skew handling).
+self-join.  Basket sizes are partial-aggregated map side.  The list of
+split baskets (normally empty or tiny) is joined back without an eager
+driver-side count: AQE measures it at runtime and broadcasts it when small;
+otherwise both sides are clustered by the group key (no extra exchange on
+tables bucketed by it), and AQE's skew handling splits a hot partition.
 """
 
 from __future__ import annotations
@@ -27,13 +29,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.ranking import broadcast_if_small
-
 # Items per chunk of a split basket: a join key then yields at most about
 # DEFAULT_CHUNK ** 2 / 2 candidate pairs.
 DEFAULT_CHUNK = 2048
-# Split baskets are broadcast to the items only up to this many baskets.
-MAX_BROADCAST_BASKETS = 200_000
 
 
 def chunked_basket(df: DataFrame, group: str, item: str, chunk: int = DEFAULT_CHUNK) -> DataFrame:
@@ -41,12 +39,12 @@ def chunked_basket(df: DataFrame, group: str, item: str, chunk: int = DEFAULT_CH
     kept = df.select(group, item).where(F.col(group).isNotNull() & F.col(item).isNotNull())
     gi = kept.distinct()
     # Sizes count raw rows: duplicates can only raise m, which keeps the
-    # result exact (any m >= 1 is) and saves a distinct before the check.
+    # result exact (any m >= 1 is) and saves a distinct.
     hot = (kept.groupBy(group).agg(F.count("*").alias("__n"))
            .where(F.col("__n") > chunk)
            .select(group, F.ceil(F.col("__n") / F.lit(chunk)).cast("int").alias("__m")))
     m = F.coalesce(F.col("__m"), F.lit(1))
-    return (gi.join(broadcast_if_small(hot, MAX_BROADCAST_BASKETS), group, "left")
+    return (gi.join(hot, group, "left")
             .select(group, item, m.alias("__m"),
                     F.pmod(F.xxhash64(item), m).cast("int").alias("__ch")))
 

@@ -52,3 +52,9 @@ def test_cross_sell_split_equals_unsplit(tables):
         split = fn(tables, chunk=2)
         assert whole.count() > 0
         assert whole.exceptAll(split).count() == 0 and split.exceptAll(whole).count() == 0
+
+
+def test_pair_join_is_keyed_by_chunk_pair(tables):
+    plan = insight.cross_sell_product_pairs(tables)._jdf.queryExecution().optimizedPlan().toString()
+    join = [ln for ln in plan.splitlines() if "Join Inner" in ln and "__lo" in ln]
+    assert join and "__hi" in join[0] and "order_id" in join[0]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,6 +19,8 @@ DEFAULT_CONF = {
     # Broadcast only what the optimizer can prove is small; explicit
     # broadcast() hints are used only for dimensions with a known bound.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Files of a checkpoint go when its DataFrame is garbage.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -39,30 +43,22 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (a shared filesystem).
-    Only when it is unset (local tests) do we create a scratch folder.
+    A cluster must name a folder that all machines share; without one this raises.
+    Only a ``local`` session, where driver and executors are one process (tests,
+    bench), gets a scratch folder of its own.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="marketlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - remote (Connect) sessions manage checkpoints server side
-        return current
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(current)
-    return current
-
-
-def configure_session(spark: SparkSession) -> SparkSession:
-    """Apply the settings every query here assumes (idempotent)."""
-    spark.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone", "UTC"))
-    return spark
-
-
-def env_cpus(default: int = 8) -> int:
-    try:
-        return int(os.environ.get("BENCH_CPUS", default))
-    except ValueError:
-        return default
+        return spark.conf.get("spark.checkpoint.dir", "")
+    if sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="marketlens-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", named)
+    sc.setCheckpointDir(named)
+    return named

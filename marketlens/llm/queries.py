@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import exact_dedup
+from marketlens.llm import exact_dedup, quality_rules
 from marketlens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,33 @@ def query(name: str, sql: str | None = None):
 """)
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_rules", r"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+                 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+                 row_number() OVER () AS k FROM t),
+    g AS (SELECT k, i, list_slice(words, i, i + 7) AS win FROM (SELECT k, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+    r AS (SELECT k, count(*) AS n FROM (SELECT DISTINCT k, unnest(range(i, i + 8)) FROM
+            (SELECT k, i, count(*) OVER (PARTITION BY k, win) AS c FROM g) WHERE c > 1) GROUP BY k),
+    l AS (SELECT k, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
+                 right(trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 6) AS tail,
+                 len(regexp_extract_all(x, '[|»›·•]')) AS seps, len(regexp_extract_all(x, '[#*$%&]{2,}|[!?]{2,}')) AS noises
+          FROM (SELECT k, unnest(lines) AS x FROM w)),
+    v AS (SELECT k, n, NOT regexp_matches(tail, '[.!?:;…。！？؟।]["''”’»)\]]*$') AND (n < 5 OR NOT regexp_matches(x, '[.!?:;,…。！？，؟।]')) AS unended,
+                 seps >= 3 AND seps * 4 >= n AS navigation, noises >= 2 AND noises * 100 >= n * 30 AS noise,
+                 n <= 12 AND regexp_matches(lower(x), 'cookie|privacy policy|terms of (use|service)|javascript|all rights reserved|lorem ipsum|subscribe|sign (in|up)|log ?in|click here|read more|share (this|on)|skip to|powered by') AS boilerplate FROM l),
+    s AS (SELECT k, count(*) AS n_lines, count(*) FILTER (unended) AS u, count(*) FILTER (navigation) AS m, count(*) FILTER (noise) AS o,
+                 count(*) FILTER (boilerplate) AS b, sum(n) FILTER (unended OR navigation OR noise OR boilerplate) AS lost FROM v GROUP BY k),
+    f AS (SELECT doc_id, len(words)::BIGINT AS n_words, (length(text) - len(regexp_extract_all(text, '[\x20\x09-\x0D]')))::BIGINT AS word_chars,
+                 len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+                 (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+                 coalesce(s.n_lines, 0) AS n_lines, coalesce(u, 0) AS n_unended_lines, coalesce(m, 0) AS n_navigation_lines,
+                 coalesce(o, 0) AS n_noise_lines, coalesce(b, 0) AS n_boilerplate_lines, coalesce(lost, 0)::BIGINT AS n_lost_words
+          FROM w LEFT JOIN r USING (k) LEFT JOIN s USING (k)),
+    x AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+    SELECT *, NOT base_failed AND 100 * n_lost_words <= 50 * n_words AS kept FROM x
+""")
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents")).drop("clean_text")

@@ -76,3 +76,40 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
     rows = df.withColumn("_before", F.coalesce(F.sum(value).over(w), F.lit(0)))
     on = [rows[c].eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate([*group, bucket])]
     return rows.join(starts, on).withColumn(out, (F.col("_at") + F.col("_before")).cast("long")).select(*df.columns, out)
+
+
+def keep_rows(docs: DataFrame, stay: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """Rows of ``docs``, all columns, whose id and ``key`` are in ``stay`` (_stay_id, _stay_key).
+
+    Of repeated rows (same id, same key) one stays.  Ids are compared null-safe.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keyed = docs.select(row, F.col(id_col).alias("_id"), key.alias("_key"))
+    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(1)))
+    same = F.col("_id").eqNullSafe(F.col("_stay_id")) & (F.col("_key") == F.col("_stay_key"))
+    return keyed.withColumn("_nth", nth).where("_nth = 1").join(stay, same, "left_semi").select("_row.*")
+
+
+def connected(edges: DataFrame, materialise_round: Callable[[DataFrame], DataFrame] = materialise) -> DataFrame:
+    """(node, root) of every node of ``edges`` (a, b): root is the smallest node reachable.
+
+    Alternates large-star and small-star rounds until the edges no longer change.  Every
+    round is written to the checkpoint folder; the driver sees one count and one checksum.
+    """
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = materialise_round(pairs)
+    state = None
+    while True:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        lowest = both.groupBy("a").agg(F.min("b").alias("_low")).select(F.col("a").alias("_a"), F.least("a", "_low").alias("_low"))
+        large = both.where("b > a").join(lowest, F.col("a") == F.col("_a")).select(F.col("b").alias("a"), F.col("_low").alias("b"))
+        large = large.unionByName(lowest.where("_a > _low").select(F.col("_a").alias("a"), F.col("_low").alias("b"))).distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("_low")).withColumnRenamed("a", "_a")
+        small = large.join(lowest, F.col("a") == F.col("_a")).where("b <> _low").select(F.col("b").alias("a"), F.col("_low").alias("b"))
+        pairs = materialise_round(small.unionByName(lowest.select(F.col("_a").alias("a"), F.col("_low").alias("b"))).distinct())
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import SPACE, materialise, text_of
+from marketlens.llm.common import SPACE, keep_rows, materialise, text_of
 
 LEVELS = 3
 #: What identifies a text: its digest, and the two values that verify it.
@@ -76,11 +76,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = LEVELS) -> DataFrame:
     """``docs``, all columns, without the rows that ``exact_dedup`` drops."""
     stay = (exact_dedup(docs, id_col, text_col, levels).where("kept")
-            .select(F.col(id_col).alias("_stay_id"), F.unhex("text_sha256").alias("_stay_digest")))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    row = F.struct(*names).alias("_row")
-    keyed = docs.select(row, F.col(id_col).alias("_id"), F.unhex(F.sha2(normalised(text_of(text_col)), 256)).alias("_digest"))
-    # one of repeated rows: the ids and texts are the same, so any of them will do
-    nth = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.lit(1)))
-    same = F.col("_id").eqNullSafe(F.col("_stay_id")) & (F.col("_digest") == F.col("_stay_digest"))
-    return keyed.withColumn("_nth", nth).where("_nth = 1").join(stay, same, "left_semi").select("_row.*")
+            .select(F.col(id_col).alias("_stay_id"), F.unhex("text_sha256").alias("_stay_key")))
+    return keep_rows(docs, stay, id_col, F.unhex(F.sha2(normalised(text_of(text_col)), 256)))

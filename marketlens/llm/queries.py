@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlens.llm import exact_dedup, quality_classifier, quality_rules, simhash
+from marketlens.llm import exact_dedup, mixing, quality_classifier, quality_rules, simhash
 from marketlens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,25 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_mixing", r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                      md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS ticket FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS n, 1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS w FROM d GROUP BY source),
+    o AS (SELECT *, row_number() OVER (ORDER BY 3.0 * n / w, source) AS k,
+                 sum(n) OVER () - 3 * coalesce(sum(n) OVER (ORDER BY 3.0 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                 sum(w) OVER (ORDER BY 3.0 * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM s),
+    l AS (SELECT *, rest::DOUBLE / share::DOUBLE AS level FROM o),
+    c AS (SELECT k, level FROM l WHERE NOT w * level > 3 * n ORDER BY k LIMIT 1),
+    t AS (SELECT source, n, CASE WHEN l.k < c.k THEN (3 * n)::DOUBLE ELSE w * c.level END AS target FROM l, c),
+    q AS (SELECT *, floor(target + 0.5)::BIGINT AS quota FROM t),
+    p AS (SELECT doc_id, size, n, target, quota, ticket, CASE WHEN n = 0 THEN 0 ELSE quota // n END AS times,
+                 coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ticket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+    SELECT doc_id, size, n AS source_size, target,
+           (size * (times + CASE WHEN 2 * before + size <= 2 * (quota - times * n) AND quota > times * n THEN 1 ELSE 0 END))::BIGINT AS taken FROM p
+""")
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")

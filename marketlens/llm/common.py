@@ -53,9 +53,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str) -> DataFrame:
+def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str,
+                total: str | None = None) -> DataFrame:
     """Sum of ``value`` over the rows of the same ``group`` that come before the row,
-    in the order (``bucket``, ``order``...).
+    in the order (``bucket``, ``order``...); ``total`` names a column for the sum of the group.
 
     Three levels keep every window small: rows within a bucket, buckets within a run
     of 1,024 buckets, and runs within the group.  A group that holds a third of all rows
@@ -68,14 +69,16 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
     by_bucket = by_bucket.withColumn("_in_run", in_run)
     by_run = by_bucket.groupBy(*group, "_run").agg(F.sum("_n").alias("_run_n"))
     run_at = F.coalesce(F.sum("_run_n").over(Window.partitionBy(*group).orderBy("_run").rowsBetween(*before)), F.lit(0))
-    by_run = by_run.withColumn("_run_at", run_at)
+    by_run = by_run.withColumn("_run_at", run_at).withColumn("_all", F.sum("_run_n").over(Window.partitionBy(*group)))
     starts = by_bucket.alias("b").join(by_run.alias("r"), [F.col(f"b.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_run"]])
     starts = starts.select(*[F.col(f"b.{c}").alias(f"_s{i}") for i, c in enumerate([*group, bucket])],
-                           (F.col("_run_at") + F.col("_in_run")).alias("_at"))
+                           (F.col("_run_at") + F.col("_in_run")).alias("_begin"), F.col("_all"))
     w = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(*before)
     rows = df.withColumn("_before", F.coalesce(F.sum(value).over(w), F.lit(0)))
     on = [rows[c].eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate([*group, bucket])]
-    return rows.join(starts, on).withColumn(out, (F.col("_at") + F.col("_before")).cast("long")).select(*df.columns, out)
+    placed = rows.join(starts, on)
+    sums = [(F.col("_begin") + F.col("_before")).cast("long").alias(out)] + ([F.col("_all").alias(total)] if total else [])
+    return placed.select(*df.columns, *sums)
 
 
 def keep_rows(docs: DataFrame, stay: DataFrame, id_col: str, key: Column) -> DataFrame:

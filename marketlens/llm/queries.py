@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import exact_dedup, licenses, mixing, quality_classifier, quality_rules, simhash, url_filters
+from marketlens.llm import exact_dedup, licenses, mixing, packing, quality_classifier, quality_rules, simhash, url_filters
 from marketlens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_url_filters")
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(read_table(spark, sf_dir, "pages"))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))

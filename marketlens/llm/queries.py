@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import exact_dedup, licenses, mixing, packing, quality_classifier, quality_rules, simhash, url_filters
-from marketlens.llm.common import read_table
+from marketlens.llm import exact_dedup, licenses, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, url_filters
+from marketlens.llm.common import materialise, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -113,3 +113,11 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after all documents came in, repeated lines were taken out and toxic documents were deleted."""
+    counted = materialise(token_counts.counts(read_table(spark, sf_dir, "documents")))
+    toxic = read_table(spark, sf_dir, "labels").where("toxic = 1")
+    return token_counts.maintain(counted, toxic, token_counts.scratch(spark))

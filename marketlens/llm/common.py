@@ -53,6 +53,59 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Matches of a text whose places are added up together.
+BLOCK = 256
+CONTEXT = 80
+
+
+def match_places(text: Column, pattern, width: Callable[[Column], Column] = F.char_length) -> Column:
+    """Array of (start, end, value, before, after) of the leftmost non-overlapping matches.
+
+    Places count in ``width``, code points by default.  before and after are up to CONTEXT
+    code points of the text between this match and its neighbours.  Places are added up in
+    blocks, so the work stays in proportion to the text for any number of matches.
+    """
+    kind = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + width(x["gap"])
+        end = start + width(x["hit"])
+        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"),
+                       F.left(x["next"], F.lit(CONTEXT)).alias("after"))
+        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(one)).alias("spans"))
+
+    def shift(a: Column, x: Column) -> Column:
+        moved = F.transform(x["spans"], lambda s: F.struct((s["start"] + a["at"]).alias("start"), (s["end"] + a["at"]).alias("end"), s["value"], s["before"], s["after"]))
+        return F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["spans"], F.array(moved)).alias("spans"))
+
+    def places(hits: Column, pieces: Column) -> Column:
+        cut = lambda xs, b, by=1: F.slice(xs, b * BLOCK + by, F.lit(BLOCK))
+        # the gap before a match, the match, and the gap after it
+        block = lambda b: F.arrays_zip(cut(pieces, b).alias("gap"), cut(hits, b).alias("hit"), cut(pieces, b, 2).alias("next"))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
+        within = lambda b: F.aggregate(F.filter(block(b), lambda x: x["hit"].isNotNull()), zero, step)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int")), within)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("spans"))
+        return F.flatten(F.aggregate(blocks, start, shift)["spans"])
+
+    def found(hits: Column) -> Column:
+        none = F.array().cast(kind)
+        return F.when(F.size(hits) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda pieces: places(hits, pieces)))
+
+    return let(F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)), found)
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, spread: Column, leaves: int = 64) -> DataFrame:
+    """``rows`` joined to ``table`` (one row per ``key``), also if a third of the rows have one key.
+
+    The rows of a key are dealt to ``leaves`` leaves.  The table is joined to the distinct
+    (key, leaf) pairs, which map-side aggregation makes few, and those to the rows.
+    """
+    dealt = rows.withColumn("_leaf", F.pmod(spread, F.lit(leaves)).cast("int"))
+    pairs = dealt.select(key, "_leaf").distinct().join(table, key)
+    return dealt.join(pairs, [key, "_leaf"]).drop("_leaf")
+
+
 def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str,
                 total: str | None = None) -> DataFrame:
     """Sum of ``value`` over the rows of the same ``group`` that come before the row,

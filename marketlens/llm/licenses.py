@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import ascii_lower, let, text_of
+from marketlens.llm.common import ascii_lower, let, match_places, text_of
 
 #: Characters that separate words here: ASCII except digits and letters.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -180,17 +180,7 @@ def detections(norm: Column, table: list[Rule]) -> Column:
     present = F.filter(keywords, lambda k: F.contains(norm, F.concat(F.lit(" "), k)))
 
     def places(rule: Column) -> Column:
-        matches = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-        pieces = F.split(norm, rule["pattern"], -1)
-        both = F.arrays_zip(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("gap"), matches.alias("hit"))
-
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + spaces(x["gap"])
-            end = start + spaces(x["hit"])
-            return F.struct(end.alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"))
-
-        spans = F.aggregate(both, zero, step, lambda a: a["spans"])
+        spans = match_places(norm, rule["pattern"], spaces)
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), rule["rank"].alias("rank"),
                                                      rule["label"].alias("label"), rule["confidence"].alias("confidence")))
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.common import connected, keep_rows, materialise, text_of
+from marketlens.llm.common import connected, join_spread, keep_rows, materialise, text_of
 
 SHINGLE = 4
 SEED = 42
@@ -135,7 +135,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result; only the id and the text are read.
     """
     rows, groups = grouped(docs, id_col, text_col, posting, max_bits)
-    return rows.join(groups, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
+    # a fingerprint can be that of very many documents
+    return join_spread(rows, groups, "_fp", F.xxhash64("_id", "_key")).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
                                            F.col("_best.id").alias("component_id"))
 
 

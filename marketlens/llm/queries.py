@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import exact_dedup, licenses, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, url_filters
+from marketlens.llm import (exact_dedup, licenses, mixing, packing, pii, quality_classifier, quality_rules, simhash, token_counts,
+                             url_filters)
 from marketlens.llm.common import materialise, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +122,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = materialise(token_counts.counts(read_table(spark, sf_dir, "documents")))
     toxic = read_table(spark, sf_dir, "labels").where("toxic = 1")
     return token_counts.maintain(counted, toxic, token_counts.scratch(spark))
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    plain = F.transform("added", lambda s: F.struct(s["start"], s["end"], s["kind"]))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.spans_text(F.concat("base", plain)).alias("spans"))

@@ -9,7 +9,7 @@ those that come first in a seeded hash order, up to the pattern's remaining word
 
 That last part is a threshold on the hash, so the choice is a map over the documents with
 a broadcast of one row per pattern (at most ``MAX_PATTERNS``), without a shuffle of texts.
-The threshold is found from sums over 65,536 hash ranges per pattern and the rows of one
+The threshold is found from sums over 4,096 hash ranges per pattern and the rows of one
 range, so a source with a third of all documents is no task of its own.
 """
 
@@ -149,12 +149,12 @@ def thresholds(rows: DataFrame, table: DataFrame) -> DataFrame:
     """(_members, _cut): the largest ticket that is within the pattern's remaining words."""
     small = F.broadcast(table.where("_rest > 0").select("_members", "_rest"))
     before = (Window.unboundedPreceding, -1)
-    ranges = rows.withColumn("_range", F.substring("_ticket", 1, 4)).groupBy("_members", "_range").agg(F.sum("_size").alias("_n"))
+    ranges = rows.withColumn("_range", F.substring("_ticket", 1, 3)).groupBy("_members", "_range").agg(F.sum("_size").alias("_n"))
     start = F.coalesce(F.sum("_n").over(Window.partitionBy("_members").orderBy("_range").rowsBetween(*before)), F.lit(0))
     edge = (ranges.withColumn("_start", start).join(small, "_members").where("_start <= _rest and _rest < _start + _n")
             .select("_members", "_range", "_start", "_rest"))
     # one range per pattern, at most MAX_PATTERNS rows
-    inside = (rows.withColumn("_range", F.substring("_ticket", 1, 4)).join(F.broadcast(edge), ["_members", "_range"])
+    inside = (rows.withColumn("_range", F.substring("_ticket", 1, 3)).join(F.broadcast(edge), ["_members", "_range"])
               .groupBy("_members", "_range", "_start", "_rest", "_ticket").agg(F.sum("_size").alias("_n")))
     at = F.col("_start") + F.coalesce(F.sum("_n").over(Window.partitionBy("_members").orderBy("_ticket").rowsBetween(*before)), F.lit(0))
     # a ticket is taken if its middle is within the rest; if none is, all earlier ranges are

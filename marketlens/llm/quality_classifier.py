@@ -157,10 +157,10 @@ def margin(f: np.ndarray, weighted: np.ndarray, squares: np.ndarray, bias: float
 
 def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The model from all rows of the sample: one row of weighted, squares, bias, a, b."""
-    rows = pd.concat(list(batches), ignore_index=True)
+    rows = pd.concat([pd.DataFrame({"_rank": [], "_label": [], "_bits": []}), *batches], ignore_index=True)
     rows = rows.sort_values(["_rank", "_label"], ignore_index=True)
     y = np.where(rows["_label"].to_numpy(int) == 1, 1, -1) if len(rows) else np.zeros(0, int)
-    features = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))) for b in rows.get("_bits", [])]
+    features = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))) for b in rows["_bits"]]
     apart = np.arange(len(y)) % CALIBRATION_SHARE == 0
     zero = np.zeros(BUCKETS)
     if len(set(y[~apart])) < 2 or len(set(y[apart])) < 2:  # too few labels to learn from: the share of label 1
@@ -180,8 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           sample_rows: int = SAMPLE_ROWS) -> dict:
     """The fitted model as plain values (two vectors of BUCKETS numbers, three scalars)."""
     sample = training_sample(docs, labels, id_col, text_col, label_col, sample_rows)
-    row = sample.repartition(1).mapInPandas(fit, "weighted binary, squares binary, bias double, a double, b double").collect()[0]
-    return row.asDict()
+    fitted = sample.repartition(1).mapInPandas(fit, "weighted binary, squares binary, bias double, a double, b double").collect()
+    # without any sampled row there may be no partition to fit on
+    return fitted[0].asDict() if fitted else next(fit(iter(()))).iloc[0].to_dict()
 
 
 def scorer(model: dict):

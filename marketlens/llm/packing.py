@@ -34,7 +34,7 @@ END_ID = 1
 #: Least number of tokens that a source with a small share is served at a time.
 UNIT = 32
 #: Documents in a bucket of a queue, and rounds in a bucket of the stream.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 1_000
 BUCKET_ROUNDS = 512
 
 

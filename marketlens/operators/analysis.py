@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import labels as L
 from marketlens.functions.columns import avg6, category_label, msum
 from marketlens.functions.geo import great_circle_km
-from marketlens.functions.ranking import broadcast_if_small, global_ntiles, global_rank, running_sum, stable
+from marketlens.functions.ranking import global_ntiles, global_rank, running_sum, stable
 from marketlens.operators import base
 from marketlens.sources.catalog import Tables
 
@@ -240,20 +240,24 @@ def risky_state_flows(t: Tables, min_orders: int = 100, n: int = 50) -> DataFram
 
 
 def distance_band_delivery(t: Tables) -> DataFrame:
-    """Great-circle km between customer and seller zip centroids, in bands."""
+    """Great-circle km between customer and seller zip centroids, in bands.
+
+    A row needs all four coordinates: a zip prefix without a known centroid has no
+    distance and its orders are left out, as are orders of unknown prefixes.
+    """
     soa = base.seller_order_analysis(t).select(
         "order_id", "seller_id", "purchase_to_delivery_days", "delivery_delay_days", "late_delivery_flag")
-    cz = (t.orders.select("order_id", "customer_id")
+    cz = (t.orders.where(F.col("order_status") == "delivered").select("order_id", "customer_id")
           .join(t.customers.select("customer_id", "customer_zip_code_prefix"), "customer_id"))
     sz = t.sellers.select("seller_id", "seller_zip_code_prefix")
-    # One row per zip prefix: small, and the join key is low-cardinality and
-    # skewed (big cities), so broadcast it once its size is checked.
-    geo = broadcast_if_small(base.geolocation_zip_prefix(t).select(
-        "geolocation_zip_code_prefix", "avg_geolocation_lat", "avg_geolocation_lng"))
+    geo = (base.geolocation_zip_prefix(t).select("geolocation_zip_code_prefix", "avg_geolocation_lat", "avg_geolocation_lng")
+           .where(F.col("avg_geolocation_lat").isNotNull() & F.col("avg_geolocation_lng").isNotNull()))
     cg = geo.toDF("customer_zip_code_prefix", "customer_lat", "customer_lng")
     sg = geo.toDF("seller_zip_code_prefix", "seller_lat", "seller_lng")
-    d = (soa.join(cz, "order_id").join(sz, "seller_id")
-         .join(cg, "customer_zip_code_prefix").join(sg, "seller_zip_code_prefix")
+    # the centroids meet each side at its own grain, before the order rows
+    buyers = cz.join(cg, "customer_zip_code_prefix").select("order_id", "customer_lat", "customer_lng")
+    sellers = sz.join(sg, "seller_zip_code_prefix").select("seller_id", "seller_lat", "seller_lng")
+    d = (soa.join(buyers, "order_id").join(sellers, "seller_id")
          .withColumn("km", great_circle_km("seller_lat", "seller_lng", "customer_lat", "customer_lng")))
     band = None
     for upper, label in L.DISTANCE_BANDS:

@@ -1,9 +1,12 @@
 """Scalable global NTILE / RANK agree with Spark's single-partition windows."""
 
+import time
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.ranking import global_ntile, global_ntiles, global_rank
+from marketlens.functions import ranking
+from marketlens.functions.ranking import global_ntile, global_ntiles, global_rank, in_ranges
 
 
 def _data(spark):
@@ -15,14 +18,14 @@ def _data(spark):
 def test_ntile_matches_window(spark):
     df = _data(spark)
     for n in (4, 5, 7):
-        got = global_ntile(df, n, [("k", False), ("v", True)], "id", "b", bins=6)
+        got = global_ntile(df, n, [("k", False), ("v", True)], "id", "b", rows_per_range=250)
         want = df.withColumn("b2", F.ntile(n).over(Window.orderBy(F.col("k").desc(), F.col("v").asc_nulls_first(), "id")))
         assert got.join(want, "id").where("b <> b2").count() == 0
 
 
 def test_ntiles_batch_and_bucket_sizes(spark):
     df = _data(spark)
-    got = global_ntiles(df, [(4, [("v", True)], "a"), (5, [("k", True)], "b")], "id", bins=5)
+    got = global_ntiles(df, [(4, [("v", True)], "a"), (5, [("k", True)], "b")], "id", rows_per_range=300)
     want = (df.withColumn("a2", F.ntile(4).over(Window.orderBy(F.col("v").asc_nulls_first(), "id")))
               .withColumn("b2", F.ntile(5).over(Window.orderBy("k", "id"))))
     assert got.join(want, "id").where("a <> a2 OR b <> b2").count() == 0
@@ -32,26 +35,40 @@ def test_ntiles_batch_and_bucket_sizes(spark):
 
 def test_rank_plain_and_partitioned(spark):
     df = _data(spark)
-    got = global_rank(df, [("v", False)], "r", bins=4)
+    got = global_rank(df, [("v", False)], "r", rows_per_range=400)
     want = df.withColumn("r2", F.rank().over(Window.orderBy(F.col("v").desc_nulls_last())))
     assert got.join(want, "id").where("r <> r2").count() == 0
-    got = global_rank(df, [("v", False)], "r", bins=4, partition_by=["k"])
+    got = global_rank(df, [("v", False)], "r", rows_per_range=400, partition_by=["k"])
     want = df.withColumn("r2", F.rank().over(Window.partitionBy("k").orderBy(F.col("v").desc_nulls_last())))
     assert got.join(want, "id").where("r <> r2").count() == 0
 
 
-def test_no_single_partition_exchange(spark):
-    df = _data(spark)
-    plan = global_ntile(df, 4, [("v", True)], "id", "b", bins=4)._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
+def test_only_range_rows_meet_in_one_task(spark):
+    plan = global_ntile(_data(spark), 4, [("v", True)], "id", "b", rows_per_range=400)._jdf.queryExecution().executedPlan().toString()
+    one_task = plan.split("Exchange SinglePartition")
+    assert len(one_task) == 2 and "HashAggregate(keys=[__range" in one_task[1].split("\n")[1]
 
 
 def test_range_count_grows_with_rows(spark):
-    from marketlens.functions.ranking import ROWS_PER_BIN, _bins_for
-    assert _bins_for(spark, None, 10) == 1  # one bounded range: at most ROWS_PER_BIN rows in a task
-    assert _bins_for(spark, None, 3 * ROWS_PER_BIN + 1) == 4
-    cap = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert _bins_for(spark, None, 10 ** 12) == cap
+    df = spark.range(1000)
+    for per_range, want in ((1000, 1), (100, 10), (1, 1000)):
+        start = time.time()
+        ranges = in_ranges(df, [("id", True)], per_range)
+        assert ranges.select("__range").distinct().count() >= 0.6 * want
+        largest = ranges.groupBy("__range").count().agg(F.max("count")).first()[0]
+        assert largest <= 3 * per_range + 1
+        if want == 1000:  # plan and all; the plan does not grow with the ranges
+            assert time.time() - start < 60
+
+
+def test_many_ranges_through_the_registered_queries(spark, monkeypatch):
+    """Every ranked query gives the same rows when its ranges are a few rows each."""
+    import __spark_entry__ as entry
+    keys = ["seller_rank", "seller_segments", "customer_value_tiers", "customer_rfm", "customer_clv", "customer_cumulative_payment_all"]
+    show = lambda: {k: sorted(map(str, entry.queries()[k](spark, "/root/testdata/sf0.001").collect())) for k in keys}
+    want = show()
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 15)
+    assert show() == want
 
 
 def test_empty_and_tiny_inputs(spark):
@@ -66,9 +83,20 @@ def test_running_sum_matches_window_with_hot_partition(spark):
     from marketlens.functions.ranking import running_sum
     df = _data(spark).withColumn("p", F.when(F.col("k") < 3, F.lit("hot")).otherwise(F.col("k").cast("string")))
     df = df.withColumn("val", F.coalesce("v", F.lit(0.0)).cast("decimal(18,2)"))
-    got = running_sum(df, ["p"], [("id", True)], "val", "r", bins=7)
+    got = running_sum(df, ["p"], [("id", True)], "val", "r", rows_per_range=200)
     w = Window.partitionBy("p").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     want = df.withColumn("r2", F.sum("val").over(w))
     j = got.join(want.select("id", "r2"), "id")
     assert j.count() == df.count()
     assert j.where("r <> r2").count() == 0
+
+
+def test_running_sum_with_nulls(spark):
+    from marketlens.functions.ranking import running_sum
+    rows = [(p, i, None if i % 4 < 2 else i) for p in ("a", None, "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "p string, i int, v int")
+    w = Window.partitionBy("p").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = sorted(map(str, df.withColumn("r", F.sum("v").over(w)).collect()))
+    for per_range in (4, 7, 50, 1000):
+        got = running_sum(df, ["p"], [("i", True)], "v", "r", rows_per_range=per_range)
+        assert sorted(map(str, got.collect())) == want

@@ -52,14 +52,16 @@ def try_dec(c, precision: int = 18, scale: int = 2) -> Column:
 
 
 def try_ts(c) -> Column:
-    """R3: 'yyyy-MM-dd[ HH:mm[:ss]]' -> timestamp_ntz; invalid dates -> NULL.
+    """R3: 'yyyy-MM-dd[ HH:mm[:ss[.f]]]' -> timestamp_ntz in whole seconds, half up; invalid dates -> NULL.
 
     The shape is checked first (a bare year such as '2018' is rejected), then
     ``try_cast`` to ``timestamp_ntz`` turns impossible dates into NULL; no
     session time zone is involved and nothing raises under ANSI mode.
     """
     s = clean_str(c)
-    return F.when(s.rlike(_TS_RE), s.try_cast("timestamp_ntz"))
+    whole = F.regexp_replace(s, "[.][0-9]+$", "").try_cast("timestamp_ntz")
+    up = F.when(s.rlike("[.][5-9][0-9]*$"), 1).otherwise(0)
+    return F.when(s.rlike(_TS_RE), F.timestamp_add("SECOND", up, whole))
 
 
 def left_str(c, n: int) -> Column:

@@ -95,7 +95,6 @@ DQ_CHECKS = [
     ("客户收货时间早于下单时间", "high",
      "order_delivered_customer_date 早于 order_purchase_timestamp，物流周期会出现负数。"),
 ]
-SEVERITY_ORDER = {"high": 1, "medium": 2}
 
 # Check-constraint names, in the order they are added.
 CONSTRAINT_NAMES = [

@@ -134,17 +134,21 @@ def category_summary(t: Tables) -> DataFrame:
 def products_above_avg_gmv(t: Tables, n: int = 50) -> DataFrame:
     """Product GMV (delivered orders) above the mean product GMV.
 
-    ``AVG() OVER ()`` is a scalar subquery over the product rows, not a
-    window over one partition.
+    Items are reduced to delivered ones and to product rows first; the mean is a scalar
+    subquery over the same product rows, and only products above it meet their category.
     """
     delivered = t.orders.where(F.col("order_status") == "delivered").select("order_id")
-    ps = (_items_with_category(t, L.UNCATEGORIZED).join(delivered, "order_id", "left_semi")
-          .groupBy("product_id", "product_category").agg(
-              F.countDistinct("order_id").alias("delivered_order_count"),
-              F.count("*").alias("item_row_count"),
-              msum("price").alias("product_gmv"), msum("freight_value").alias("freight_value")))
+    ps = (t.order_items.join(delivered, "order_id", "left_semi").groupBy("product_id").agg(
+        F.countDistinct("order_id").alias("delivered_order_count"),
+        F.count("*").alias("item_row_count"),
+        msum("price").alias("product_gmv"), msum("freight_value").alias("freight_value")))
     avg = ps.groupBy().agg(avg6("product_gmv", 2).alias("avg_product_gmv"))
-    return (ps.withColumn("avg_product_gmv", avg.scalar()).where(F.col("product_gmv") > F.col("avg_product_gmv"))
+    above = ps.withColumn("avg_product_gmv", avg.scalar()).where(F.col("product_gmv") > F.col("avg_product_gmv"))
+    named = (above.join(t.products.select("product_id", "product_category_name"), "product_id", "left")
+             .join(t.category_translation, "product_category_name", "left"))
+    label = category_label("product_category_name_english", "product_category_name", L.UNCATEGORIZED)
+    return (named.select("product_id", label.alias("product_category"), "delivered_order_count", "item_row_count",
+                         "product_gmv", "freight_value", "avg_product_gmv")
             .orderBy(F.col("product_gmv").desc(), "product_id").limit(n))
 
 

@@ -44,6 +44,28 @@ def table_preview(t: Tables, table: str, n: int = 10) -> DataFrame:
     return t[table].orderBy(*PREVIEW_ORDER[table]).limit(n)
 
 
+#: Views with a key that orders their preview.
+VIEW_PREVIEW_ORDER = {
+    "geolocation_zip_prefix": ["geolocation_zip_code_prefix"],
+    "order_payment": ["order_id"],
+    "order_item_summary": ["order_id"],
+    "order_review_score": ["order_id"],
+    "product_sales_summary": ["sold_item_row_count desc", "product_id"],
+    "kpi_snapshot": ["first_order_time"],
+    "monthly_business_trend": ["order_month_start"],
+    "customer_rfm": ["rfm_total_score desc", "customer_unique_id"],
+    "customer_clv": ["clv_12m_estimate desc", "customer_unique_id"],
+    "region_delivery_insight": ["late_delivery_rate desc", "customer_region"],
+    "cross_sell_category_pairs": ["co_purchase_order_count desc", "category_a", "category_b"],
+    "seller_retention": ["returning_customer_rate_percent desc", "seller_id"],
+}
+
+
+def view_preview(view: DataFrame, name: str, n: int = 10) -> DataFrame:
+    """First n rows of a view in the order of its preview; the key breaks ties."""
+    return view.orderBy(*[F.expr(c.removesuffix(" desc")).desc() if c.endswith(" desc") else F.col(c) for c in VIEW_PREVIEW_ORDER[name]]).limit(n)
+
+
 def orders_vs_items_count(t: Tables) -> DataFrame:
     """Q02: two counts; the column takes the first branch's name."""
     a = t.orders.groupBy().agg(F.count("*").alias("total_orders")).select(

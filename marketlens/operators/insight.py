@@ -50,7 +50,7 @@ def kpi_snapshot(t: Tables) -> DataFrame:
         avg6("late_delivery_flag").alias("late_delivery_rate"),
         F.min("order_purchase_timestamp").alias("first_order_time"),
         F.max("order_purchase_timestamp").alias("last_order_time"))
-    sellers = base.seller_summary(t).groupBy().agg(F.count("*").alias("seller_count"))
+    sellers = base.seller_order_analysis(t).select("seller_id").distinct().groupBy().agg(F.count("*").alias("seller_count"))
     return k.withColumn("seller_count", sellers.scalar()).select(
         "delivered_order_count", "buyer_count", "seller_count", "total_payment_value", "product_gmv",
         "freight_value", "avg_payment_per_order", "avg_product_gmv_per_order", "avg_review_score",
@@ -77,18 +77,24 @@ def _delivered_items_categorised(t: Tables, customer_cols: list[str] | None = No
 
 
 def category_seller_region_gmv(t: Tables) -> DataFrame:
-    """Category x seller x customer region (SUM keeps NULL for unknown prices)."""
+    """Category x seller x customer region (SUM keeps NULL for unknown prices).
+
+    An order has one buyer, so the distinct counts nest: rows per (group, buyer, order),
+    then per (group, buyer), then per group.  No row is expanded once per count.
+    """
     s = t.sellers.select("seller_id", "seller_state", "seller_city")
     d = (_delivered_items_categorised(t, ["customer_unique_id", "customer_state"])
          .withColumnRenamed("customer_state", "customer_region").join(s, "seller_id", "left"))
-    return d.groupBy("product_category_name", "product_category_name_english", "seller_id", "seller_state",
-                     "seller_city", "customer_region").agg(
-        F.count("*").alias("sold_item_row_count"),
-        F.countDistinct("order_id").alias("delivered_order_count"),
-        F.countDistinct("customer_unique_id").alias("buyer_count"),
-        msum_nullable("price").alias("product_gmv"),
-        msum_nullable("freight_value").alias("freight_value"),
-        avg6("price", 2).alias("avg_item_price"))
+    key = ["product_category_name", "product_category_name_english", "seller_id", "seller_state", "seller_city", "customer_region"]
+    sums = [F.sum(c).alias(c) for c in ("sold_item_row_count", "__priced")] + [msum_nullable(c).alias(c) for c in ("product_gmv", "freight_value")]
+    by_order = d.groupBy(*key, "customer_unique_id", "order_id").agg(
+        F.count("*").alias("sold_item_row_count"), F.count("price").alias("__priced"),
+        msum_nullable("price").alias("product_gmv"), msum_nullable("freight_value").alias("freight_value"))
+    by_buyer = by_order.groupBy(*key, "customer_unique_id").agg(*sums, F.count("order_id").alias("delivered_order_count"))
+    out = by_buyer.groupBy(*key).agg(*sums, F.sum("delivered_order_count").alias("delivered_order_count"),
+                                     F.count("customer_unique_id").alias("buyer_count"))
+    return out.select(*key, "sold_item_row_count", "delivered_order_count", "buyer_count", "product_gmv", "freight_value",
+                      (F.col("product_gmv") / F.nullif(F.col("__priced"), F.lit(0))).cast("decimal(38,6)").alias("avg_item_price"))
 
 
 def category_seller_region_top(t: Tables, n: int = 100) -> DataFrame:
@@ -370,11 +376,14 @@ def cross_sell_product_top(t: Tables, n: int = 100) -> DataFrame:
             .orderBy(F.col("co_purchase_order_count").desc(), "product_a", "product_b").limit(n))
 
 
-def cross_sell_category_pairs(t: Tables, chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """Category pairs per delivered order (a basket has at most one row per category)."""
-    oc = _delivered_items_categorised(t).select("order_id", F.col("product_category_name_english").alias("category_name"))
-    return pair_counts(oc, "order_id", "category_name", "category_a", "category_b", "co_purchase_order_count",
-                       chunk=chunk)
+def cross_sell_category_pairs(t: Tables) -> DataFrame:
+    """Category pairs per delivered order.
+
+    A basket has at most one row per category, so it stays small and a plain self-join will do.
+    """
+    oc = _delivered_items_categorised(t).select("order_id", F.col("product_category_name_english").alias("category_a")).distinct()
+    return (oc.join(oc.withColumnRenamed("category_a", "category_b"), "order_id").where("category_a < category_b")
+            .groupBy("category_a", "category_b").agg(F.count("*").alias("co_purchase_order_count")))
 
 
 def cross_sell_category_top(t: Tables, n: int = 100) -> DataFrame:
@@ -383,25 +392,28 @@ def cross_sell_category_top(t: Tables, n: int = 100) -> DataFrame:
 
 
 def seller_retention(t: Tables) -> DataFrame:
-    """Per seller, persons served, returning (>1 order) and long-term (>= 90 days)."""
-    dob = base.delivered_order_base(t)
-    soa = base.seller_order_analysis(t)
-    sco = (soa.where(F.col("customer_unique_id").isNotNull())
-           .select("seller_id", "customer_unique_id", "order_id", "order_purchase_timestamp").distinct())
-    scs = sco.groupBy("seller_id", "customer_unique_id").agg(
-        F.countDistinct("order_id").alias("delivered_order_count"),
+    """Per seller, persons served, returning (>1 order) and long-term (>= 90 days).
+
+    (order, seller) is unique in V06, so orders are counted without a distinct.  The seller's
+    place is joined to the finished seller rows, after map-side sums, so a seller with very
+    many customers is no join key of many rows.
+    """
+    served = base.seller_order_analysis(t).where(F.col("customer_unique_id").isNotNull())
+    scs = served.groupBy("seller_id", "customer_unique_id").agg(
+        F.count("*").alias("delivered_order_count"),
         days_between(F.min("order_purchase_timestamp"), F.max("order_purchase_timestamp")).alias("retention_days"))
-    ss = base.seller_summary(t).select("seller_id", "seller_state", "seller_city")
     ret = F.sum(F.when(F.col("delivered_order_count") > 1, 1).otherwise(0))
     lng = F.sum(F.when(F.col("retention_days") >= 90, 1).otherwise(0))
-    return (scs.join(ss, "seller_id", "left").groupBy("seller_id", "seller_state", "seller_city").agg(
+    by_seller = scs.groupBy("seller_id").agg(
         F.count("*").alias("total_customers"),
         ret.alias("returning_customers"),
         lng.alias("long_term_retained_customers"),
         share_pct(ret, F.count("*")).alias("returning_customer_rate_percent"),
         share_pct(lng, F.count("*")).alias("long_term_retention_rate_percent"),
         avg6("delivered_order_count").alias("avg_orders_per_customer"),
-        avg6("retention_days").alias("avg_retention_days")))
+        avg6("retention_days").alias("avg_retention_days"))
+    return (by_seller.join(t.sellers.select("seller_id", "seller_state", "seller_city"), "seller_id", "left")
+            .select("seller_id", "seller_state", "seller_city", *[c for c in by_seller.columns if c != "seller_id"]))
 
 
 def seller_retention_top(t: Tables, min_customers: int = 20, n: int = 100) -> DataFrame:

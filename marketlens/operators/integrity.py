@@ -208,7 +208,8 @@ def constraint_rules(t: Tables) -> list[tuple[str, str, DataFrame, "F.Column"]]:
 def constraint_status(t: Tables) -> DataFrame:
     """Violations per check rule; a rule is enforceable only with 0 violations.
 
-    Rules on the same table are counted in one pass over that table.
+    Rules on the same table are counted in one scan of it: one wide row per table, which
+    ``inline`` turns into a row per rule.
     """
     rules = constraint_rules(t)
     frames = []
@@ -218,10 +219,10 @@ def constraint_status(t: Tables) -> DataFrame:
     for tb, items in by_table.items():
         df = items[0][2]
         wide = df.groupBy().agg(*[_count_if(F.coalesce(pred, F.lit(False))).alias(f"v{k}") for k, _, _, pred in items])
-        for k, name, _, _ in items:
-            v = F.coalesce(F.col(f"v{k}"), F.lit(0)).cast("long")
-            frames.append(wide.select(F.lit(L.TABLE_LABELS[tb]).alias("table_name"), F.lit(name).alias("constraint_name"),
-                                      v.alias("violation_count"), F.when(v == 0, 1).otherwise(0).alias("enforceable")))
+        count = lambda k: F.coalesce(F.col(f"v{k}"), F.lit(0)).cast("long")
+        frames.append(wide.select(F.inline(F.array(*[F.struct(
+            F.lit(L.TABLE_LABELS[tb]).alias("table_name"), F.lit(name).alias("constraint_name"), count(k).alias("violation_count"),
+            F.when(count(k) == 0, 1).otherwise(0).alias("enforceable")) for k, name, _, _ in items]))))
     return _union(frames).orderBy("table_name", "constraint_name")
 
 

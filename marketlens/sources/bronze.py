@@ -19,11 +19,17 @@ ZIP_COLUMNS = {"customer_zip_code_prefix", "seller_zip_code_prefix", "geolocatio
 
 
 def read_csv(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """Nine raw CSV files -> bronze DataFrames keyed by silver table name."""
+    """Nine raw CSV files -> bronze DataFrames keyed by silver table name.
+
+    A header whose names or order differ from the schema is an error (``enforceSchema`` off).
+    Only review texts hold line breaks, so only reviews are read with ``multiLine``, which
+    makes a file one task; the other tables' files are split.
+    """
     out = {}
     for table, path in paths.items():
         out[table] = (spark.read.schema(schemas.bronze_schema(table))
-                      .option("header", True).option("multiLine", True)
+                      .option("header", True).option("enforceSchema", False)
+                      .option("multiLine", table == "order_reviews")
                       .option("escape", '"').option("quote", '"')
                       .csv(path))
     return out

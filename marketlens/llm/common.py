@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +22,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 256
+
+
+def slices(values, step: int = SLICE) -> Iterator[list]:
+    """The values of an Arrow array as lists of ``step``, so that a batch is never held twice."""
+    for at in range(0, len(values), step):
+        yield values.slice(at, step).to_pylist()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written files.
 

@@ -21,12 +21,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.common import materialise, prefix_sums, text_of
+from marketlens.llm.common import materialise, prefix_sums, slices, text_of
 from marketlens.llm.tokens import tokenizer, tokenizer_path
 
 LENGTH = 2048
@@ -39,29 +39,33 @@ BUCKET_ROUNDS = 512
 
 
 def token_ids(path: str, end_id: int):
-    """A Pandas UDF from text bytes to (number of ids, ids), with ``end_id`` last; ids are deflated."""
+    """An Arrow UDF from text bytes to (number of ids, ids), with ``end_id`` last; ids are deflated."""
     schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
-    @F.pandas_udf(schema)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(schema)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = tokenizer(path)
         end = np.array([end_id], words.dtype).tobytes()
         for texts in batches:
-            packed = [ids + end for ids in words.encode(texts.tolist())]
-            yield pd.DataFrame({"n": [len(p) // words.dtype.itemsize for p in packed], "ids": [zlib.compress(p, 1) for p in packed]})
+            out = []
+            for part in slices(texts):
+                packed = [ids + end for ids in words.encode(part)]
+                out += [(len(p) // words.dtype.itemsize, zlib.compress(p, 1)) for p in packed]
+            yield pa.StructArray.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["n", "ids"])
 
     return encode
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def checksums(ids: pd.Series, n: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def checksums(ids: pa.Array, n: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
     """CRC32 of each piece's ids as little-endian unsigned 32-bit integers."""
-    def one(packed: bytes, count: int, at, size) -> list[int]:
+    def one(packed: bytes, count: int, at: list[int], size: list[int]) -> list[int]:
         raw = zlib.decompress(packed)
         wide = memoryview(np.frombuffer(raw, f"<u{len(raw) // count}").astype("<u4").tobytes())
-        return [zlib.crc32(wide[4 * a:4 * (a + k)]) for a, k in zip(at.tolist(), size.tolist())]
+        return [zlib.crc32(wide[4 * a:4 * (a + k)]) for a, k in zip(at, size)]
 
-    return pd.Series([one(*x) for x in zip(ids, n, starts, lengths)])
+    parts = zip(*map(slices, (ids, n, starts, lengths)))
+    return pa.array([one(*x) for part in parts for x in zip(*part)], pa.list_(pa.int64()))
 
 
 def served(queues: DataFrame, total: int, length: int, unit: int) -> DataFrame:

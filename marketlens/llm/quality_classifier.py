@@ -21,12 +21,12 @@ import operator
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.common import text_of
+from marketlens.llm.common import slices, text_of
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
@@ -79,9 +79,9 @@ def bitmap(text: bytes) -> bytes:
     return np.packbits(marks).tobytes()
 
 
-@F.pandas_udf(T.BinaryType())
-def bitmaps(texts: pd.Series) -> pd.Series:
-    return texts.map(bitmap)
+@F.arrow_udf(T.BinaryType())
+def bitmaps(texts: pa.Array) -> pa.Array:
+    return pa.array([bitmap(t) for part in slices(texts) for t in part], pa.binary())
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
@@ -115,15 +115,13 @@ def dual_coordinate_descent(features: list[np.ndarray], y: np.ndarray, r: np.nda
     A row's dual variable stays within 0 and PENALTY; each step solves for one of them.
     """
     order = np.random.default_rng(7)
-    scaled = []
-    for f in features:
-        v = r[f]
-        scaled.append(v / max(math.sqrt(float(v @ v)), 1e-12))
+    lengths = [math.sqrt(float(r[f] @ r[f])) for f in features]
     w, bias, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(y))
-    norms = np.array([float(v @ v) + 1.0 for v in scaled])
+    norms = [1.0 + (s > 0) for s in lengths]
     for _ in range(EPOCHS):
         for i in order.permutation(len(y)):
-            f, v = features[i], scaled[i]
+            f = features[i]
+            v = r[f] / max(lengths[i], 1e-12)
             gradient = y[i] * (float(w[f] @ v) + bias) - 1.0
             new = min(max(alpha[i] - gradient / norms[i], 0.0), PENALTY)
             step = (new - alpha[i]) * y[i]
@@ -155,42 +153,45 @@ def margin(f: np.ndarray, weighted: np.ndarray, squares: np.ndarray, bias: float
     return float(weighted[f].sum()) / max(math.sqrt(float(squares[f].sum())), 1e-12) + bias
 
 
-def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model from all rows of the sample: one row of weighted, squares, bias, a, b."""
-    rows = pd.concat([pd.DataFrame({"_rank": [], "_label": [], "_bits": []}), *batches], ignore_index=True)
-    rows = rows.sort_values(["_rank", "_label"], ignore_index=True)
-    y = np.where(rows["_label"].to_numpy(int) == 1, 1, -1) if len(rows) else np.zeros(0, int)
-    features = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))) for b in rows["_bits"]]
+    seen = []
+    for batch in batches:
+        for part in slices(batch.to_struct_array()):
+            seen += [(r["_rank"], r["_label"], np.flatnonzero(np.unpackbits(np.frombuffer(r["_bits"], np.uint8))).astype(np.uint16)) for r in part]
+    seen.sort(key=lambda r: r[:2])
+    y = np.array([1 if label == 1 else -1 for _, label, _ in seen], int)
+    features = [f for _, _, f in seen]
     apart = np.arange(len(y)) % CALIBRATION_SHARE == 0
     zero = np.zeros(BUCKETS)
     if len(set(y[~apart])) < 2 or len(set(y[apart])) < 2:  # too few labels to learn from: the share of label 1
         p = ((y > 0).sum() + 1) / (len(y) + 2)
         model = (zero, zero, 0.0, 0.0, math.log(p / (1 - p)))
     else:
-        seen = [f for f, x in zip(features, apart) if not x]
-        r = log_count_ratios(seen, y[~apart])
-        w, bias = dual_coordinate_descent(seen, y[~apart], r)
+        known = [f for f, x in zip(features, apart) if not x]
+        r = log_count_ratios(known, y[~apart])
+        w, bias = dual_coordinate_descent(known, y[~apart], r)
         weighted, squares = w * r, r * r
         margins = np.array([margin(f, weighted, squares, bias) for f, x in zip(features, apart) if x])
         model = (weighted, squares, bias, *calibrate(margins, y[apart]))
-    yield pd.DataFrame([(model[0].tobytes(), model[1].tobytes(), *model[2:])], columns=["weighted", "squares", "bias", "a", "b"])
+    yield pa.RecordBatch.from_pylist([{"weighted": model[0].tobytes(), "squares": model[1].tobytes(), "bias": model[2], "a": model[3], "b": model[4]}])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           sample_rows: int = SAMPLE_ROWS) -> dict:
     """The fitted model as plain values (two vectors of BUCKETS numbers, three scalars)."""
     sample = training_sample(docs, labels, id_col, text_col, label_col, sample_rows)
-    fitted = sample.repartition(1).mapInPandas(fit, "weighted binary, squares binary, bias double, a double, b double").collect()
+    fitted = sample.repartition(1).mapInArrow(fit, "weighted binary, squares binary, bias double, a double, b double").collect()
     # without any sampled row there may be no partition to fit on
-    return fitted[0].asDict() if fitted else next(fit(iter(()))).iloc[0].to_dict()
+    return fitted[0].asDict() if fitted else next(fit(iter(()))).to_pylist()[0]
 
 
 def scorer(model: dict):
-    """A Pandas UDF from text bytes to the score."""
+    """An Arrow UDF from text bytes to the score."""
     shared = dict(model)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weighted, squares = np.frombuffer(shared["weighted"]), np.frombuffer(shared["squares"])
         marks = np.zeros(BUCKETS, bool)
 
@@ -201,7 +202,7 @@ def scorer(model: dict):
             return 1 / (1 + math.exp(-min(max(z, -35.0), 35.0)))
 
         for texts in batches:
-            yield texts.map(one).astype("float64")
+            yield pa.array([one(t) for part in slices(texts) for t in part], pa.float64())
 
     return score
 

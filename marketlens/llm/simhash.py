@@ -21,13 +21,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.common import connected, join_spread, keep_rows, materialise, text_of
+from marketlens.llm.common import connected, join_spread, keep_rows, materialise, slices, text_of
 
 SHINGLE = 4
 SEED = 42
@@ -58,10 +58,10 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.LongType())
+def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        yield texts.map(fingerprint).astype("int64")
+        yield pa.array([fingerprint(t) for part in slices(texts) for t in part], pa.int64())
 
 
 def position_sets(size: int) -> list[tuple[int, ...]]:

@@ -15,12 +15,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.common import text_of
+from marketlens.llm.common import slices, text_of
 from marketlens.llm.tokens import tokenizer, tokenizer_path
 from marketlens.session import ensure_checkpoint_dir
 
@@ -31,20 +31,23 @@ SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens
 
 
 def counter(path: str):
-    """A Pandas UDF from text bytes to (n, n_once): token counts of the text, and of the text without repeated lines."""
+    """An Arrow UDF from text bytes to (n, n_once): token counts of the text, and of the text without repeated lines."""
     schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("n_once", T.LongType())])
 
-    @F.pandas_udf(schema)
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(schema)
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = tokenizer(path)
         size = words.dtype.itemsize
-        for texts in batches:
-            texts = texts.tolist()
-            once = [b"\n".join(dict.fromkeys(t.split(b"\n"))) for t in texts]
-            whole = [len(ids) // size for ids in words.encode(texts)]
-            changed = [i for i, (a, b) in enumerate(zip(texts, once)) if len(a) != len(b)]
-            again = dict(zip(changed, (len(ids) // size for ids in words.encode([once[i] for i in changed]))))
-            yield pd.DataFrame({"n": whole, "n_once": [again.get(i, n) for i, n in enumerate(whole)]})
+        for batch in batches:
+            whole, distinct = [], []
+            for texts in slices(batch):
+                once = [b"\n".join(dict.fromkeys(t.split(b"\n"))) for t in texts]
+                n = [len(ids) // size for ids in words.encode(texts)]
+                changed = [i for i, (a, b) in enumerate(zip(texts, once)) if len(a) != len(b)]
+                again = dict(zip(changed, (len(ids) // size for ids in words.encode([once[i] for i in changed]))))
+                whole += n
+                distinct += [again.get(i, k) for i, k in enumerate(n)]
+            yield pa.StructArray.from_arrays([pa.array(whole, pa.int64()), pa.array(distinct, pa.int64())], ["n", "n_once"])
 
     return count
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words in the younger half of the cache; there are at most twice as many in memory.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 #: Bytes of text that are split into words at a time.
 CHUNK = 1 << 21
 SPACE = re.compile(rb"[\x20\x09-\x0D]")

@@ -24,9 +24,39 @@ def test_filters_and_projection_reach_the_silver_scan(spark, tables):
 
 def test_ranked_views_have_no_single_partition_exchange(tables, monkeypatch):
     from marketlens.functions import ranking
-    monkeypatch.setattr(ranking, "ROWS_PER_BIN", 2)  # force several ranges on the small fixture
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 20)  # force several ranges on the small fixture
     for df in (insight.customer_value_tiers(tables), analysis.seller_rank(tables)):
-        assert "SinglePartition" not in _plan(df)
+        for above in _plan(df).split("Exchange SinglePartition")[1:]:
+            assert "HashAggregate(keys=[__range" in above.split("\n")[1]  # one row per range
+
+
+def _silver(spark, tables):
+    out = tempfile.mkdtemp(prefix="marketlens-silver-")
+    catalog.write_silver(tables, out)
+    return catalog.from_parquet(spark, out)
+
+
+def test_constraint_status_scans_each_table_once(spark, tables):
+    from marketlens.operators import integrity
+    silver = _silver(spark, tables)
+    scans = [x for x in _plan(integrity.constraint_status(silver)).split("\n") if "FileScan" in x]
+    assert len(scans) == 5  # items, payments, reviews, geolocation, orders
+
+
+def test_nested_distinct_counts_need_no_expand(spark, tables):
+    assert "Expand" not in _plan(insight.category_seller_region_gmv(_silver(spark, tables)))
+
+
+def test_seller_retention_joins_finished_sellers(spark, tables):
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(insight.seller_retention(_silver(spark, tables)))
+        top = next(x for x in plan.split("\n") if "Join" in x)
+        assert "LeftOuter" in top  # above it nothing is grouped by seller any more
+        assert "HashAggregate" not in plan[:plan.index(top)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
 
 
 def test_bucketed_silver_removes_order_grain_shuffles(spark, tables):

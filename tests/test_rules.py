@@ -41,6 +41,13 @@ def test_r3_timestamps(spark):
     assert rows == [dt.datetime(2018, 1, 18), None, None, None, dt.datetime(2018, 1, 5, 7, 5, 9), None]
 
 
+def test_r3_timestamps_round_to_whole_seconds(spark):
+    texts = ["2018-01-05 03:04:05.499", "2018-01-05 03:04:05.5", "2018-01-05 03:04:05.700", "2018-12-31 23:59:59.999999", "2018-01-05 03:04:05.", "2018-02-30 00:00:00.5"]
+    rows = [r.t for r in one_col(spark, texts).select(try_ts("v").alias("t")).collect()]
+    at = dt.datetime(2018, 1, 5, 3, 4, 5)
+    assert rows == [at, at + dt.timedelta(seconds=1), at + dt.timedelta(seconds=1), dt.datetime(2019, 1, 1), None, None]
+
+
 def test_r6_late_by_day_vs_time(spark):
     df = spark.createDataFrame(
         [(dt.datetime(2018, 1, 20, 15, 0), dt.datetime(2018, 1, 20, 0, 0)),

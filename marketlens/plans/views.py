@@ -9,6 +9,7 @@ from __future__ import annotations
 from marketlens.operators import base, insight, integrity, lookup
 from marketlens.sources.catalog import Tables
 
+# The original view names.
 VIEWS = {
     "v_geolocation_zip_prefix": base.geolocation_zip_prefix,
     "v_phase3_order_payment": base.order_payment,

@@ -36,6 +36,32 @@ def _silver(spark, tables):
     return catalog.from_parquet(spark, out)
 
 
+def test_order_files_hold_separate_time_ranges(spark, tables):
+    import glob
+
+    import pyarrow.parquet as pq
+    out = tempfile.mkdtemp(prefix="marketlens-silver-")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else this little is one file
+    try:
+        catalog.write_silver(tables, out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spans = []
+    for f in glob.glob(f"{out}/orders/*.parquet"):
+        times = [t for t in pq.read_table(f, columns=["order_purchase_timestamp"]).column(0).to_pylist() if t is not None]
+        spans += [(min(times), max(times))] if times else []
+    spans.sort()
+    assert len(spans) > 1 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_files_per_bucket_do_not_change_the_rows(spark, tables):
+    out = tempfile.mkdtemp(prefix="marketlens-bucketed-")
+    bt = catalog.write_silver_bucketed(tables, out, "marketlens_test_files", 3, files_per_bucket=2)
+    for t in catalog.ORDER_KEYED:
+        assert bt[t].count() == tables[t].count() and bt[t].exceptAll(tables[t]).count() == 0
+    assert catalog.bucket_count(tables) >= 1
+
+
 def test_constraint_status_scans_each_table_once(spark, tables):
     from marketlens.operators import integrity
     silver = _silver(spark, tables)

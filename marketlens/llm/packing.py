@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.llm.common import materialise, prefix_sums, slices, text_of
-from marketlens.llm.tokens import tokenizer, tokenizer_path
+from marketlens.llm.tokens import TEXTS, tokenizer, tokenizer_path
 
 LENGTH = 2048
 END_ID = 1
@@ -48,7 +48,7 @@ def token_ids(path: str, end_id: int):
         end = np.array([end_id], words.dtype).tobytes()
         for texts in batches:
             out = []
-            for part in slices(texts):
+            for part in slices(texts, TEXTS):
                 packed = [ids + end for ids in words.encode(part)]
                 out += [(len(p) // words.dtype.itemsize, zlib.compress(p, 1)) for p in packed]
             yield pa.StructArray.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["n", "ids"])

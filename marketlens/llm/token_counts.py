@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.llm.common import slices, text_of
-from marketlens.llm.tokens import tokenizer, tokenizer_path
+from marketlens.llm.tokens import TEXTS, tokenizer, tokenizer_path
 from marketlens.session import ensure_checkpoint_dir
 
 KEY = ["source", "lang", "tokenizer"]
@@ -40,7 +40,7 @@ def counter(path: str):
         size = words.dtype.itemsize
         for batch in batches:
             whole, distinct = [], []
-            for texts in slices(batch):
+            for texts in slices(batch, TEXTS):
                 once = [b"\n".join(dict.fromkeys(t.split(b"\n"))) for t in texts]
                 n = [len(ids) // size for ids in words.encode(texts)]
                 changed = [i for i, (a, b) in enumerate(zip(texts, once)) if len(a) != len(b)]

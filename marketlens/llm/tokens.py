@@ -14,11 +14,14 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 
 #: Words in the younger half of the cache; there are at most twice as many in memory.
 CACHE_WORDS = 100_000
+#: Texts that are encoded together.
+TEXTS = 1024
 #: Bytes of text that are split into words at a time.
 CHUNK = 1 << 21
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -117,6 +120,10 @@ class WordTokenizer:
             self.young[word] = self.pack([t.id for t in self.merge(word.decode("ascii"))])
         return True
 
+    def lookup(self, words: list[bytes]) -> bytes:
+        """The ids of words that have been learned."""
+        return b"".join(itemgetter(*words)(self.young)) if len(words) > 1 else self.young[words[0]] if words else b""
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The packed ids of each text."""
         out: list[bytes] = []
@@ -125,7 +132,7 @@ class WordTokenizer:
 
         def flush() -> None:
             self.learn(set().union(*waiting))
-            out.extend(b"".join([self.young[w] for w in words]) for words in waiting)
+            out.extend(map(self.lookup, waiting))
             waiting.clear()
             self.waiting_bytes = 0
 
@@ -141,7 +148,7 @@ class WordTokenizer:
                 for part in chunks(text):
                     words = part.split()
                     self.learn(set(words))
-                    parts.append(b"".join([self.young[w] for w in words]))
+                    parts.append(self.lookup(words))
                 out.append(b"".join(parts))
                 continue
             waiting.append(text.split())

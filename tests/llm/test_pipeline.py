@@ -1,11 +1,18 @@
+import hashlib
+import re
+from collections import Counter
+
 import duckdb
 import pytest
 from cases import frame
 from compare import canon, duck_rows, spark_rows
+from test_simhash import components, plain_fingerprint
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from marketlens.llm import queries
+from marketlens.llm import mixing, quality_classifier, queries
+from marketlens.llm.tokens import tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -23,27 +30,61 @@ def test_oracle(spark, name):
     assert canon(*spark_rows(queries.QUERIES[name](spark, SMALL))) == canon(*duck_rows(con, queries.ORACLE[name]))
 
 
-def test_stages_in_order(spark, tmp_path):
+def by_hand(rows, scores, stage):
+    """Documents (doc_id, text, source) that a stage keeps, each as often as it returns it."""
+    if stage == "quality classifier":
+        return [r for r in rows if scores[r[0]] >= 0.7]
+    if stage == "exact dedup":
+        first = {}
+        for r in sorted(rows, key=lambda r: r[0]):
+            first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1]), r)
+        return list(first.values())
+    if stage == "simhash near-dedup":
+        ids, prints = [r[0] for r in rows], [plain_fingerprint(r[1]) for r in rows]
+        return [r for r, lowest in zip(rows, components(ids, prints)) if r[0] == lowest]
+    sizes, total = {}, {}
+    for doc_id, text, source in rows:
+        sizes[doc_id] = len(re.findall(r"[^\x20\x09-\x0D]+", text))
+        total[source] = total.get(source, 0) + sizes[doc_id]
+    targets = mixing.water_fill(total, {s: i % 3 + 1 for i, s in enumerate(sorted(total))}, sum(total.values()), 3)
+    out = []
+    for source, words in total.items():
+        quota, before = int(targets[source] + 0.5), 0
+        own = sorted((r for r in rows if r[2] == source), key=lambda r: hashlib.md5(f"mix:{r[0]}".encode()).hexdigest())
+        for r in own:
+            more = 2 * before + sizes[r[0]] <= 2 * (quota % words if words else 0) and quota % words > 0
+            out += [r] * (quota // words + more)
+            before += sizes[r[0]]
+    return out
+
+
+def test_stages_match_brute_force(spark, tmp_path):
     """Every stage takes all that its predecessor kept, and its decisions take effect."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    columns, sizes, ids = docs.columns, [docs.count()], []
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+    columns = docs.columns
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    scores = {r.doc_id: r.score for r in quality_classifier.classify(docs, labels).collect()}
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
         stage(spark, docs, SMALL).write.parquet(str(tmp_path / str(i)))
         before, docs = docs, spark.read.parquet(str(tmp_path / str(i)))
-        sizes.append(docs.count())
-        ids.append({r.doc_id for r in docs.select("doc_id").collect()})
-        if i < 4:
-            assert docs.columns == columns
-            assert docs.distinct().subtract(before.distinct()).count() == 0  # rows go through unchanged
-    assert sizes[0] > sizes[1] > sizes[2] >= sizes[3]
-    assert ids[3] <= ids[2] <= ids[1] <= ids[0] and ids[4] == ids[3]
-    # the packed tokens are those of the mixed rows, repeats included
-    mixed = spark.read.parquet(str(tmp_path / "3"))
-    packed = docs.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).toDF("doc_id", "n", "m").collect()
-    times = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
-    for r in packed:
-        n, m = (r.n, r.m) if r.n >= r.m else (r.m, r.n)
-        assert n == m * times[r.doc_id]
+        assert docs.columns == columns
+        assert docs.distinct().subtract(before.distinct()).count() == 0  # rows go through unchanged
+        rows = by_hand(rows, scores, name)
+        assert sorted(r.doc_id for r in docs.collect()) == sorted(r[0] for r in rows)
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, SMALL).collect()
+    want = Counter()
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    for doc_id, text, _ in rows:
+        want[doc_id] += len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+    got = Counter()
+    for p in packed:
+        got[p.doc_id] += p.length
+    assert got == want
+    fill = Counter()
+    for p in packed:
+        fill[p.sequence_id] += p.length
+    assert all(n == 2048 for s, n in fill.items() if s < max(fill))
 
 
 def test_awkward_rows_go_through_all_stages(spark, tmp_path):

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,18 +40,19 @@ BUCKET_ROUNDS = 512
 
 
 def token_ids(path: str, end_id: int):
-    """An Arrow UDF from text bytes to (number of ids, ids), with ``end_id`` last; ids are deflated."""
+    """An Arrow UDF from text bytes to (number of ids, ids), with ``end_id`` last; ids are compressed."""
     schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     @F.arrow_udf(schema)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = tokenizer(path)
         end = np.array([end_id], words.dtype).tobytes()
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for texts in batches:
             out = []
             for part in slices(texts, TEXTS):
                 packed = [ids + end for ids in words.encode(part)]
-                out += [(len(p) // words.dtype.itemsize, zlib.compress(p, 1)) for p in packed]
+                out += [(len(p) // words.dtype.itemsize, squeeze(p)) for p in packed]
             yield pa.StructArray.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["n", "ids"])
 
     return encode
@@ -60,10 +62,11 @@ def token_ids(path: str, end_id: int):
 def checksums(ids: pa.Array, n: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
     """CRC32 of each piece's ids as little-endian unsigned 32-bit integers."""
     def one(packed: bytes, count: int, at: list[int], size: list[int]) -> list[int]:
-        raw = zlib.decompress(packed)
+        raw = expand(packed)
         wide = memoryview(np.frombuffer(raw, f"<u{len(raw) // count}").astype("<u4").tobytes())
         return [zlib.crc32(wide[4 * a:4 * (a + k)]) for a, k in zip(at, size)]
 
+    expand = zstandard.ZstdDecompressor().decompress
     parts = zip(*map(slices, (ids, n, starts, lengths)))
     return pa.array([one(*x) for part in parts for x in zip(*part)], pa.list_(pa.int64()))
 

@@ -26,7 +26,11 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 
 
 class Rule(NamedTuple):
-    """A signature.  ``pattern`` sees words as `` word``; ``rank`` 0 goes first."""
+    """A signature.  ``pattern`` sees words as `` word``; ``rank`` 0 goes first.
+
+    Every text that ``pattern`` matches has a word that starts with ``keyword``: a pattern
+    whose alternatives share no such word is several rules.
+    """
 
     label: str
     keyword: str
@@ -38,14 +42,16 @@ class Rule(NamedTuple):
 #: Licence families: label, keyword, name as written in running text, versions.
 FAMILIES = [
     ("agpl", "affero", "(?: gnu)? affero general public licen[sc]e", ("1", "3")),
-    ("lgpl", "lesser", "(?: gnu)? (?:lesser|library) general public licen[sc]e", ("2", "2 1", "3")),
+    ("lgpl", "lesser", "(?: gnu)? lesser general public licen[sc]e", ("2", "2 1", "3")),
+    ("lgpl", "library", "(?: gnu)? library general public licen[sc]e", ("2", "2 1", "3")),
     ("gfdl", "documentation", "(?: gnu)? free documentation licen[sc]e", ("1 1", "1 2", "1 3")),
     ("gpl", "general", "(?: gnu)? general public licen[sc]e", ("1", "2", "3")),
     ("apache", "apache", " apache(?: software)? licen[sc]e", ("1", "1 1", "2")),
     ("mpl", "mozilla", " mozilla public licen[sc]e", ("1", "1 1", "2")),
     ("epl", "eclipse", " eclipse public licen[sc]e", ("1", "2")),
     ("edl", "eclipse", " eclipse distribution licen[sc]e", ("1",)),
-    ("cddl", "cddl", "(?: cddl| common development and distribution licen[sc]e)", ("1", "1 1")),
+    ("cddl", "cddl", " cddl", ("1", "1 1")),
+    ("cddl", "development", " common development and distribution licen[sc]e", ("1", "1 1")),
     ("cpl", "common", " common public licen[sc]e", ("1",)),
     ("cpal", "attribution", " common public attribution licen[sc]e", ("1",)),
     ("osl", "open", " open software licen[sc]e", ("1", "2", "3")),
@@ -83,7 +89,8 @@ FAMILIES = [
     ("beerware", "beerware", " beerware licen[sc]e", ()),
     ("ruby", "ruby", " ruby licen[sc]e", ()),
     ("vim", "vim", " vim licen[sc]e", ()),
-    ("bsd-2-clause", "bsd", " (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?", ()),
+    ("bsd-2-clause", "bsd", " (?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[sc]e)?", ()),
+    ("bsd-2-clause", "freebsd", " freebsd(?: licen[sc]e)?", ()),
     ("bsd-3-clause", "bsd", " (?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[sc]e)?", ()),
     ("bsd-4-clause", "bsd", " (?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[sc]e)?", ()),
     ("bsd", "bsd", " bsd licen[sc]e", ()),
@@ -107,7 +114,7 @@ SENTENCES = [
     ("bsd-3-clause", "endorse", " neither the name of(?: [^ ]+){1,12} may be used to endorse or promote products", 0.95),
     ("bsd-4-clause", "advertising", " all advertising materials mentioning features or use of this software", 0.95),
     ("zlib", "altered", " altered source versions must be plainly marked as such", 0.95),
-    ("boost", "boost", " permission is hereby granted free of charge to any person or organization obtaining a copy of the software", 0.95),
+    ("boost", "organization", " permission is hereby granted free of charge to any person or organization obtaining a copy of the software", 0.95),
     ("gpl", "redistribute", " you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e", 1.0),
     ("lgpl", "redistribute", " you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e", 1.0),
     ("agpl", "redistribute", " you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e", 1.0),
@@ -139,7 +146,9 @@ def rules() -> list[Rule]:
         for form, rank, confidence in FORMS:
             tag = " " + label.replace("-", " ")
             pattern = form.format(name=name, tag=tag)
-            found.append(Rule(label, "spdx" if "{tag}" in form else keyword, pattern, rank + 1, confidence))
+            rule = Rule(label, "spdx" if "{tag}" in form else keyword, pattern, rank + 1, confidence)
+            if rule not in found:  # the names of a label share its tag
+                found.append(rule)
             if "{name}" in form:
                 for v in versions:
                     numbers = f"(?: version| v)? v?{v}" + ("(?: 0)?" if " " not in v else "")

@@ -1,4 +1,6 @@
 import re
+from itertools import product
+from re import _constants as op, _parser
 
 from cases import ROWS, frame, key
 
@@ -60,3 +62,41 @@ def test_every_rule_compiles_and_is_gated_by_a_word_it_needs():
     for r in table:
         re.compile(r.pattern)
         assert r.pattern.startswith((" ", "(?: "))
+
+
+def texts_of(pattern):
+    """Texts that a pattern matches: each alternative, each character of a class, and repetitions as often as they must and once more."""
+    def expand(node):
+        kind, value = node
+        if kind is op.LITERAL:
+            return [chr(value)]
+        if kind is op.NOT_LITERAL:
+            return ["x"]
+        if kind is op.IN:
+            return [chr(v) if k is op.LITERAL else "7" for k, v in value]
+        if kind is op.BRANCH:
+            return [t for branch in value[1] for t in sequence(branch)]
+        if kind is op.SUBPATTERN:
+            return sequence(value[-1])
+        assert kind is op.MAX_REPEAT, kind
+        low, high, body = value
+        return [t for n in {low, min(low + 1, high)} for t in ("".join(p) for p in product(sequence(body), repeat=n))]
+
+    def sequence(nodes):
+        return ["".join(p) for p in product(*[expand(n) for n in nodes])]
+
+    return sequence(_parser.parse(pattern))
+
+
+def test_every_text_of_a_rule_holds_its_keyword():
+    for r in licenses.rules():
+        for text in texts_of(r.pattern):
+            assert re.fullmatch(r.pattern, text) and f" {r.keyword}" in text, (r, text)
+
+
+def test_alternatives_need_no_word_of_another(spark):
+    want = {"the GNU Library General Public License, version 2": "lgpl-2", "GNU Library General Public License": "lgpl",
+            "Common Development and Distribution License 1.0": "cddl-1", "the FreeBSD license": "bsd-2-clause",
+            "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software": "boost"}
+    got = licenses.scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()
+    assert {list(want)[r.doc_id]: r.labels for r in got} == want

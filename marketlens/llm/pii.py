@@ -6,11 +6,13 @@ instances of a graph; the words next to them are its patterns: the word before,
 words before, and the words on both sides.
 
 Spark scores the graph in rounds.  A pattern's confidence for a kind is the share of that
-kind among the distinct instances it extracts, with ``DOUBT`` instances of no kind added,
-so only patterns with many seeds and little else are trusted.  A candidate's score is the
-probability that at least one of its trusted patterns is right.  Accepted candidates count
-as instances of their kind in the next round, with their score as weight.  In the end all
-spans of accepted identifiers are added.
+kind among its distinct labelled instances, with ``DOUBT`` instances of no kind added, so
+only patterns with many seeds and little else are trusted.  Labelled are the seeds, the
+accepted candidates with their score as weight, and, against a kind, the candidates whose
+form rules it out; other candidates are unknown and count neither way.  A candidate's score
+is the probability that at least one of its trusted patterns is right.  A trusted pattern
+stays trusted, and the rounds end when none is added.  In the end all spans of accepted
+identifiers are added.
 
 Spans are found within the row; only spans and their contexts are shuffled, no texts.
 """
@@ -37,7 +39,6 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ADDRESS = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)*+"
 NUMBER = r"(?<![0-9])(?<![0-9][\x20().-])[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
 
-ROUNDS = 2
 #: Instances of no kind added to each pattern.
 DOUBT = 2.0
 TRUST = 0.9
@@ -112,33 +113,60 @@ def salted(rows: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
     return dealt.join(copies, [key, "_salt"]).drop("_salt")
 
 
-def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value, found_kind, score) of the accepted candidates.
+def may_be(value: Column, kind: str) -> Column:
+    """Whether the form of a candidate leaves room for ``kind``; numbers are bare digits."""
+    if kind == "email":
+        return ~value.rlike("^[0-9]*$")
+    low, high = {"ip": (4, 12), "card": (13, 19), "phone": (7, 15)}[kind]
+    return value.rlike(f"^[0-9]{{{low},{high}}}$")
+
+
+def bootstrap(occurrences: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(value, found_kind, score) of the accepted candidates, after ``rounds`` or when no pattern is added.
 
     ``occurrences`` has value, kind (null for a candidate) and contexts.
     """
     # an identifier counts once for a pattern, however often it is repeated; a seed's kind comes with its edge
     edges = materialise(occurrences.select("value", "kind", F.explode("contexts").alias("context"))
                         .groupBy("context", "value").agg(F.min("kind").alias("kind")))
-    labels = lambda kind, weight, one: [kind.alias("kind"), weight.alias("weight"), F.lit(one).alias("one")]
-    seeds = edges.where("kind is not null").select("context", *labels(F.col("kind"), F.lit(1.0), 1))
     candidates = edges.where("kind is null").select("context", "value")
-    unlabelled = candidates.select("context", *labels(F.lit(None).cast("string"), F.lit(0.0), 1))
-    accepted = None
-    for _ in range(rounds):
-        labelled = seeds.unionByName(unlabelled)
-        if accepted is not None:  # they are counted as instances already
+    counts = [c for k in KINDS for c in (f"_{k}", f"_not_{k}")]
+    sums = [F.sum(c).alias(c) for c in counts]
+
+    def labels(of, against) -> list[Column]:
+        weigh = lambda when, weight: F.when(when, weight).otherwise(0.0)
+        return [c for k in KINDS for c in (weigh(*of(k)).alias(f"_{k}"), weigh(*against(k)).alias(f"_not_{k}"))]
+
+    kind, found, one = F.col("kind"), F.col("found_kind"), F.lit(1.0)
+    seeds = edges.where("kind is not null").select("context", F.lit(0).alias("_open"), *labels(lambda k: (kind == k, one), lambda k: (kind != k, one)))
+    # a candidate whose form rules a kind out counts against it in full, and not again once it is accepted as another kind
+    unknown = candidates.select("context", F.lit(1).alias("_open"), *labels(lambda k: (F.lit(False), one), lambda k: (~may_be(F.col("value"), k), one)))
+    # only the patterns that extract a candidate matter
+    known = materialise(seeds.unionByName(unknown).groupBy("context").agg(F.sum("_open").alias("_open"), *sums).where("_open > 0").drop("_open"))
+    spark = occurrences.sparkSession
+    trusted = spark.createDataFrame([], "context string, found_kind string, confidence double")
+    accepted = spark.createDataFrame([], "value string, found_kind string, score double")
+    done = 0
+    while rounds is None or done < rounds:
+        patterns = known
+        if done:
             grown = salted(candidates, accepted, "value", "context")
-            labelled = labelled.unionByName(grown.select("context", *labels(F.col("found_kind"), F.col("score"), 0)))
-        sums = [F.sum(F.when(F.col("kind") == k, F.col("weight")).otherwise(0.0)).alias(f"_{k}") for k in KINDS]
-        patterns = labelled.groupBy("context").agg(F.sum("one").alias("_total"), *sums)
-        best = F.greatest(*[F.struct((F.col(f"_{k}") / (F.col("_total") + DOUBT)).alias("confidence"), F.lit(k).alias("kind")) for k in KINDS])
-        strong = patterns.select("context", best.alias("_b")).where(F.col("_b.confidence") >= TRUST).select(
-            "context", F.col("_b.kind").alias("found_kind"), F.col("_b.confidence").alias("confidence"))
-        scored = salted(candidates, strong, "context", "value").groupBy("value", "found_kind").agg(
+            grown = grown.select("context", *labels(lambda k: (found == k, F.col("score")),
+                                                    lambda k: ((found != k) & may_be(F.col("value"), k), F.col("score"))))
+            patterns = known.unionByName(grown).groupBy("context").agg(*sums).join(trusted, "context", "left_anti")
+        share = lambda k: F.col(f"_{k}") / (F.col(f"_{k}") + F.col(f"_not_{k}") + DOUBT)
+        best = F.greatest(*[F.struct(share(k).alias("confidence"), F.lit(k).alias("kind")) for k in KINDS])
+        fresh = materialise(patterns.select("context", best.alias("_b")).where(F.col("_b.confidence") >= TRUST).select(
+            "context", F.col("_b.kind").alias("found_kind"), F.col("_b.confidence").alias("confidence")))
+        if fresh.isEmpty():
+            break
+        trusted = materialise(trusted.unionByName(fresh)) if done else fresh
+        fits = F.coalesce(*[F.when(F.col("found_kind") == k, may_be(F.col("value"), k)) for k in KINDS])
+        scored = salted(candidates, trusted, "context", "value").where(fits).groupBy("value", "found_kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         accepted = materialise(scored.groupBy("value").agg(F.max(F.struct("score", "found_kind")).alias("_b"))
                                .select("value", F.col("_b.found_kind").alias("found_kind"), F.col("_b.score").alias("score")))
+        done += 1
     return accepted
 
 
@@ -149,7 +177,7 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """One row per input row: id, base (start, end, kind), added (start, end, kind, score).
 
     A null text counts as empty and has no spans.  Repeated rows and null ids are searched

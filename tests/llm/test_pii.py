@@ -75,3 +75,23 @@ def test_accepted_candidates_support_further_contexts(spark):
     assert [s.kind for s in found[300].added] == ["phone"] and [s.kind for s in found[1].added] == ["phone"]
     one = pii.find(spark.createDataFrame([*seeds, *bridge, (1, "reach us via 777-7654321 today")], "doc_id long, text string"), rounds=1)
     assert not one.where("doc_id = 1").first().added
+
+
+def added(spark, rows):
+    return {r.doc_id: [s.kind for s in r.added] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_unseen_identifiers_do_not_count_against_their_pattern(spark):
+    seeds = [(i, f"phone: +1 555 {i:07d} now") for i in range(100, 150)]
+    unseen = [(i, f"phone: 555-12{i:05d} now") for i in range(300, 310)]
+    # an address cannot be a phone number: it is not found, and speaks against the pattern
+    against = [(i, f"dial +1 777 {i:07d} or") for i in range(400, 450)] + [(i, f"dial u{i}@host or") for i in range(500, 510)] + [(600, "dial 555-7654321 or")]
+    found = added(spark, [*seeds, *unseen, *against, (1, "phone: someone@host now")])
+    assert [i for i, kinds in sorted(found.items()) if kinds] == list(range(300, 310)) and found[300] == ["phone"]
+
+
+def test_rounds_go_on_until_nothing_is_added(spark):
+    seeds = [(i, f"phone: +1 555 {i:07d} now") for i in range(100, 140)]
+    steps = ["phone: {} now", "reach us via {} today", "my line is {} ok", "ring at {} please", "last"]
+    chain = [(1000 * (s + 1) + 10 * i + j, steps[s + j].format(f"555-{s}2{i:05d}")) for s in range(3) for i in range(40) for j in range(2)]
+    assert added(spark, [*seeds, *chain, (1, "ring at 777-7654321 please")])[1] == ["phone"]

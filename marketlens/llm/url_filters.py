@@ -3,7 +3,7 @@
 The urls that a rule allows or blocks are the labelled ones.  The trees learn from their
 lexical features, without the html: lengths, depth, digit ratio, character entropy,
 parameter counts, and the share of blocked urls among the labelled ones with the same
-host suffix.  Spark trains the trees over all labelled urls.
+host suffix, taken out of fold.  Spark trains the trees over all labelled urls.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ RULES = (Rule("allow", "com/"), Rule("block", "example.com/en/"), Rule("allow",
 TREES, DEPTH, STEP, SEED = 20, 4, 0.2, 11
 #: Weight of the overall share of blocked urls in the share of one suffix.
 PRIOR = 20.0
+#: Folds of the labelled urls; a labelled url sees the suffix shares of the other folds.
+FOLDS = 8
 #: A url is blocked if its probability is at least this.
 THRESHOLD = 0.5
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "secure",
@@ -88,18 +90,23 @@ def lexical(pages: DataFrame) -> DataFrame:
 def with_suffix_shares(rows: DataFrame) -> DataFrame:
     """Adds the smoothed share of blocked urls by host suffix, over the labelled rows.
 
-    A labelled row does not count itself, so its own label is no feature of it.
+    A labelled row gets the share of the other folds, which are dealt by its id and url:
+    the rows of a suffix and fold have one value, whatever their labels.  The others get
+    the share of all folds.
     """
+    rows = rows.withColumn("_fold", F.when(F.col("_label").isNotNull(), F.pmod(F.xxhash64("_id", "_url"), F.lit(FOLDS)).cast("int")))
     labelled = rows.where("_label is not null")
     overall = labelled.agg(F.avg("_label").alias("_overall"))
+    in_fold = lambda x: F.array(*[F.sum(F.when(F.col("_fold") == i, x).otherwise(0.0)) for i in range(FOLDS)])
+    own = lambda folds: F.coalesce(F.get(folds, F.col("_fold")), F.lit(0.0))
     for suffix, name in (("_last", "last_label_blocked"), ("_last_two", "last_two_blocked")):
-        totals = labelled.groupBy(F.col(suffix).alias("_s")).agg(F.sum("_label").alias("_b"), F.count("*").alias("_c"))
-        own = F.col("_label").isNotNull().cast("int")
-        blocked = F.coalesce("_b", F.lit(0.0)) - F.coalesce("_label", F.lit(0.0))
-        seen = F.coalesce("_c", F.lit(0)) - own
+        totals = labelled.groupBy(F.col(suffix).alias("_s")).agg(
+            F.sum("_label").alias("_b"), F.count("*").alias("_c"), in_fold(F.col("_label")).alias("_bs"), in_fold(F.lit(1.0)).alias("_cs"))
+        blocked = F.coalesce("_b", F.lit(0.0)) - own(F.col("_bs"))
+        seen = F.coalesce("_c", F.lit(0)) - own(F.col("_cs"))
         joined = rows.join(totals, rows[suffix] == F.col("_s"), "left").withColumn("_overall", F.coalesce(overall.scalar(), F.lit(0.0)))
-        rows = joined.withColumn(name, (blocked + PRIOR * F.col("_overall")) / (seen + PRIOR)).drop("_s", "_b", "_c", "_overall")
-    return rows
+        rows = joined.withColumn(name, (blocked + PRIOR * F.col("_overall")) / (seen + PRIOR)).drop("_s", "_b", "_c", "_bs", "_cs", "_overall")
+    return rows.drop("_fold")
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:

@@ -72,3 +72,21 @@ def test_features(spark):
     assert got._last_two == "example.org"
     empty = spark.createDataFrame([("",)], "u string").select(url_filters.entropy(F.col("u"))).first()[0]
     assert empty == 0
+
+
+def test_lexical_signals_decide_within_a_shared_suffix(spark):
+    rules = (url_filters.Rule("allow", "shared.com/xyz/"), url_filters.Rule("block", "shared.com/yxz/"))
+    plain = lambda place, numbers: [f"https://h{i}.shared.com/{place}/{i}" for i in numbers]
+    long = lambda place, numbers: [f"https://h{i}.shared.com/{place}/{i}?a=1&b=2&c={i}" for i in numbers]
+    # places of the same letters have the same entropy; a tenth of the labelled urls go against the signal, so only a leaked label would fit them all
+    urls = plain("zxy", range(500, 510)) + long("zxy", range(500, 510))
+    urls += plain("xyz", range(100, 500)) + long("xyz", range(100, 500, 9)) + long("yxz", range(100, 400)) + plain("yxz", range(100, 400, 9))
+    got = {r.page_id: r.verdict for r in url_filters.filter_urls(frame(spark, urls), rules=rules).collect()}
+    assert [got[i] for i in range(10)].count("allow") >= 9 and [got[10 + i] for i in range(10)].count("block") >= 9
+
+
+def test_suffix_shares_do_not_tell_a_rows_own_label(spark):
+    rows = spark.createDataFrame([(i, f"u{i}", "com", "s.com", float(i % 3 == 0)) for i in range(600)], "_id long, _url string, _last string, _last_two string, _label double")
+    by_value = url_filters.with_suffix_shares(rows).groupBy("last_label_blocked").agg(F.min("_label").alias("low"), F.max("_label").alias("high")).collect()
+    assert all((r.low, r.high) == (0, 1) for r in by_value)
+    assert 1 < len(by_value) <= url_filters.FOLDS

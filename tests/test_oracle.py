@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from marketlens.plans import registry
 from tests.compare import canon, duck_rows, spark_rows
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+registry.load_all()
+QUERIES = registry.QUERIES
+ORACLE = registry.ORACLE
 SMALL = "/root/testdata/sf0.001"
 
 

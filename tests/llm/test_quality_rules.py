@@ -42,21 +42,23 @@ def verdict(spark, text):
     return quality_rules.quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
 
 
+PROSE = "The committee met on Tuesday and agreed on the budget for the coming year, after a long debate about roads."
+OTHER = "Most of the money goes to schools, and what is left will pay for two new bridges over the river"
+
+
 def test_lines_fail_one_by_one(spark):
-    prose = "The committee met on Tuesday and agreed on the budget for the coming year, after a long debate about roads."
-    r = verdict(spark, f"Home | News | Contact | About\n{prose}\nWe use cookies.\nRead on\n{prose[:-1]}!")
+    r = verdict(spark, f"Home | News | Contact | About\n{PROSE}\nWe use cookies.\nRead on\n{OTHER}!")
     assert (r.n_navigation_lines, r.n_boilerplate_lines, r.n_lines) == (1, 1, 5)
     assert r.n_unended_lines == 2  # the menu, and a line of two words
-    assert r.kept and r.clean_text == f"{prose}\n{prose[:-1]}!"
+    assert r.kept and r.clean_text == f"{PROSE}\n{OTHER}!"
 
 
 def test_a_document_that_loses_too_much_goes(spark):
-    prose = "The committee met on Tuesday and agreed on the budget for the coming year, after a long debate about roads."
     junk = " | ".join(f"entry{i}" for i in range(40))
-    assert not verdict(spark, f"{prose}\n{junk}").kept
+    assert not verdict(spark, f"{PROSE}\n{junk}").kept
     noise = " ".join(f"word{i}$$$" for i in range(40))
-    assert not verdict(spark, f"{prose}\n{noise}").kept
-    assert verdict(spark, f"{prose}\n{prose[:-1]}, we read.").kept
+    assert not verdict(spark, f"{PROSE}\n{noise}").kept
+    assert verdict(spark, f"{PROSE}\n{OTHER}, we read.").kept
 
 
 def test_verdicts_follow_the_labels(spark):

@@ -3,7 +3,9 @@
 The tokenizer lower-cases, drops white space and never joins across it, so the ids of a
 text are those of its lower-cased words.  Most words recur, so a worker encodes a word once
 and then copies its ids.  Signs behind a letter or digit are a token group of their own, so
-such a word has the ids of what is before them and those of the signs.  Words of
+such a word has the ids of what is before them and those of the signs.  What counts is the
+last character that the tokenizer sees, after composition (NFC) and lower-casing: a few
+letters end in a combining mark then, which joins the signs.  Words of
 plain letters go straight to the tokenizer's merges, without its normaliser and splitter;
 a probe at the start makes sure that both ways give the same ids.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -27,6 +30,9 @@ CHUNK = 1 << 21
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: ASCII signs that never join a letter; the apostrophe does, in contractions.
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: First bytes of the combining marks that join ASCII letters; composition goes before lower-casing, so texts
+#: with one keep their capitals in the cache.
+MARKS = (b"\xcc", b"\xcd")
 #: A text with this is left to the tokenizer as a whole, as its special tokens are not lower-cased.
 SPECIAL = b"<|"
 
@@ -56,6 +62,11 @@ def chunks(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
+def ends_plain(word: bytes) -> bool:
+    """Whether a word ends in a letter or digit once it is composed and then lower-cased."""
+    return unicodedata.normalize("NFC", word.decode("utf-8")).lower()[-1].isalnum()
+
+
 class WordTokenizer:
     """Encodes texts with the tokenizer file at ``path``; ids are packed little-endian unsigned integers."""
 
@@ -92,7 +103,7 @@ class WordTokenizer:
 
         for w in words - young.keys():
             core = w.rstrip(SIGNS)
-            if core and len(core) < len(w) and w not in old and (core[-1:].isalnum() or core[-1] > 127 and core.decode("utf-8")[-1].isalnum()):
+            if core and len(core) < len(w) and w not in old and (core[-1:].isalnum() or core[-1] > 127 and ends_plain(core)):
                 ended.append((w, core, w[len(core):]))
             else:
                 single(w)
@@ -117,7 +128,7 @@ class WordTokenizer:
                 return False
             self.young[word] = self.pack(self.merged(text.lower()))
         else:
-            self.young[word] = self.pack([t.id for t in self.merge(word.decode("ascii"))])
+            self.young[word] = self.pack([t.id for t in self.merge(word.lower().decode("ascii"))])
         return True
 
     def lookup(self, words: list[bytes]) -> bytes:
@@ -141,7 +152,8 @@ class WordTokenizer:
                 flush()
                 out.append(self.pack(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids))
                 continue
-            text = text.lower()
+            if not any(lead in text for lead in MARKS):
+                text = text.lower()
             if len(text) > CHUNK:
                 flush()
                 parts = []

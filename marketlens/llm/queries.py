@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import (exact_dedup, licenses, mixing, packing, pii, quality_classifier, quality_rules, simhash, token_counts,
+from marketlens.llm import (best_fit, exact_dedup, licenses, mixing, packing, pii, quality_classifier, quality_rules, simhash, token_counts,
                              url_filters)
 from marketlens.llm.common import materialise, read_table
 
@@ -131,3 +131,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.transform("added", lambda s: F.struct(s["start"], s["end"], s["kind"]))
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
                         pii.spans_text(F.concat("base", plain)).alias("spans"))
+
+
+@query("op11_best_fit")
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(read_table(spark, sf_dir, "documents"))

@@ -117,8 +117,8 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, spread: Column, lea
 
 
 def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str, out: str,
-                total: str | None = None) -> DataFrame:
-    """Sum of ``value`` over the rows of the same ``group`` that come before the row,
+                total: str | None = None, kind: str = "long") -> DataFrame:
+    """Sum of ``value`` over the rows of the same ``group`` that come before the row, as ``kind``,
     in the order (``bucket``, ``order``...); ``total`` names a column for the sum of the group.
 
     Three levels keep every window small: rows within a bucket, buckets within a run
@@ -140,7 +140,7 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
     rows = df.withColumn("_before", F.coalesce(F.sum(value).over(w), F.lit(0)))
     on = [rows[c].eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate([*group, bucket])]
     placed = rows.join(starts, on)
-    sums = [(F.col("_begin") + F.col("_before")).cast("long").alias(out)] + ([F.col("_all").alias(total)] if total else [])
+    sums = [(F.col("_begin") + F.col("_before")).cast(kind).alias(out)] + ([F.col("_all").alias(total)] if total else [])
     return placed.select(*df.columns, *sums)
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import (best_fit, exact_dedup, licenses, mixing, packing, pii, quality_classifier, quality_rules, simhash, token_counts,
+from marketlens.llm import (best_fit, exact_dedup, licenses, mixing, packing, pii, prefix_trie, quality_classifier, quality_rules, simhash, token_counts,
                              url_filters)
 from marketlens.llm.common import materialise, read_table
 
@@ -136,3 +136,33 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_best_fit")
 def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", r"""
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS said, turn
+               FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) AS nth, said,
+                 len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words FROM t),
+    c AS (SELECT conv_id, conv_id - conv_id % 20 AS family,
+                 xor(4294967295, list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+                     lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda z, i: xor(z >> 1, 3988292384 * (z & 1))))) % 4 AS h
+          FROM (SELECT DISTINCT conv_id FROM o)),
+    r AS (SELECT c.conv_id, 0 AS own, nth, said, words FROM c JOIN o ON o.conv_id = family AND nth <= h
+          UNION ALL SELECT conv_id, 1, nth, said, words FROM c JOIN o USING (conv_id) WHERE nth > h),
+    s AS (SELECT conv_id, list(said ORDER BY own, nth) AS seq, list(words ORDER BY own, nth) AS words FROM r GROUP BY conv_id
+          UNION ALL SELECT conv_id, [], [] FROM c WHERE conv_id NOT IN (SELECT conv_id FROM r)),
+    p AS (SELECT conv_id, d, seq[1:d] AS node, len(seq) = d AS ends, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS w
+          FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM s)),
+    g AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY node, d),
+    k AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS children FROM g WHERE d > 0 GROUP BY ALL),
+    f AS (SELECT g.*, coalesce(children, 0) AS children FROM g LEFT JOIN k USING (node, d)),
+    a AS (SELECT node[1:x] AS node, x AS d, count(*) FILTER (children = 0) AS leaves, sum((n - 1) * w)::BIGINT AS saved
+          FROM (SELECT *, unnest(range(0, d + 1)) AS x FROM f) GROUP BY ALL)
+    SELECT f.conv_id, f.d AS depth, above.conv_id AS parent_conv_id, f.n AS n_convs, f.children AS n_children, leaves AS n_leaves,
+           saved AS saved_tokens, f.ends_sha256
+    FROM f JOIN a USING (node, d) LEFT JOIN g above ON f.d > 0 AND above.node = f.node[1:f.d - 1] AND above.d = f.d - 1
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))

@@ -42,6 +42,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session made in the shared checkpoint folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_of(name: str) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import (best_fit, exact_dedup, licenses, mixing, packing, pii, prefix_trie, quality_classifier, quality_rules, simhash, token_counts,
+from marketlens.llm import (best_fit, collocations, exact_dedup, licenses, mixing, packing, pii, prefix_trie, quality_classifier, quality_rules, simhash, token_counts,
                              url_filters)
 from marketlens.llm.common import materialise, read_table
 
@@ -166,3 +166,27 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
+@query("op13_collocations", r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+          FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+    n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+    g AS (SELECT lang, unnest(flatten([[w[i:i + k - 1] FOR i IN range(1, len(w) - k + 2)] FOR k IN range(1, 5)])) AS p FROM w),
+    f AS (SELECT lang, p, count(*) AS f FROM g GROUP BY lang, p HAVING count(*) >= 30),
+    c AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+    s AS (SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+          FROM c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+    i AS (SELECT lang, p, max(f) AS longer FROM (
+              SELECT lang, f, unnest(flatten([[p[j:j + m - 1] FOR j IN range(1, len(p) - m + 2)] FOR m IN range(2, len(p))])) AS p
+              FROM f WHERE len(p) > 2) GROUP BY ALL),
+    o AS (SELECT b.* FROM b LEFT JOIN i USING (lang, p) WHERE longer IS NULL OR 100 * longer < 80 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+           array_to_string(p, ' ') AS phrase, a, l, r, n, score
+    FROM o JOIN n USING (lang) QUALIFY rank <= 2000
+""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_all_operators_and_the_pipeline_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(queries.ORACLE) <= set(queries.QUERIES)
 
 

@@ -150,3 +150,8 @@ def pct(n, d, scale: int = 2) -> Column:
 
 def category_label(english, native, default: str) -> Column:
     return F.coalesce(col_(english), col_(native), F.lit(default))
+
+
+def ordered_list(value: str, *order: str, sep: str = ", ") -> Column:
+    """The values of a group as one text, in the order of other columns (``STRING_AGG ... WITHIN GROUP``)."""
+    return F.expr(f"listagg({value}, '{sep}') WITHIN GROUP (ORDER BY {', '.join(order)})")

@@ -4,11 +4,13 @@
 (``Exchange SinglePartition``).  Here Spark deals the rows to ranges of the wanted order
 with ``repartitionByRange`` and sorts each range; a row's place is the number of rows in
 the ranges before its own plus its place in its range.  The number of ranges follows the
-number of rows, ``ROWS_PER_RANGE`` each, at every size.
+number of rows, ``ROWS_PER_RANGE`` each, at every size.  If all rows make one range there is
+nothing to deal: one task would sort them in any case, so they are numbered by a window.
 
 The sorted ranges are written to the checkpoint folder: their boundaries come from a sample
 that Spark takes anew each time, so a plan that is run twice would otherwise cut the ranges
-in two ways.  What is known of the ranges (one row for each) is broadcast.
+in two ways.  A single range has no boundaries and needs no such file.  What is known of the
+ranges (one row for each) is broadcast.
 """
 
 from __future__ import annotations
@@ -28,11 +30,22 @@ def _sort_cols(order: Order) -> list[Column]:
     return [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in order]
 
 
-def in_ranges(df: DataFrame, order: Order, rows_per_range: int | None = None) -> DataFrame:
-    """``df`` sorted into ranges, with __range and __nth, the row's place in its range from 0."""
-    n = -(-df.count() // (rows_per_range or ROWS_PER_RANGE))
+def ranges_of(df: DataFrame, rows_per_range: int | None = None) -> int:
+    """The number of ranges that the rows make."""
+    return max(1, -(-df.count() // (rows_per_range or ROWS_PER_RANGE)))
+
+
+def in_ranges(df: DataFrame, order: Order, rows_per_range: int | None = None, n: int | None = None) -> DataFrame:
+    """``df`` sorted into ranges, with __range and __nth, the row's place in its range from 0.
+
+    ``n`` is the number of ranges if it is known.
+    """
+    n = n or ranges_of(df, rows_per_range)
     cols = _sort_cols(order)
-    dealt = df.repartitionByRange(max(1, n), *cols).sortWithinPartitions(*cols)
+    if n == 1:
+        place = F.row_number().over(Window.orderBy(*cols)) - 1
+        return df.withColumns({"__range": F.lit(0).cast("long"), "__nth": place.cast("long")})
+    dealt = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
     rows = stable(dealt.withColumn("__id", F.monotonically_increasing_id()))
     return (rows.withColumn("__range", F.shiftright("__id", _ROW_BITS))
             .withColumn("__nth", F.col("__id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).drop("__id"))
@@ -50,7 +63,7 @@ def _offset(rows: DataFrame, amount: Column) -> DataFrame:
     return rows.join(F.broadcast(_before(rows, amount)), F.col("__range") == F.col("__r")).drop("__r")
 
 
-def global_ntile(df: DataFrame, n: int, order: Order, id_col: str, out: str, rows_per_range: int | None = None) -> DataFrame:
+def global_ntile(df: DataFrame, n: int, order: Order, id_col: str, out: str, rows_per_range: int | None = None, ranges: int | None = None) -> DataFrame:
     """NTILE(n) OVER (ORDER BY order..., id_col) without a single-partition window.
 
     ``order`` is a list of (column, ascending).  The id breaks ties (R13), so
@@ -58,7 +71,10 @@ def global_ntile(df: DataFrame, n: int, order: Order, id_col: str, out: str, row
     """
     if n <= 0:
         raise ValueError("ntile needs n > 0")
-    placed = _offset(in_ranges(df, [*order, (id_col, True)], rows_per_range), F.count("*"))
+    ranges = ranges or ranges_of(df, rows_per_range)
+    if ranges == 1:
+        return df.withColumn(out, F.ntile(n).over(Window.orderBy(*_sort_cols([*order, (id_col, True)]))).cast("int"))
+    placed = _offset(in_ranges(df, [*order, (id_col, True)], rows_per_range, ranges), F.count("*"))
     pos, base, big = F.col("__before") + F.col("__nth"), F.expr(f"__all div {n}"), F.col("__all") % n
     cut = big * (base + 1)
     in_small = big + F.floor((pos - cut) / F.nullif(base, F.lit(0))) + 1
@@ -67,9 +83,10 @@ def global_ntile(df: DataFrame, n: int, order: Order, id_col: str, out: str, row
 
 
 def global_ntiles(df: DataFrame, specs: list[tuple[int, Order, str]], id_col: str, rows_per_range: int | None = None) -> DataFrame:
-    """Several NTILEs over the same rows; ``specs`` holds (n, order, output column)."""
+    """Several NTILEs over the same rows, counted once; ``specs`` holds (n, order, output column)."""
+    ranges = ranges_of(df, rows_per_range)
     for n, order, out in specs:
-        df = global_ntile(df, n, order, id_col, out, rows_per_range)
+        df = global_ntile(df, n, order, id_col, out, rows_per_range, ranges)
     return df
 
 
@@ -82,6 +99,9 @@ def global_rank(df: DataFrame, order: Order, out: str, partition_by: list[str] |
     partition is still spread over many tasks.
     """
     leading = [(c, True) for c in partition_by or []]
+    if ranges_of(df, rows_per_range) == 1:
+        w = Window.partitionBy(*partition_by) if partition_by else Window
+        return df.withColumn(out, F.rank().over(w.orderBy(*_sort_cols(order))).cast("int"))
     names = [c for c, _ in [*leading, *order]]
     keys = in_ranges(df.groupBy(*names).agg(F.count("*").alias("__w")), [*leading, *order], rows_per_range)
     w = Window.partitionBy("__range").orderBy("__nth").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +125,8 @@ def stable(df: DataFrame, enabled: bool = True) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def running_sum(df: DataFrame, partition_by: list[str], order: Order, value: str, out: str, rows_per_range: int | None = None) -> DataFrame:
+def running_sum(df: DataFrame, partition_by: list[str], order: Order, value: str, out: str, rows_per_range: int | None = None,
+                ranges: int | None = None) -> DataFrame:
     """SUM(value) OVER (PARTITION BY p ORDER BY order ROWS UNBOUNDED PRECEDING).
 
     ``order`` must make rows unique within a partition.  Each range of (p, order...) runs
@@ -114,7 +135,10 @@ def running_sum(df: DataFrame, partition_by: list[str], order: Order, value: str
     boundary, so their sums are broadcast.  As with the window, the sum is NULL until the
     first value that is not.
     """
-    rows = in_ranges(df, [*[(c, True) for c in partition_by], *order], rows_per_range)
+    ranges = ranges or ranges_of(df, rows_per_range)
+    if ranges == 1:
+        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*partition_by).orderBy(*_sort_cols(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = in_ranges(df, [*[(c, True) for c in partition_by], *order], rows_per_range, ranges)
     w = Window.partitionBy("__range", *partition_by).orderBy("__nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.withColumn("__local", F.sum(value).over(w))
     by_part = rows.groupBy("__range", *partition_by).agg(F.sum(value).alias("__t"))
@@ -129,4 +153,4 @@ def running_sum(df: DataFrame, partition_by: list[str], order: Order, value: str
     return joined.withColumn(out, total.cast(kind)).select(*df.columns, out)
 
 
-__all__ = ["global_ntile", "global_ntiles", "global_rank", "in_ranges", "running_sum", "stable"]
+__all__ = ["global_ntile", "global_ntiles", "global_rank", "in_ranges", "ranges_of", "running_sum", "stable"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import labels as L
@@ -19,7 +19,7 @@ from marketlens.sources.catalog import Tables
 
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
+def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionAll(b), frames)
 
 
@@ -32,7 +32,7 @@ def staging_row_counts(spark: SparkSession, prefix: str = "stg_") -> DataFrame:
     names = sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(prefix))
     if not names:
         return spark.createDataFrame([], "table_name string, row_count long")
-    return _union([spark.table(n).groupBy().agg(F.count("*").alias("row_count"))
+    return union_all([spark.table(n).groupBy().agg(F.count("*").alias("row_count"))
                    .select(F.lit(n).alias("table_name"), "row_count") for n in names]).orderBy("table_name")
 
 
@@ -41,7 +41,7 @@ def reconcile_row_counts(t: Tables, expected: dict[str, int] | None = None) -> D
     expected = expected or L.EXPECTED_ROWS
     order = ["customers", "orders", "products", "sellers", "category_translation", "order_items",
              "order_payments", "order_reviews", "geolocation"]
-    return _union([t[n].groupBy().agg(F.count("*").alias("actual_rows")).select(
+    return union_all([t[n].groupBy().agg(F.count("*").alias("actual_rows")).select(
         F.lit(L.TABLE_LABELS[n]).alias("table_name"), "actual_rows",
         F.lit(expected[n]).cast("int").alias("expected_rows")) for n in order])
 
@@ -50,7 +50,7 @@ def duplicate_keys(t: Tables) -> DataFrame:
     """Single-column keys used more than once."""
     checks = [("customers", "customer_id"), ("orders", "order_id"), ("products", "product_id"),
               ("sellers", "seller_id")]
-    return _union([t[tb].groupBy(F.col(k).alias("key_value")).agg(F.count("*").alias("duplicate_count"))
+    return union_all([t[tb].groupBy(F.col(k).alias("key_value")).agg(F.count("*").alias("duplicate_count"))
                    .where(F.col("duplicate_count") > 1)
                    .select(F.lit(L.TABLE_LABELS[tb]).alias("table_name"), "key_value", "duplicate_count")
                    for tb, k in checks])
@@ -82,7 +82,7 @@ def orphan_counts(t: Tables) -> DataFrame:
         (t.order_reviews, "order_id", t.orders, "order_id", False),
         (t.products, "product_category_name", t.category_translation, "product_category_name", True),
     ]
-    return _union([_orphans(*s).groupBy().agg(F.count("*").alias("orphan_count"))
+    return union_all([_orphans(*s).groupBy().agg(F.count("*").alias("orphan_count"))
                    .select(F.lit(name).alias("check_name"), "orphan_count")
                    for name, s in zip(L.ORPHAN_CHECKS, specs)])
 
@@ -104,12 +104,12 @@ def primary_key_contract(t: Tables) -> DataFrame:
             .select(F.lit(L.TABLE_LABELS[table]).alias("table_name"), F.lit(", ".join(keys)).alias("key_columns"),
                     F.coalesce("null_key_rows", F.lit(0)).cast("long").alias("null_key_rows"),
                     F.coalesce("duplicate_key_groups", F.lit(0)).cast("long").alias("duplicate_key_groups")))
-    return _union(frames)
+    return union_all(frames)
 
 
 def foreign_key_contract(t: Tables) -> DataFrame:
     """Declared foreign keys; a NULL reference is allowed, a dangling one is a violation."""
-    return _union([_orphans(t[c], cc, t[p], pc, True).groupBy().agg(F.count("*").alias("violation_count"))
+    return union_all([_orphans(t[c], cc, t[p], pc, True).groupBy().agg(F.count("*").alias("violation_count"))
                    .select(F.lit(L.TABLE_LABELS[c]).alias("child_table"), F.lit(cc).alias("child_column"),
                            F.lit(L.TABLE_LABELS[p]).alias("parent_table"), "violation_count")
                    for c, cc, p, pc in schemas.FOREIGN_KEYS])
@@ -223,16 +223,56 @@ def constraint_status(t: Tables) -> DataFrame:
         frames.append(wide.select(F.inline(F.array(*[F.struct(
             F.lit(L.TABLE_LABELS[tb]).alias("table_name"), F.lit(name).alias("constraint_name"), count(k).alias("violation_count"),
             F.when(count(k) == 0, 1).otherwise(0).alias("enforceable")) for k, name, _, _ in items]))))
-    return _union(frames).orderBy("table_name", "constraint_name")
+    return union_all(frames).orderBy("table_name", "constraint_name")
+
+
+def constraint_guards(t: Tables) -> DataFrame:
+    """Whether any row breaks each check rule: (table_name, constraint_name, violated).
+
+    Every guard is an ``EXISTS`` of its own.  Spark runs it as a limit of one row, which
+    reads a partition, then four times as many and so on, and ends at the first violating row.
+    """
+    rules = constraint_rules(t)
+    found = t.spark.range(1).select(*[df.where(pred).exists().cast("int").alias(f"v{k}") for k, (_, _, df, pred) in enumerate(rules)])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(L.TABLE_LABELS[tb]).alias("table_name"), F.lit(name).alias("constraint_name"),
+                                                    F.col(f"v{k}").alias("violated")) for k, (tb, name, _, _) in enumerate(rules)])))
+
+
+def ensure(t: Tables, constraint: str) -> None:
+    """Raise if a row breaks the check rule of this name, at the first one that is found."""
+    for tb, name, df, pred in constraint_rules(t):
+        if name == constraint:
+            if (row := df.where(pred).first()) is not None:
+                raise ValueError(f"{L.TABLE_LABELS[tb]} breaks {name}: {row.asDict()}")
+            return
+    raise KeyError(constraint)
+
+
+def verdicts(t: Tables, table: str) -> DataFrame:
+    """The table's rows with ``broken_rules``, the sorted names of the check rules that each breaks."""
+    named = [F.when(F.coalesce(pred, F.lit(False)), F.lit(name)) for tb, name, _, pred in constraint_rules(t) if tb == table]
+    broken = F.array_sort(F.array_compact(F.array(*named))) if named else F.array().cast("array<string>")
+    return t[table].withColumn("broken_rules", broken)
 
 
 def quarantine(t: Tables, table: str) -> tuple[DataFrame, DataFrame]:
     """Split a table into (rows passing every rule, rows violating any rule)."""
-    preds = [pred for tb, _, _, pred in constraint_rules(t) if tb == table]
-    if not preds:
-        return t[table], t[table].limit(0)
-    bad = reduce(lambda a, b: a | b, [F.coalesce(pr, F.lit(False)) for pr in preds])
-    return t[table].where(~bad), t[table].where(bad)
+    rows, bad = verdicts(t, table), F.size("broken_rules") > 0
+    return rows.where(~bad).drop("broken_rules"), rows.where(bad).drop("broken_rules")
+
+
+def write_quarantine(t: Tables, table: str, path: str) -> dict[str, int]:
+    """Write a table in one pass, accepted and rejected rows in folders of their own.
+
+    Returns the numbers of rows read, accepted and rejected, which Spark observes while it
+    writes; rejected rows carry ``broken_rules``.
+    """
+    bad = F.size("broken_rules") > 0
+    seen = Observation(f"quarantine {table}")
+    rows = verdicts(t, table).withColumn("verdict", F.when(bad, "rejected").otherwise("accepted"))
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("rejected"))
+    rows.write.mode("overwrite").partitionBy("verdict").parquet(path)
+    return dict(seen.get)
 
 
 def assert_contracts(t: Tables) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import labels as L
-from marketlens.functions.columns import category_label, msum_nullable
+from marketlens.functions.columns import category_label, msum_nullable, ordered_list
 from marketlens.operators import base
 from marketlens.sources.catalog import Tables
 
@@ -106,3 +106,13 @@ def ordered_string_agg(t: Tables) -> DataFrame:
     return d.groupBy("order_id").agg(
         F.count("*").alias("item_row_count"),
         F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("category_list"))
+
+
+def category_list_by_item(t: Tables) -> DataFrame:
+    """Per order, its distinct categories in the order of their first item, as one comma-separated list."""
+    p = t.products.select("product_id", "product_category_name")
+    d = (t.order_items.select("order_id", "product_id", "order_item_id").join(p, "product_id", "left")
+         .join(t.category_translation, "product_category_name", "left")
+         .select("order_id", "order_item_id", category_label("product_category_name_english", "product_category_name", L.UNCATEGORIZED).alias("category")))
+    once = d.groupBy("order_id", "category").agg(F.count("*").alias("n"), F.min("order_item_id").alias("first_item"))
+    return once.groupBy("order_id").agg(F.sum("n").alias("item_row_count"), ordered_list("category", "first_item", "category").alias("category_list"))

@@ -36,4 +36,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from marketlens.plans import q_base, q_clean, q_explore, q_analysis, q_quality, q_insight, q_previews  # noqa: F401
+    from marketlens.plans import q_base, q_clean, q_explore, q_analysis, q_quality, q_insight, q_ingest, q_previews  # noqa: F401

@@ -62,4 +62,43 @@ def publish(t: Tables, names: list[str] | None = None) -> list[str]:
     return done
 
 
-__all__ = ["VIEWS", "TABLE_NAMES", "publish"]
+def _required(function: str, argument: str) -> str:
+    """The argument, checked where the query runs: NULL or blanks are an error."""
+    value = f"{function}.{argument}"
+    return f"CASE WHEN trim(coalesce({value}, '')) = '' THEN raise_error('{argument} is required') ELSE {value} END"
+
+
+#: Lookups as SQL table functions over the published names: (name, arguments, body).
+FUNCTIONS = [
+    ("customer_order_history", "customer_unique_id STRING", f"""
+WITH person AS (SELECT * FROM customers WHERE customers.customer_unique_id = {_required('customer_order_history', 'customer_unique_id')}),
+     own AS (SELECT person.*, o.* EXCEPT (customer_id) FROM person JOIN orders o ON o.customer_id = person.customer_id),
+     paid AS (SELECT * FROM v_phase3_order_payment WHERE order_id IN (SELECT order_id FROM own)),
+     bought AS (SELECT * FROM order_items WHERE order_id IN (SELECT order_id FROM own))
+SELECT own.customer_unique_id, own.customer_id, own.customer_city, own.customer_state, own.order_id, own.order_status,
+       own.order_purchase_timestamp, own.order_approved_at, own.order_delivered_customer_date, own.order_estimated_delivery_date,
+       payment_record_count, payment_type_count, max_payment_installments, total_payment_value,
+       order_item_id AS item_sequence_in_order, bought.product_id, p.product_category_name, product_category_name_english,
+       seller_id, price, freight_value, shipping_limit_date
+FROM own LEFT JOIN paid ON paid.order_id = own.order_id LEFT JOIN bought ON bought.order_id = own.order_id
+     LEFT JOIN products p ON p.product_id = bought.product_id
+     LEFT JOIN product_category_name_translation n ON n.product_category_name = p.product_category_name"""),
+    ("seller_performance", "seller_id STRING", f"""
+SELECT s.*, seller_product_gmv / nullif(CAST(delivered_order_count AS DECIMAL(18,2)), 0) AS avg_product_gmv_per_delivered_order
+FROM v_phase3_seller_summary s WHERE s.seller_id = {_required('seller_performance', 'seller_id')}"""),
+]
+
+
+def publish_functions(t: Tables) -> list[str]:
+    """Register the lookups as table functions, so that SQL users call them with named arguments:
+
+    ``SELECT * FROM customer_order_history(customer_unique_id => '...')``.  A function does not
+    order its rows.  The tables and views that they read are published with them.
+    """
+    publish(t, ["v_phase3_order_payment", "v_phase3_seller_summary"])
+    for name, arguments, body in FUNCTIONS:
+        t.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS TABLE RETURN {body}")
+    return [name for name, _, _ in FUNCTIONS]
+
+
+__all__ = ["FUNCTIONS", "TABLE_NAMES", "VIEWS", "publish", "publish_functions"]

@@ -1,7 +1,8 @@
 """Bronze (raw text) layer: CSV ingest and a dirty text rendering of silver.
 
-The raw tables are read with an all-string schema (never inferred).  Review
-text contains quoted line breaks, so CSV is read with ``multiLine``.
+The raw tables are read with an all-string schema (never inferred).  Records that do not
+fit the schema are set aside as rejects.  Review text contains quoted line breaks; its files
+are read in splits all the same (``csv_records``).
 ``render_dirty`` turns typed rows back into the kind of text the cleaning
 step must handle (padding blanks, empty strings for NULL, zip codes without
 leading zeros, date-only midnights) so cleaning is exercised end to end.
@@ -9,32 +10,83 @@ leading zeros, date-only midnights) so cleaning is exercised end to end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.sources import schemas
+from marketlens.sources import csv_records, schemas
 from marketlens.sources.catalog import Tables
 
 ZIP_COLUMNS = {"customer_zip_code_prefix", "seller_zip_code_prefix", "geolocation_zip_code_prefix"}
 
 
-def read_csv(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """Nine raw CSV files -> bronze DataFrames keyed by silver table name.
+#: Tables whose quoted text may hold line breaks.
+BREAKS = {"order_reviews"}
+OPTIONS = {"quote": '"', "escape": '"'}
+CORRUPT = "_corrupt_record"
+
+
+class Ingested(NamedTuple):
+    """The rows of a raw table, and its rejects: (first_field, reason, raw_record)."""
+
+    rows: DataFrame
+    rejects: DataFrame
+
+
+def _parsed(spark: SparkSession, table: str, path: str, breaks: bool) -> DataFrame:
+    """Every record with its fields, _corrupt_record if their number is wrong, and _open if its quotes are."""
+    names = schemas.columns(table)
+    schema = ", ".join(f"{n} string" for n in [*names, CORRUPT])
+    row = F.from_csv(F.col("record"), schema, {**OPTIONS, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    header = F.array(*[F.regexp_replace(F.coalesce(F.col(f"row.{n}"), F.lit("")), "^\ufeff", "") for n in names])
+    wrong = F.raise_error(F.concat(F.lit(f"the header of {table} is not {', '.join(names)}: "), F.col("record")))
+    # as with Spark's reader, a header with other names or in another order is an error when the rows are read
+    data = F.when(~F.col("first"), True).when(header == F.array(*map(F.lit, names)), False).otherwise(wrong.cast("boolean"))
+    rows = csv_records.records(spark, path, breaks).withColumn("row", row).where(data)
+    return rows.select("row.*", F.when(~F.col("closed"), F.col("record")).alias("_open"))
+
+
+def ingest_csv(spark: SparkSession, paths: dict[str, str], breaks: set[str] = BREAKS) -> dict[str, Ingested]:
+    """Nine raw CSV files or folders -> rows and rejects, keyed by silver table name.
 
-    A header whose names or order differ from the schema is an error (``enforceSchema`` off).
-    Only review texts hold line breaks, so only reviews are read with ``multiLine``, which
-    makes a file one task; the other tables' files are split.
+    Every column is text.  A record with too few or too many fields, or whose quotes are
+    still open at the end of its file, is a reject; the records around it are read.  Files of
+    the tables in ``breaks`` may have line breaks inside quotes; they are split like the others.
     """
     out = {}
     for table, path in paths.items():
-        out[table] = (spark.read.schema(schemas.bronze_schema(table))
-                      .option("header", True).option("enforceSchema", False)
-                      .option("multiLine", table == "order_reviews")
-                      .option("escape", '"').option("quote", '"')
-                      .csv(path))
+        names = schemas.columns(table)
+        parsed = _parsed(spark, table, path, table in breaks)
+        raw = F.coalesce("_open", CORRUPT)
+        reason = F.when(F.col("_open").isNull(), "number of fields").otherwise("open quote")
+        rejects = parsed.where(raw.isNotNull()).select(F.col(names[0]).alias("first_field"), reason.alias("reason"), raw.alias("raw_record"))
+        out[table] = Ingested(parsed.where(raw.isNull()).select(*names), rejects)
     return out
 
 
+def read_csv(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """Nine raw CSV files -> bronze DataFrames keyed by silver table name, without rejected records."""
+    return {table: found.rows for table, found in ingest_csv(spark, paths).items()}
+
+
+def csv_lines(df: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """The rows of ``df`` as CSV records (``extra`` are further ones, as they stand), in one column."""
+    made = df.select(F.to_csv(F.struct(*df.columns), {**OPTIONS, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("value"))
+    return made.unionByName(extra.select("value")) if extra is not None else made
+
+
+def write_csv(lines: DataFrame, names: list[str], path: str) -> None:
+    """Write CSV records to files that all begin with a header."""
+    def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"value": [",".join(names)]})
+        yield from batches
+
+    lines.mapInArrow(with_header, "value string").write.mode("overwrite").text(path)
+
+
 def _text(c, dtype: str):
     if dtype in ("timestamp_ntz", "timestamp"):
         midnight = (F.hour(c) == 0) & (F.minute(c) == 0) & (F.second(c) == 0)

@@ -26,3 +26,16 @@ def frame(spark, rows=ROWS):
 
 def key(row):
     return tuple((x is None, x) for x in row)
+
+
+def water_fill(sizes, weights, total, max_repeat):
+    """Targets of sources, found by taking out full sources again and again."""
+    full = set()
+    while True:
+        rest = total - sum(max_repeat * sizes[s] for s in full)
+        share = sum(w for s, w in weights.items() if s not in full)
+        level = rest / share if share else 0.0
+        over = {s for s in sizes if s not in full and weights[s] * level > max_repeat * sizes[s]}
+        if not over:
+            return {s: float(max_repeat * sizes[s]) if s in full else weights[s] * level for s in sizes}
+        full |= over

@@ -3,7 +3,7 @@ import re
 from itertools import product
 
 import pytest
-from cases import ROWS, frame
+from cases import ROWS, frame, water_fill
 
 from marketlens.llm import mixing
 
@@ -12,19 +12,16 @@ def words(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
-def test_water_fill():
-    got = mixing.water_fill({"a": 100, "b": 1, "c": 100}, {"a": 1, "b": 2, "c": 3}, 201, 3)
-    assert got["b"] == 3.0 and got["a"] == pytest.approx(49.5) and got["c"] == pytest.approx(148.5)
-    assert mixing.water_fill({"a": 0}, {"a": 1}, 0, 3) == {"a": 0.0}
+def test_targets_match_filling_step_by_step(spark):
     rng = random.Random(5)
-    for _ in range(200):
-        sizes = {str(i): rng.choice([0, 1, 5, 100, 5000]) for i in range(rng.randint(1, 6))}
-        weights = {s: i % 3 + 1 for i, s in enumerate(sizes)}
-        got = mixing.water_fill(sizes, weights, sum(sizes.values()), 3)
-        assert sum(got.values()) == pytest.approx(sum(sizes.values()))
-        assert all(got[s] <= 3 * sizes[s] + 1e-9 for s in sizes)
-        free = [got[s] / weights[s] for s in sizes if got[s] < 3 * sizes[s] - 1e-9]
-        assert not free or max(free) == pytest.approx(min(free))
+    for _ in range(6):
+        sizes = {rng.choice(["", "a", "é", "漢", "B"]) + str(i): rng.choice([0, 1, 5, 100, 5000]) for i in range(rng.randint(1, 9))}
+        sizes[None] = rng.choice([0, 7, 1000])
+        order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+        want = water_fill(sizes, {s: i % 3 + 1 for i, s in enumerate(order)}, sum(sizes.values()), 3)
+        df = spark.createDataFrame(list(sizes.items()), "s string, size long")
+        got = mixing.targets(df, sum(sizes.values()), (1, 2, 3), 3).collect()
+        assert {r.s: r.target for r in got} == want and {r.s: r.k for r in got} == {s: i + 1 for i, s in enumerate(order)}
 
 
 def cost(given, patterns, repeat):
@@ -60,7 +57,7 @@ def test_awkward_rows(spark):
     for r in ROWS:
         sizes[r[3]] = sizes.get(r[3], 0) + words(r[1])
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    targets = mixing.water_fill(sizes, {s: i % 3 + 1 for i, s in enumerate(order)}, sum(sizes.values()), 3)
+    targets = water_fill(sizes, {s: i % 3 + 1 for i, s in enumerate(order)}, sum(sizes.values()), 3)
     for r in got:
         (s,) = r.sources
         assert (r.source_sizes, r.targets) == ([sizes[s]], [targets[s]])
@@ -92,7 +89,46 @@ def test_documents_in_several_sources(spark):
     assert got[got.sources.str.len() == 2].targets.iloc[0] == pytest.approx([10_000 / 3, 20_000 / 3])
 
 
-def test_too_many_patterns_raise(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_PATTERNS", 2)
-    with pytest.raises(ValueError):
-        mixing.mix(frame(spark))
+def test_very_many_patterns(spark):
+    """No cap on patterns: 200,000 sources of one document each, and sets of three that share documents."""
+    df = spark.range(200_000).selectExpr("id AS doc_id", "repeat('w ', 1 + id % 3) AS text", "array(concat('s', id)) AS source")
+    more = spark.range(3_000).selectExpr("id + 1000000 AS doc_id", "'w w w' AS text", "array(concat('t', id div 3), concat('u', id div 2 % 500)) AS source")
+    out = mixing.mix(df.unionAll(more)).selectExpr("count(*)", "sum(size)", "sum(taken)", "count_if(times > 3)").first()
+    assert out[0] == 203_000 and out[3] == 0
+    assert abs(out[2] - out[1]) <= 0.35 * out[1]  # sources of one document are taken as a whole or not at all
+
+
+def test_spread_join_gives_what_the_broadcast_gives(spark, monkeypatch):
+    rows = [(i, "w " * (i % 7 + 1), ["a"] if i % 2 else ["a", "b"] if i % 3 else [f"s{i % 9}"]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    show = lambda: sorted((r.doc_id, r.size, r.times) for r in mixing.mix(df).collect())
+    first, kept = show(), sorted(r.doc_id for r in mixing.remix(df).collect())
+    monkeypatch.setattr(mixing, "FEW_PATTERNS", 1)
+    assert show() == first and sorted(r.doc_id for r in mixing.remix(df).collect()) == kept
+
+
+def test_connected_sets_are_solved_one_by_one(spark):
+    """Each set of sources that share documents gives what the whole network gives."""
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randint(0, 9), sorted(rng.sample([f"{c}{j}" for j in range(3)], rng.randint(1, 2)))) for i in range(300) for c in [rng.choice("xyz")]]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
+    patterns, quotas = {}, {}
+    for r in got:
+        patterns[tuple(r.sources)] = patterns.get(tuple(r.sources), 0) + r.size
+        quotas.update({s: int(t + 0.5) for s, t in zip(r.sources, r.targets)})
+    given = mixing.route(patterns, quotas, 3)
+    for c in "xyz":  # several flows can be cheapest, but what a set gives is the same
+        own = [p for p in patterns if p[0][0] == c]
+        taken = sum(r.taken for r in got if r.sources[0][0] == c)
+        assert abs(taken - sum(given[p] for p in own)) <= 9 * len(own)
+    total = sum(given.values())
+    assert total >= 0.95 * sum(patterns.values())
+
+
+def test_a_large_network_is_solved_in_time():
+    rng = random.Random(1)
+    patterns = {tuple(sorted(rng.sample(range(300), rng.randint(1, 4)))): rng.randint(1, 1000) for _ in range(20_000)}
+    total = sum(patterns.values())
+    quotas = {s: total // 300 for s in range(300)}
+    given = mixing.route(patterns, quotas, 3)
+    assert sum(given.values()) == sum(quotas.values()) and all(n <= 3 * patterns[p] for p, n in given.items())

@@ -4,14 +4,14 @@ from collections import Counter
 
 import duckdb
 import pytest
-from cases import frame
+from cases import frame, water_fill
 from compare import canon, duck_rows, spark_rows
 from test_simhash import components, plain_fingerprint
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from marketlens.llm import mixing, quality_classifier, queries
+from marketlens.llm import quality_classifier, queries
 from marketlens.llm.tokens import tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -47,7 +47,7 @@ def by_hand(rows, scores, stage):
     for doc_id, text, source in rows:
         sizes[doc_id] = len(re.findall(r"[^\x20\x09-\x0D]+", text))
         total[source] = total.get(source, 0) + sizes[doc_id]
-    targets = mixing.water_fill(total, {s: i % 3 + 1 for i, s in enumerate(sorted(total))}, sum(total.values()), 3)
+    targets = water_fill(total, {s: i % 3 + 1 for i, s in enumerate(sorted(total))}, sum(total.values()), 3)
     out = []
     for source, words in total.items():
         quota, before = int(targets[source] + 0.5), 0

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import ascii_lower, let, match_places, text_of
+from marketlens.llm.common import scan as sweep
 
 #: Characters that separate words here: ASCII except digits and letters.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -130,6 +131,96 @@ SENTENCES = [
     ("proprietary", "unauthorized", " unauthorized (?:copying|reproduction|distribution|use) of this (?:file|document|software|work)", 0.8),
 ]
 
+#: Short references: label, keyword, name, versions, and whether the name alone says enough.
+SHORT = [
+    ("agpl", "agpl", "(?: gnu)? agpl", ("1", "3"), True),
+    ("lgpl", "lgpl", "(?: gnu)? lgpl", ("2", "2 1", "3"), True),
+    ("gpl", "gpl", "(?: gnu)? gpl", ("1", "2", "3"), True),
+    ("gfdl", "gfdl", "(?: gnu)? gfdl", ("1 1", "1 2", "1 3"), True),
+    ("gfdl", "fdl", " gnu fdl", ("1 1", "1 2", "1 3"), True),
+    ("apache", "apache", " apache", ("1 1", "2"), False),
+    ("apache", "asl", " asl", ("1 1", "2"), False),
+    ("mpl", "mpl", " mpl", ("1", "1 1", "2"), False),
+    ("epl", "epl", " epl", ("1", "2"), False),
+    ("cddl", "cddl", " cddl", ("1", "1 1"), True),
+    ("cpl", "cpl", " cpl", ("1",), False),
+    ("osl", "osl", " osl", ("2", "2 1", "3"), False),
+    ("afl", "afl", " afl", ("1 2", "2", "2 1", "3"), False),
+    ("eupl", "eupl", " eupl", ("1", "1 1", "1 2"), True),
+    ("ofl", "ofl", "(?: sil)? ofl", ("1", "1 1"), False),
+    ("boost", "bsl", " bsl", ("1",), False),
+    ("boost", "boost", " boost licen[sc]e", ("1",), True),
+    ("odbl", "odbl", " odbl", ("1",), True),
+    ("lppl", "lppl", " lppl", ("1", "1 1", "1 2", "1 3"), True),
+    ("zope", "zpl", " zpl", ("1 1", "2", "2 1"), False),
+    ("sspl", "sspl", " sspl", ("1",), True),
+    ("python", "psf", " psf(?: licen[sc]e)?", ("2",), False),
+    ("python", "psfl", " psfl", ("2",), True),
+    ("ms-pl", "ms", " ms pl", (), True),
+    ("ms-rl", "ms", " ms rl", (), True),
+    ("mit", "mit", " mit licen[sc]ed", (), True),
+    ("mit", "expat", " expat licen[sc]e", (), True),
+    ("isc", "isc", " isc licen[sc]ed", (), True),
+    ("bsd", "bsd", " bsd licen[sc]ed", (), True),
+    ("bsd", "bsd", " bsd style licen[sc]e", (), True),
+    ("bsd-2-clause", "bsd", " bsd 2", (), True),
+    ("bsd-3-clause", "bsd", " bsd 3", (), True),
+    ("unlicense", "unlicensed", " unlicen[sc]ed into the public domain", (), True),
+]
+
+#: Further sentences of licence texts and notices: label, keyword, pattern, confidence.
+NOTICES = [
+    ("apache", "agreed", " unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis", 0.95),
+    ("apache", "limitations", " see the licen[sc]e for the specific language governing permissions and limitations under the licen[sc]e", 0.9),
+    ("apache", "contributor", " licen[sc]ed to the apache software foundation(?: asf)? under one or more contributor licen[sc]e agreements", 1.0),
+    ("gpl", "merchantability", " without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[sc]e", 1.0),
+    ("lgpl", "merchantability", " without even the implied warranty of merchantability or fitness for a particular purpose see the gnu (?:lesser|library) general public licen[sc]e", 1.0),
+    ("agpl", "merchantability", " without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public licen[sc]e", 1.0),
+    ("gpl", "received", " you should have received a copy of the gnu general public licen[sc]e", 1.0),
+    ("lgpl", "received", " you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", 1.0),
+    ("agpl", "received", " you should have received a copy of the gnu affero general public licen[sc]e", 1.0),
+    ("gfdl", "invariant", " with no invariant sections", 0.9),
+    ("gfdl", "copy", " permission is granted to copy distribute and or modify this document", 0.9),
+    ("mpl", "obtain", " if a copy of the mpl was not distributed with this file you can obtain one at", 1.0),
+    ("mpl", "incompatible", " this source code form is incompatible with secondary licenses", 1.0),
+    ("epl", "accompanying", " this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", 1.0),
+    ("cddl", "development", " the contents of this file are subject to the terms of the common development and distribution licen[sc]e", 1.0),
+    ("mit", "substantial", " the above copyright notice and this permission notice shall be included in all copies or substantial portions", 0.95),
+    ("mit", "restriction", " to deal in the software without restriction", 0.8),
+    ("isc", "disclaims", " the author disclaims all warranties with regard to this software", 0.9),
+    ("bsd", "redistributions", " redistributions of source code must retain the above copyright notice", 0.9),
+    ("bsd", "reproduce", " redistributions in binary form must reproduce the above copyright notice", 0.9),
+    ("bsd-4-clause", "acknowledgement", " must display the following acknowledgement", 0.7),
+    ("zlib", "misrepresented", " the origin of this software must not be misrepresented", 0.95),
+    ("zlib", "liable", " in no event will the authors be held liable for any damages arising from the use of this software", 0.9),
+    ("artistic", "artistic", " the copyright holder maintains some semblance of artistic control", 0.9),
+    ("ofl", "reserved", " with reserved font name", 0.95),
+    ("ofl", "sold", " the font software may not be sold by itself", 0.9),
+    ("unlicense", "compile", " anyone is free to copy modify publish use compile sell or distribute this software", 1.0),
+    ("beerware", "beer", " you can buy me a beer in return", 0.95),
+    ("cc0", "dedicated", " has dedicated the work to the public domain by waiving", 0.95),
+    ("public-domain", "copyright", " no copyright is claimed", 0.6),
+    ("public-domain", "government", " work of the (?:united states|u s) government", 0.7),
+    ("open-government", "government", " open government licen[sc]e", 0.95),
+    ("open-government", "crown", " crown copyright", 0.6),
+    ("creative-commons", "commons", " licen[sc]ed under a creative commons", 0.8),
+    ("odc-pddl", "dedication", " public domain dedication and licen[sc]e", 0.9),
+    ("proprietary", "trade", " trade secrets? of", 0.6),
+    ("proprietary", "reproduced", " no part of this (?:publication|document|book|work) may be reproduced", 0.8),
+    ("proprietary", "internal", " for internal use only", 0.7),
+    ("proprietary", "materials", " licen[sc]ed materials property of", 0.9),
+    ("proprietary", "eula", " eula", 0.6),
+    ("proprietary", "end", " end user licen[sc]e agreement", 0.7),
+    ("proprietary", "written", " without (?:the )?(?:prior )?(?:express )?written (?:permission|consent) of", 0.5),
+    ("proprietary", "without", " (?:may|must|shall) not (?:be )?(?:copy|copied|reproduced?|disclosed?|distributed?) (?:or [^ ]+ )?without", 0.6),
+    ("non-commercial", "non", " (?:for|free for) non ?commercial use only", 0.8),
+    ("non-commercial", "academic", " free for academic use", 0.7),
+    ("non-commercial", "personal", " (?:free )?for personal use only", 0.7),
+    ("freeware", "freeware", " (?:is|as) freeware", 0.7),
+    ("shareware", "shareware", " (?:is|as) shareware", 0.7),
+    ("dual", "dual", " dual licen[sc]ed", 0.6),
+]
+
 #: Name, label and confidence of the ways in which a text names a family; {name} is the family's pattern.
 FORMS = [
     (" (?:licen[sc]ed|released|distributed|available|published|covered|provided) (?:under|by)(?: the)?(?: terms of)?(?: the)?{name}", 1, 1.0),
@@ -157,7 +248,13 @@ def rules() -> list[Rule]:
         found.append(Rule(label, "cc", f" cc {short}(?: \\d \\d)?", rank, 0.95))
         found.append(Rule(label, "commons", f" creative commons {long}(?: \\d \\d)?", rank, 1.0))
         found.append(Rule(label, "creativecommons", f" creativecommons org licenses {short}(?: \\d \\d)?", rank, 1.0))
-    found += [Rule(label, keyword, pattern, 1, confidence) for label, keyword, pattern, confidence in SENTENCES]
+    for label, keyword, name, versions, alone in SHORT:
+        for v in versions:
+            # GPLv3, GPL v3, GPL 3.0, GPL version 3
+            found.append(Rule(f"{label}-{v.replace(' ', '.')}", keyword, f"{name}(?: version| v)? ?v?{v}" + ("(?: 0)?" if " " not in v else ""), 5, 0.8))
+        if alone:
+            found.append(Rule(label, keyword, name, 6, 0.7))
+    found += [Rule(label, keyword, pattern, 1, confidence) for label, keyword, pattern, confidence in SENTENCES + NOTICES]
     return sorted(found, key=lambda r: r.rank)
 
 
@@ -197,14 +294,23 @@ def detections(norm: Column, table: list[Rule]) -> Column:
     return F.flatten(F.transform(hits, places))
 
 
-def surviving(found: Column) -> Column:
-    """Detections that are not within one of an earlier rank, or a longer one of the same rank."""
-    def beats(o: Column, x: Column) -> Column:
-        within = (o["start"] <= x["start"]) & (o["end"] >= x["end"])
-        longer = (o["end"] - o["start"]) > (x["end"] - x["start"])
-        return within & ((o["rank"] < x["rank"]) | (o["rank"] == x["rank"]) & longer)
+def surviving(found: Column, ranks: int) -> Column:
+    """Detections that are not within one of an earlier rank, or a longer one of the same rank.
+
+    Detections are swept in the order of their starts, the longer first.  Of each rank the
+    furthest end so far is known, and the start of the detection that reaches it; no
+    detection is compared with all others.
+    """
+    def step(reach: Column, x: Column) -> tuple[Column, Column]:
+        longer = lambda m: (m["end"] > x["end"]) | (m["end"] == x["end"]) & (m["start"] < x["start"])
+        beats = F.transform(reach, lambda m, i: F.when(i < x["rank"], m["end"] >= x["end"]).otherwise((i == x["rank"]) & longer(m)))
+        now = F.transform(reach, lambda m, i: F.when((i == x["rank"]) & (x["end"] > m["end"]), F.struct(x["end"].alias("end"), x["start"].alias("start"))).otherwise(m))
+        return now, F.exists(beats, lambda b: b)
 
-    return let(found, lambda d: F.filter(d, lambda x: ~F.exists(d, lambda o: beats(o, x))))
+    order = F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["rank"].alias("rank"), x.alias("x")))
+    nothing = F.array_repeat(F.struct(F.lit(-1).alias("end"), F.lit(-1).alias("start")), ranks)
+    swept = lambda xs: let(sweep(xs, nothing, "boolean", step), lambda beaten: F.filter(xs, lambda x, i: ~F.get(beaten, i)))
+    return F.when(F.size(found) < 2, found).otherwise(let(F.transform(F.array_sort(order), lambda o: o["x"]), swept))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES) -> DataFrame:
@@ -212,7 +318,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
 
     A null text counts as empty: no words, no labels, score 0.  Rows are scanned one by
     one, so repeated rows and null ids are carried along; an empty table gives an empty
-    result; only the id and the text are read.  score is the confidence that at least one
+    result; only the id and the text are read.  Texts of any length are scanned whole, in time
+    that grows with their length and the logarithm of their detections.  score is the confidence that at least one
     surviving detection is right, 1 if a base phrase occurs.
     """
     table = rules()
@@ -225,7 +332,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     none_base = F.array().cast("array<struct<label:string,n:int,first:int,last:int>>")
     none_found = F.array().cast("array<struct<start:int,end:int,rank:int,label:string,confidence:double>>")
     seen = gated.select("_id", "n_words", F.when(F.col("_gate"), base).otherwise(none_base).alias("_base"),
-                        F.when(F.col("_gate"), surviving(detections(F.col("_norm"), table))).otherwise(none_found).alias("detections"))
+                        F.when(F.col("_gate"), let(detections(F.col("_norm"), table), lambda d: surviving(d, max(r.rank for r in table) + 1))).otherwise(none_found).alias("detections"))
     base_labels = F.array_sort(F.array_distinct(F.transform(F.filter("_base", lambda x: x["n"] > 0), lambda x: x["label"])))
     labels = F.array_sort(F.array_distinct(F.concat(base_labels, F.transform("detections", lambda x: x["label"]))))
     doubt = F.aggregate("detections", F.lit(1.0), lambda a, x: a * (1 - x["confidence"]))

@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import product
 from re import _constants as op, _parser
@@ -100,3 +101,46 @@ def test_alternatives_need_no_word_of_another(spark):
             "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software": "boost"}
     got = licenses.scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()
     assert {list(want)[r.doc_id]: r.labels for r in got} == want
+
+
+def by_hand(text):
+    """Labels and score from the rules, with every detection compared with every other."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    norm = "".join(f" {w}" for w in words) + " "
+    found = []
+    for r in licenses.rules():
+        if f" {r.keyword}" in norm:
+            for m in re.finditer(f"{r.pattern}(?= )", norm):
+                a, z = (norm[:x].count(" ") for x in m.span())
+                found.append((a, z, r.rank, r.label, r.confidence))
+    left = [x for x in found if not any(o[0] <= x[0] and o[1] >= x[1] and (o[2] < x[2] or o[2] == x[2] and o[1] - o[0] > x[1] - x[0]) for o in found)]
+    base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in norm}
+    doubt = 1.0
+    for *_, confidence in left:
+        doubt *= 1 - confidence
+    return ",".join(sorted(base | {x[3] for x in left})), 1.0 if base else 1 - doubt
+
+
+NAMED = {"GPLv3": "gpl-3", "LGPL 2.1": "lgpl-2.1", "AGPL": "agpl", "MPL 2.0": "mpl-2", "under Apache 2.0": "apache-2", "GNU GPL v3": "gpl-3",
+         "the GPL version 2 or later": "gpl-2", "MIT licensed": "mit", "GPL-3.0-only": "gpl-3", "(EUPL)": "eupl", "CDDL v1.1": "cddl-1.1", "FreeBSD license": "bsd-2-clause"}
+
+
+def test_labels_and_scores_match_brute_force(spark):
+    rng = random.Random(9)
+    parts = [*NAMED, "GNU General Public License, version 2", "all rights reserved", "Apache License", "licensed under the", "cc by-nc 4.0", "word", "and", "3.0",
+             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "LGPL", "the terms of the GNU Lesser General Public License v3"]
+    texts = [None, "", *NAMED, *[" ".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(150)], "all rights reserved " * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for df in (docs, small):
+        text = {r.doc_id: r.text for r in df.collect()}
+        for r in licenses.scan(df).collect():
+            labels, score = by_hand(text[r.doc_id])
+            assert r.labels == labels and abs(r.score - score) < 1e-9, text[r.doc_id][:200]
+
+
+def test_short_references_with_versions(spark):
+    got = licenses.scan(spark.createDataFrame(list(enumerate(NAMED)), "doc_id long, text string")).collect()
+    assert {list(NAMED)[r.doc_id]: r.labels for r in got} == NAMED
+    plain = ["The EPL season 2 begins.", "an isc file", "BSD units", "Apache helicopters, 3 of them", "one mit student", "3 gp lessons"]
+    assert all(r.labels == "" for r in licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(plain[1:])], "doc_id long, text string")).collect())

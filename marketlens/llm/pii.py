@@ -6,14 +6,19 @@ instances of a graph; the words next to them are its patterns: the word before,
 words before, and the words on both sides.
 
 Spark scores the graph in rounds.  A pattern's confidence for a kind is the share of that
-kind among its distinct labelled instances, with ``DOUBT`` instances of no kind added, so
-only patterns with many seeds and little else are trusted.  Labelled are the seeds, the
+kind among its distinct labelled instances, with ``DOUBT`` instances of no kind added: six
+seeds without anything against them make a pattern trusted, each instance of another kind
+calls for three more.  Labelled are the seeds, the
 accepted candidates with their score as weight, and, against a kind, the candidates whose
 form rules it out; other candidates are unknown and count neither way.  A candidate's score
 is the probability that at least one of its trusted patterns is right.  A trusted pattern
 stays trusted, and the rounds end when none is added.  In the end all spans of accepted
 identifiers are added.
 
+The words next to a span are taken from the text as it stands, whether or not they belong
+to other spans.  They are looked for in the 80 code points on each side; of a longer word,
+the part in them counts.
+
 Spans are found within the row; only spans and their contexts are shuffled, no texts.
 """
 
@@ -22,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import SPACE, match_places, materialise, text_of
+from marketlens.llm.common import SPACE, join_spread, let, match_places, materialise, scan, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -41,8 +46,7 @@ NUMBER = r"(?<![0-9])(?<![0-9][\x20().-])[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
 
 #: Instances of no kind added to each pattern.
 DOUBT = 2.0
-TRUST = 0.9
-SALTS = 16
+TRUST = 0.75
 
 
 def digits(x: Column) -> Column:
@@ -62,7 +66,7 @@ def luhn(number: Column) -> Column:
 def gated(text: Column, gate: Column, pattern: str, valid) -> Column:
     """Valid matches of ``pattern``, which is only run where ``gate`` is true."""
     kind = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
-    return F.when(gate, F.filter(match_places(text, pattern), lambda x: valid(x["value"]))).otherwise(F.array().cast(kind))
+    return F.when(gate, F.filter(match_places(text, pattern, context=True), lambda x: valid(x["value"]))).otherwise(F.array().cast(kind))
 
 
 def base_matches(text: Column) -> dict[str, Column]:
@@ -87,18 +91,42 @@ def contexts(x: Column) -> Column:
     return F.filter(found, lambda c: c.isNotNull())
 
 
+def outside(spans: Column, taken: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``taken``, in the order of their starts.
+
+    Both are swept once in each direction: what matters is the furthest end of a taken span
+    that starts before, and the start of the next one.
+    """
+    mark = lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), i.alias("i"))
+    marks = F.array_sort(F.concat(F.transform(taken, lambda x: mark(x, F.lit(-1))), F.transform(spans, lambda x, i: mark(x, i))))
+    is_taken = lambda x: x["i"] < 0
+
+    def ends(furthest: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(is_taken(x), F.greatest(furthest, x["end"])).otherwise(furthest), furthest <= x["start"]
+
+    def starts(following: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(is_taken(x), x["start"]).otherwise(following), following >= x["end"]
+
+    def free(ms: Column) -> Column:
+        before = scan(ms, F.lit(0), "boolean", ends)
+        behind = F.reverse(scan(F.reverse(ms), F.lit((1 << 31) - 1), "boolean", starts))
+        clear = F.filter(F.arrays_zip(ms.alias("m"), before.alias("a"), behind.alias("b")), lambda z: (z["m"]["i"] >= 0) & z["a"] & z["b"])
+        return F.transform(clear, lambda z: F.get(spans, z["m"]["i"]))
+
+    return F.when(F.size(taken) == 0, spans).otherwise(let(marks, free))
+
+
 def spans_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: _row, _id, _base (start, end, kind) and _occ, seeds and candidates with their patterns."""
     text = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     t = F.col("_text")
     addresses = gated(t, F.contains(t, F.lit("@")) | t.rlike(r"[(\[]at[)\]]"), ADDRESS, lambda v: F.lit(True))
     numbers = gated(t, t.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}"), NUMBER, lambda v: F.lit(True))
-    found = text.select("_id", *[m.alias(f"_{k}") for k, m in base_matches(t).items()], addresses.alias("_addresses"), numbers.alias("_numbers"))
+    found = text.select("_id", *[m.alias(f"_{k}") for k, m in base_matches(t).items()], F.concat(addresses, numbers).alias("_shapes"))
     of_kind = lambda k: F.transform(F.col(f"_{k}"), lambda x: F.struct(
         x["start"], x["end"], F.lit(k).alias("kind"), x["value"], x["before"], x["after"]))
-    based = found.withColumn("_seeds", F.concat(*[of_kind(k) for k in KINDS]))
-    free = lambda x: ~F.exists("_seeds", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
-    fresh = F.transform(F.filter(F.concat("_addresses", "_numbers"), free), lambda x: F.struct(
+    based = found.select("_id", "_shapes", F.concat(*[of_kind(k) for k in KINDS]).alias("_seeds"))
+    fresh = F.transform(outside(F.col("_shapes"), F.col("_seeds")), lambda x: F.struct(
         x["start"], x["end"], F.lit(None).cast("string").alias("kind"), x["value"], x["before"], x["after"]))
     value = lambda x: F.when(F.contains(x["value"], F.lit("@")) | ~x["value"].rlike("^[^A-Za-z]*$"), F.lower(x["value"])).otherwise(digits(x["value"]))
     occurrences = F.transform(F.concat("_seeds", fresh), lambda x: F.struct(x["start"], x["end"], x["kind"], value(x).alias("value"), contexts(x).alias("contexts")))
@@ -106,13 +134,6 @@ def spans_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         F.transform("_seeds", lambda s: F.struct(s["start"], s["end"], s["kind"])).alias("_base"), occurrences.alias("_occ"))
 
 
-def salted(rows: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
-    """Inner join on ``key`` with the rows of a key dealt to SALTS tasks; ``small`` has one row per key."""
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, [key, "_salt"]).drop("_salt")
-
-
 def may_be(value: Column, kind: str) -> Column:
     """Whether the form of a candidate leaves room for ``kind``; numbers are bare digits."""
     if kind == "email":
@@ -150,7 +171,7 @@ def bootstrap(occurrences: DataFrame, rounds: int | None = None) -> DataFrame:
     while rounds is None or done < rounds:
         patterns = known
         if done:
-            grown = salted(candidates, accepted, "value", "context")
+            grown = join_spread(candidates, accepted, "value", F.xxhash64("context"))
             grown = grown.select("context", *labels(lambda k: (found == k, F.col("score")),
                                                     lambda k: ((found != k) & may_be(F.col("value"), k), F.col("score"))))
             patterns = known.unionByName(grown).groupBy("context").agg(*sums).join(trusted, "context", "left_anti")
@@ -162,7 +183,7 @@ def bootstrap(occurrences: DataFrame, rounds: int | None = None) -> DataFrame:
             break
         trusted = materialise(trusted.unionByName(fresh)) if done else fresh
         fits = F.coalesce(*[F.when(F.col("found_kind") == k, may_be(F.col("value"), k)) for k in KINDS])
-        scored = salted(candidates, trusted, "context", "value").where(fits).groupBy("value", "found_kind").agg(
+        scored = join_spread(candidates, trusted, "context", F.xxhash64("value")).where(fits).groupBy("value", "found_kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         accepted = materialise(scored.groupBy("value").agg(F.max(F.struct("score", "found_kind")).alias("_b"))
                                .select("value", F.col("_b.found_kind").alias("found_kind"), F.col("_b.score").alias("score")))
@@ -182,12 +203,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
 
     A null text counts as empty and has no spans.  Repeated rows and null ids are searched
     row by row; an empty table gives an empty result; only the id and the text are read.
+    Texts of any length are searched whole, in time that grows with their length.
     Places are code points, the end is exclusive.
     """
     rows = materialise(spans_of(docs, id_col, text_col))
     occurrences = rows.select("_row", F.explode("_occ").alias("o")).select("_row", "o.*")
     accepted = bootstrap(occurrences, rounds)
-    new = salted(occurrences.where("kind is null").select("_row", "start", "end", "value"), accepted, "value", "_row")
+    new = join_spread(occurrences.where("kind is null").select("_row", "start", "end", "value"), accepted, "value", F.xxhash64("_row"))
     added = new.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("found_kind").alias("kind"), "score"))).alias("added"))
     none = F.array().cast("array<struct<start:int,end:int,kind:string,score:double>>")
     return rows.join(added, "_row", "left").select(F.col("_id").alias(id_col), F.col("_base").alias("base"), F.coalesce("added", none).alias("added"))

@@ -18,10 +18,11 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Words of a window whose repetition counts.
 WINDOW = 8
 
-#: Sentence ends, with closing quotes or brackets behind them.
-TERMINAL = r"[.!?:;…。！？؟।][\"'”’»)\]]*$"
-SENTENCE = r"[.!?:;,…。！？，؟।]"
-SEPARATORS = r"[|»›·•]"
+#: A sentence end at the end of a line, with closing quotes or brackets and white space behind it.
+TERMINAL = rf"[.!?:;…。！？؟।][\"'”’»)\]]*[{SPACE}]*\z"
+#: Separators of menus and paths; commas too, in a line without a sentence end.
+SEPARATORS = r"[|»›·•]|[\x20\x09][/>][\x20\x09]"
+COMMAS = r"[,，]"
 NOISE = r"[#*$%&]{2,}|[!?]{2,}"
 BOILERPLATE = (r"cookie|privacy policy|terms of (use|service)|javascript|all rights reserved|lorem ipsum|subscribe"
                r"|sign (in|up)|log ?in|click here|read more|share (this|on)|skip to|powered by")
@@ -33,16 +34,15 @@ class Limits:
 
     min_words: int = 20
     max_repeat_pct: int = 30
-    #: a line without a sentence end and with fewer words is a heading or a menu entry
-    min_line_words: int = 5
     #: navigation: at least so many separators, and one for at most so many words
     min_separators: int = 3
     words_per_separator: int = 4
     #: noise: at least so many runs of symbols, in at least so many of a hundred words
     min_noise: int = 2
     noise_pct: int = 30
-    #: boilerplate phrases count in lines of at most so many words
+    #: boilerplate: any phrase in a line of at most so many words, or one for at most so many
     boilerplate_words: int = 12
+    words_per_boilerplate: int = 8
     #: a document that loses more than this share of its words goes
     max_lost_pct: int = 50
 
@@ -68,12 +68,13 @@ def line_verdicts(lines: Column, limits: Limits) -> Column:
     """For each line: its number of words and whether a rule fails it."""
     def judge(x: Column) -> Column:
         line, n = x["line"], x["n"]
-        tail = F.right(F.btrim(line, F.lit(" \t\x0b\x0c\r")), F.lit(6))
-        unended = ~tail.rlike(TERMINAL) & ((n < limits.min_line_words) | ~line.rlike(SENTENCE))
+        unended = ~line.rlike(TERMINAL)
+        many = lambda k: (k >= limits.min_separators) & (k * limits.words_per_separator >= n)
         navigation = let(F.regexp_count(line, F.lit(SEPARATORS)),
-                         lambda k: (k >= limits.min_separators) & (k * limits.words_per_separator >= n))
+                         lambda k: many(k) | unended & let(k + F.regexp_count(line, F.lit(COMMAS)), many))
         noise = let(F.regexp_count(line, F.lit(NOISE)), lambda k: (k >= limits.min_noise) & (k * 100 >= n * limits.noise_pct))
-        boilerplate = (n <= limits.boilerplate_words) & F.lower(line).rlike(BOILERPLATE)
+        boilerplate = let(F.regexp_count(F.lower(line), F.lit(BOILERPLATE)),
+                          lambda k: (k >= 1) & ((n <= limits.boilerplate_words) | (k * limits.words_per_boilerplate >= n)))
         return F.struct(line.alias("line"), n.alias("n"), unended.alias("unended"), navigation.alias("navigation"),
                         noise.alias("noise"), boilerplate.alias("boilerplate"))
 
@@ -90,8 +91,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A null text counts as empty: all figures 0, base_failed, not kept.  Repeated rows and
     equal ids are judged one by one, a null id is carried along, an empty table gives an
-    empty result, and other columns of ``docs`` are not read.  ``clean_text`` is the text
-    without its failing lines and blank lines.
+    empty result, and other columns of ``docs`` are not read.  Texts and lines of any length
+    are judged whole.  ``clean_text`` is the text without its failing lines and blank lines.
     """
     base = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(rf"[^{SPACE}]"))

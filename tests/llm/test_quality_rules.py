@@ -69,3 +69,13 @@ def test_verdicts_follow_the_labels(spark):
     good = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
     bad = [r.kept for r in rows if r.quality == 0]
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+def test_menus_paths_and_notices_fail(spark):
+    lines = ["Home, Products, About us, Contact, Log out now", "Home / Products / Shoes / Men / Running / Sale!",
+             "We use cookies to give you the best service; by going on you accept our cookie policy and our privacy policy here.",
+             "She said that he (or so they thought) had gone.\"))))))))"]
+    r = verdict(spark, "\n".join([PROSE, OTHER + ".", *lines]))
+    assert (r.n_navigation_lines, r.n_boilerplate_lines, r.n_unended_lines) == (2, 1, 1)
+    assert r.clean_text == "\n".join([PROSE, OTHER + ".", lines[3]])
+    assert verdict(spark, f"{PROSE}\n{OTHER}, for one thing, one, two, and three.").n_navigation_lines == 0

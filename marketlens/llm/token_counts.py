@@ -4,14 +4,18 @@ A change is an insert, a delete or a revised count of a document.  It becomes si
 amounts: an insert adds the document and its tokens, a delete subtracts them, a revision
 subtracts the old count where it stood and adds the new one where it stands now.  A batch
 of changes is added up by source, language and tokenizer version, and the few sums are
-written to the batch's own folder.  Totals are the sums over all batches.
+written to a folder of the attempt's own.  Then one small file, exchanged in a single step,
+says which attempt counts for the batch.  Totals are the sums over the attempts that count:
+a commit that fails leaves the totals as they were, and a batch that is committed again,
+after a failure or by a stream that restarts, counts once.
 
-A commit replaces its batch's folder, so a batch that is committed again, after a failure
-or by a stream that restarts, counts once.
+Batches are compacted: all up to a number become one table of sums, and again a single
+small file says so.  A batch that is in it and comes once more is not counted again.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -23,10 +27,13 @@ from pyspark.sql import types as T
 from marketlens.llm.common import slices, text_of
 from marketlens.llm.tokens import TEXTS, tokenizer, tokenizer_path
 from marketlens.session import ensure_checkpoint_dir
+from marketlens.sources import files
 
 KEY = ["source", "lang", "tokenizer"]
 #: Additive measures of a rollup.
 MEASURES = ["n_docs", "n_tokens", "n_inserts", "n_deletes", "n_revisions"]
+#: Batches beyond which a commit compacts.
+MOST_BATCHES = 200
 SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, n_inserts bigint, n_deletes bigint, n_revisions bigint"
 
 
@@ -82,22 +89,67 @@ def revisions(old: DataFrame, new: DataFrame, old_tokens: str = "n", new_tokens:
 class Rollup:
     """Totals by source, language and tokenizer version in a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, most_batches: int = MOST_BATCHES):
+        self.spark, self.path, self.most_batches = spark, path.rstrip("/"), most_batches
 
-    def commit(self, deltas: DataFrame, batch: int) -> None:
-        """Add the deltas of ``batch``.  Committing a batch again replaces it."""
+    def _sums(self, deltas: DataFrame) -> str:
+        """Write sums by key to a folder of their own; its name."""
+        name = f"attempt-{uuid.uuid4().hex}"
         sums = deltas.groupBy(*KEY).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={int(batch)}")
+        sums.write.parquet(f"{self.path}/sums/{name}")
+        return name
+
+    def _base(self) -> dict:
+        """The compacted sums: ``through``, the last batch in them, and their ``attempt``."""
+        text = files.read_text(self.spark, f"{self.path}/base")
+        return json.loads(text) if text else {"through": -1, "attempt": None}
+
+    def _batches(self) -> dict[int, str]:
+        """The attempt that counts for each batch that is not compacted."""
+        through = self._base()["through"]
+        names = [n for n in files.names(self.spark, f"{self.path}/batches") if n.isdigit() and int(n) > through]
+        return {int(n): files.read_text(self.spark, f"{self.path}/batches/{n}") for n in names}
+
+    def commit(self, deltas: DataFrame, batch: int) -> None:
+        """Add the deltas of ``batch``.  Committing a batch again replaces it, unless it is compacted."""
+        if int(batch) <= self._base()["through"]:
+            return
+        files.write_text(self.spark, f"{self.path}/batches/{int(batch)}", self._sums(deltas))
+        if len(self._batches()) > self.most_batches:
+            self.compact()
 
     def commit_stream(self, deltas: DataFrame, checkpoint: str):
         """Commit every micro-batch of a streaming DataFrame of deltas; its number makes the commit idempotent."""
         return deltas.writeStream.foreachBatch(self.commit).option("checkpointLocation", checkpoint).start()
 
+    def compact(self, keep: int = 1) -> None:
+        """Put all batches but the last ``keep`` into one table, then remove what no longer counts.
+
+        A stream may commit its last batch again, so that one is kept apart.  Compaction and
+        commits of the same rollup run one after the other; attempts are removed only after
+        the base is exchanged, and a reader that began before it fails and reads again.
+        """
+        before, batches = self._base(), self._batches()
+        old = sorted(batches)[:max(0, len(batches) - keep)]
+        if not old:
+            return
+        attempt = self._sums(self._read([before["attempt"], *[batches[b] for b in old]]))
+        files.write_text(self.spark, f"{self.path}/base", json.dumps({"through": old[-1], "attempt": attempt}))
+        for b in old:
+            files.remove(self.spark, f"{self.path}/batches/{b}")
+        used = {attempt, *self._batches().values()}
+        for name in files.names(self.spark, f"{self.path}/sums"):
+            if name not in used:
+                files.remove(self.spark, f"{self.path}/sums/{name}")
+
+    def _read(self, attempts: list[str | None]) -> DataFrame:
+        paths = [f"{self.path}/sums/{a}" for a in attempts if a]
+        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+
     def totals(self) -> DataFrame:
         """Sums over all batches.  Keys whose documents have all gone stay, with zeros."""
-        batches = self.spark.read.schema(SCHEMA + ", batch bigint").parquet(self.path)
-        return batches.groupBy(*KEY).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
+        rows = self._read([self._base()["attempt"], *self._batches().values()])
+        return rows.groupBy(*KEY).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
 
 
 def scratch(spark: SparkSession) -> str:
@@ -110,8 +162,8 @@ def maintain(counted: DataFrame, gone: DataFrame, path: str, id_col: str = "doc_
     recounted without them, and those in ``gone`` are deleted.
 
     Null sources and languages are keys of their own.  Repeated rows count each time they
-    occur.  A null id is never deleted.  A repeated id in ``gone`` deletes once.  An empty
-    table gives no totals.
+    occur.  A null id is never deleted.  A repeated id in ``gone`` deletes once.  Texts of any
+    length are counted whole.  An empty table gives no totals.
     """
     rollup = Rollup(counted.sparkSession, path)
     rollup.commit(inserts(counted), 0)

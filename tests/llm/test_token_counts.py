@@ -77,3 +77,53 @@ def test_stream_of_deltas(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     got = tc.maintain(tc.counts(frame(spark, [])), spark.createDataFrame([], "doc_id long"), str(tmp_path / "r"))
     assert got.count() == 0
+
+
+def delta(spark, n):
+    return tc.inserts(spark.createDataFrame([("a", "en", "v1", n)], "source string, lang string, tokenizer string, n long"))
+
+
+def tokens(r):
+    return sum(x.n_tokens for x in r.totals().collect())
+
+
+def test_a_commit_that_fails_leaves_the_totals(spark, tmp_path, monkeypatch):
+    """Between the attempt's sums and the file that makes it count, and for the first batch and one that is committed again."""
+    r = tc.Rollup(spark, str(tmp_path / "r"))
+    write = tc.files.write_text
+
+    def lost(*args):
+        raise OSError("lost")
+
+    monkeypatch.setattr(tc.files, "write_text", lost)
+    for n in (5, 6):
+        try:
+            r.commit(delta(spark, n), 0)
+        except OSError:
+            pass
+        assert r.totals().count() == 0
+    monkeypatch.setattr(tc.files, "write_text", write)
+    r.commit(delta(spark, 7), 0)
+    monkeypatch.setattr(tc.files, "write_text", lost)
+    try:
+        r.commit(delta(spark, 8), 0)
+    except OSError:
+        pass
+    assert tokens(r) == 7
+    monkeypatch.setattr(tc.files, "write_text", write)
+    r.commit(delta(spark, 9), 0)
+    assert tokens(r) == 9
+
+
+def test_compaction_keeps_the_totals(spark, tmp_path):
+    r = tc.Rollup(spark, str(tmp_path / "r"), most_batches=3)
+    for batch in range(9):
+        r.commit(delta(spark, 10 ** batch), batch)
+        r.commit(delta(spark, 10 ** batch), batch)
+        assert tokens(r) == int("1" * (batch + 1))
+    assert len(r._batches()) <= 3 and len(tc.files.names(spark, f"{r.path}/sums")) <= 8
+    r.commit(delta(spark, 5), 0)  # compacted: it has been counted
+    r.commit(delta(spark, 0), 8)  # not compacted: it is replaced
+    assert tokens(r) == 11111111
+    r.compact(keep=0)
+    assert tokens(r) == 11111111 and r._batches() == {} and len(tc.files.names(spark, f"{r.path}/sums")) == 1

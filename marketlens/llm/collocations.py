@@ -37,8 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import LOWER, UPPER, join_spread, materialise, remove_folder, slices, text_of
+from marketlens.llm.common import LOWER, UPPER, join_spread, materialise, slices, text_of
 from marketlens.session import ensure_checkpoint_dir
+from marketlens.sources import files
 
 LONGEST = 4
 LEAST = 30
@@ -345,4 +346,4 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         out = named.withColumn("rank", place.cast("long")).where(F.col("rank") <= top).join(n, "lang")
         return materialise(out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
     finally:
-        remove_folder(spark, folder)
+        files.remove(spark, folder)

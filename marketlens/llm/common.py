@@ -42,12 +42,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this session made in the shared checkpoint folder."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def text_of(name: str) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -69,54 +63,77 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Matches of a text whose places are added up together.
+#: Items of an array that are gone through together.
 BLOCK = 256
+#: Code points of text around a match that are its context.
 CONTEXT = 80
 
 
-def match_places(text: Column, pattern, width: Callable[[Column], Column] = F.char_length) -> Column:
-    """Array of (start, end, value, before, after) of the leftmost non-overlapping matches.
+def scan(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Array of the outputs (of type ``kind``) of ``step`` from state and item to the next state and an output.
 
-    Places count in ``width``, code points by default.  before and after are up to CONTEXT
-    code points of the text between this match and its neighbours.  Places are added up in
-    blocks, so the work stays in proportion to the text for any number of matches.
+    Outputs are put together in blocks, so the work stays in proportion to the array.
     """
-    kind = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+    def one(a: Column, x: Column) -> Column:
+        then, out = step(a["state"], x)
+        return F.struct(then.alias("state"), F.concat(a["out"], F.array(out)).alias("out"))
+
+    def through(xs: Column) -> Column:
+        def block(a: Column, b: Column) -> Column:
+            zero = F.struct(a["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+            done = F.aggregate(F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)), zero, one)
+            return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(a["out"], F.array(d["out"])).alias("out")))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+        start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.when(F.size(xs) == 0, F.array().cast(f"array<{kind}>")).otherwise(F.flatten(F.aggregate(blocks, start, block)["out"]))
+
+    return let(items, through)
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + width(x["gap"])
+
+def match_places(text: Column, pattern, width: Callable[[Column], Column] = F.char_length, context: bool = False) -> Column:
+    """Array of (start, end, value) of the leftmost non-overlapping matches, and with ``context`` (before, after).
+
+    Places count in ``width``, code points by default.  before and after are the up to
+    CONTEXT code points of the text next to the match, whatever other matches they hold.
+    """
+    def forward(s: Column, x: Column) -> tuple[Column, Column]:
+        start = s["at"] + width(x["gap"])
         end = start + width(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"),
-                       F.left(x["next"], F.lit(CONTEXT)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(one)).alias("spans"))
+        place = [start.alias("start"), end.alias("end"), x["hit"].alias("value")]
+        if not context:
+            return F.struct(end.alias("at")), F.struct(*place)
+        before = F.right(F.concat(s["tail"], x["gap"]), F.lit(CONTEXT))
+        return F.struct(end.alias("at"), F.right(F.concat(before, x["hit"]), F.lit(CONTEXT)).alias("tail")), F.struct(*place, before.alias("before"))
 
-    def shift(a: Column, x: Column) -> Column:
-        moved = F.transform(x["spans"], lambda s: F.struct((s["start"] + a["at"]).alias("start"), (s["end"] + a["at"]).alias("end"), s["value"], s["before"], s["after"]))
-        return F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["spans"], F.array(moved)).alias("spans"))
+    def backward(head: Column, x: Column) -> tuple[Column, Column]:
+        after = F.left(F.concat(x["next"], head), F.lit(CONTEXT))
+        return F.left(F.concat(x["hit"], after), F.lit(CONTEXT)), after
 
     def places(hits: Column, pieces: Column) -> Column:
-        cut = lambda xs, b, by=1: F.slice(xs, b * BLOCK + by, F.lit(BLOCK))
         # the gap before a match, the match, and the gap after it
-        block = lambda b: F.arrays_zip(cut(pieces, b).alias("gap"), cut(hits, b).alias("hit"), cut(pieces, b, 2).alias("next"))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-        within = lambda b: F.aggregate(F.filter(block(b), lambda x: x["hit"].isNotNull()), zero, step)
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int")), within)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("spans"))
-        return F.flatten(F.aggregate(blocks, start, shift)["spans"])
-
-    def found(hits: Column) -> Column:
-        none = F.array().cast(kind)
-        return F.when(F.size(hits) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda pieces: places(hits, pieces)))
+        rows = F.arrays_zip(F.slice(pieces, 1, F.size(hits)).alias("gap"), hits.alias("hit"), F.slice(pieces, 2, F.size(hits)).alias("next"))
+        kind = "struct<start:int,end:int,value:string>"
+        if not context:
+            return scan(rows, F.struct(F.lit(0).alias("at")), kind, forward)
+        kind = kind[:-1] + ",before:string>"
+        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+        return let(rows, lambda xs: let(F.reverse(scan(F.reverse(xs), F.lit(""), "string", backward)), lambda afters: F.transform(
+            scan(xs, zero, kind, forward), lambda x, i: F.struct(x["start"], x["end"], x["value"], x["before"], F.get(afters, i).alias("after")))))
 
-    return let(F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)), found)
+    none = "array<struct<start:int,end:int,value:string" + (",before:string,after:string>>" if context else ">>")
+    return let(F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)), lambda hits: F.when(
+        F.size(hits) == 0, F.array().cast(none)).otherwise(let(F.split(text, pattern, -1), lambda pieces: places(hits, pieces))))
 
 
-def join_spread(rows: DataFrame, table: DataFrame, key: str, spread: Column, leaves: int = 64) -> DataFrame:
+def join_spread(rows: DataFrame, table: DataFrame, key: str, spread: Column, leaves: int | None = None) -> DataFrame:
     """``rows`` joined to ``table`` (one row per ``key``), also if a third of the rows have one key.
 
-    The rows of a key are dealt to ``leaves`` leaves.  The table is joined to the distinct
-    (key, leaf) pairs, which map-side aggregation makes few, and those to the rows.
+    The rows of a key are dealt to leaves, as many as there are shuffle partitions and 64 at
+    least, so a hot key is spread as widely as the cluster is.  The table is joined to the
+    distinct (key, leaf) pairs, which map-side aggregation makes few, and those to the rows.
     """
+    leaves = leaves or max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.withColumn("_leaf", F.pmod(spread, F.lit(leaves)).cast("int"))
     pairs = dealt.select(key, "_leaf").distinct().join(table, key)
     return dealt.join(pairs, [key, "_leaf"]).drop("_leaf")
@@ -153,13 +170,21 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
 def keep_rows(docs: DataFrame, stay: DataFrame, id_col: str, key: Column) -> DataFrame:
     """Rows of ``docs``, all columns, whose id and ``key`` are in ``stay`` (_stay_id, _stay_key).
 
-    Of repeated rows (same id, same key) one stays.  Ids are compared null-safe.
+    Of repeated rows (same id, same key) one stays: the one whose columns, all together, have
+    the smallest hash, so reruns agree.  Ids are compared null-safe.  Whole rows are shuffled
+    once, to be joined; how often an id and key occur is counted on those two alone, and
+    only rows that are repeated are compared.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
     keyed = docs.select(row, F.col(id_col).alias("_id"), key.alias("_key"))
-    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(1)))
+    times = keyed.groupBy("_id", "_key").agg(F.count("*").alias("_times"))
+    wanted = stay.select("_stay_id", "_stay_key").distinct()
     same = F.col("_id").eqNullSafe(F.col("_stay_id")) & (F.col("_key") == F.col("_stay_key"))
-    return keyed.withColumn("_nth", nth).where("_nth = 1").join(stay, same, "left_semi").select("_row.*")
+    wanted = materialise(wanted.join(times, same).select("_stay_id", "_stay_key", "_times"))
+    found = keyed.join(wanted, same)
+    repeated = found.where("_times > 1").groupBy("_id", "_key").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return found.where("_times = 1").select("_row.*").unionByName(repeated.select("_row.*"))
 
 
 def connected(edges: DataFrame, materialise_round: Callable[[DataFrame], DataFrame] = materialise) -> DataFrame:
@@ -174,10 +199,11 @@ def connected(edges: DataFrame, materialise_round: Callable[[DataFrame], DataFra
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("_low")).select(F.col("a").alias("_a"), F.least("a", "_low").alias("_low"))
-        large = both.where("b > a").join(lowest, F.col("a") == F.col("_a")).select(F.col("b").alias("a"), F.col("_low").alias("b"))
+        # a node can be the neighbour of very many
+        large = join_spread(both.where("b > a"), lowest.withColumnRenamed("_a", "a"), "a", F.xxhash64("b")).select(F.col("b").alias("a"), F.col("_low").alias("b"))
         large = large.unionByName(lowest.where("_a > _low").select(F.col("_a").alias("a"), F.col("_low").alias("b"))).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("_low")).withColumnRenamed("a", "_a")
-        small = large.join(lowest, F.col("a") == F.col("_a")).where("b <> _low").select(F.col("b").alias("a"), F.col("_low").alias("b"))
+        small = join_spread(large, lowest.withColumnRenamed("_a", "a"), "a", F.xxhash64("b")).where("b <> _low").select(F.col("b").alias("a"), F.col("_low").alias("b"))
         pairs = materialise_round(small.unionByName(lowest.select(F.col("_a").alias("a"), F.col("_low").alias("b"))).distinct())
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.ranking import in_ranges, running_sum
+from marketlens.functions.ranking import in_ranges, ranges_of, running_sum
 from marketlens.llm.common import WORD, materialise, prefix_sums, text_of
 
 #: A conversation takes its first turns from the first conversation of its family of so many ids.
@@ -43,8 +43,9 @@ HEADS = 4
 SEGMENT = 256
 #: Rows of a block at most.
 BLOCK = 4096
-#: Rows that a task sorts, on average.
+#: Rows that a task sorts, on average, and the least number of tasks.
 ROWS = 262_144
+RANGES = 8
 #: Segments of a conversation that are added up in one window.
 SEGMENTS = 1024
 
@@ -55,7 +56,8 @@ def rebuild(turns: DataFrame, conv: str, turn: str, role: str, text: str, rows_p
     digest = F.sha2(F.concat(F.octet_length(who).cast("string"), F.lit(":"), who, said), 256)
     light = turns.where(F.col(conv).isNotNull()).select(F.col(conv).cast("long").alias("_conv"), F.col(turn).alias("_at"), digest.alias("_turn"),
                                                         F.regexp_count(said, F.lit(WORD)).cast("long").alias("_words"), F.lit(1).cast("long").alias("_one"))
-    numbered = running_sum(materialise(light), ["_conv"], [("_at", True), ("_turn", True)], "_one", "_nth", rows_per_range)
+    light = materialise(light)
+    numbered = running_sum(light, ["_conv"], [("_at", True), ("_turn", True)], "_one", "_nth", ranges=max(RANGES, ranges_of(light, rows_per_range)))
     numbered = materialise(numbered.select("_conv", "_nth", "_turn", "_words"))
     heads = F.crc32(F.col("_conv").cast("string").cast("binary")) % HEADS
     family = F.col("_conv") - F.col("_conv") % FAMILY
@@ -302,7 +304,7 @@ def trie(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     rebuilt, convs = rebuild(turns, conv, turn, role, text, rows_per_range)
     rows = materialise(segments(rebuilt, convs, segment))
     order = [("_seg", True), ("_before", True), ("_turns", True), ("_on", True), ("_conv", True)]
-    rows = in_ranges(rows, order, rows_per_range).withColumn("_block", F.col("__range") * (1 << 32) + F.expr(f"__nth div {block}"))
+    rows = in_ranges(rows, order, n=max(RANGES, ranges_of(rows, rows_per_range))).withColumn("_block", F.col("__range") * (1 << 32) + F.expr(f"__nth div {block}"))
     near = materialise(edges(rows))
     rows = rows.join(later_figures(rows, near), ["_conv", "_seg"], "left").fillna(0, ["_more_leaves", "_more_saved"])
     found = materialise(in_blocks(rows, near, node_finder(segment), NODES))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marketlens.llm import (best_fit, collocations, exact_dedup, licenses, mixing, packing, pii, prefix_trie, quality_classifier, quality_rules, simhash, token_counts,
                              url_filters)
 from marketlens.llm.common import materialise, read_table
+from marketlens.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,26 +48,30 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g AS (SELECT k, i, list_slice(words, i, i + 7) AS win FROM (SELECT k, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
     r AS (SELECT k, count(*) AS n FROM (SELECT DISTINCT k, unnest(range(i, i + 8)) FROM
             (SELECT k, i, count(*) OVER (PARTITION BY k, win) AS c FROM g) WHERE c > 1) GROUP BY k),
-    l AS (SELECT k, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
-                 right(trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 6) AS tail,
-                 len(regexp_extract_all(x, '[|»›·•]')) AS seps, len(regexp_extract_all(x, '[#*$%&]{2,}|[!?]{2,}')) AS noises
-          FROM (SELECT k, unnest(lines) AS x FROM w)),
-    v AS (SELECT k, n, NOT regexp_matches(tail, '[.!?:;…。！？؟।]["''”’»)\]]*$') AND (n < 5 OR NOT regexp_matches(x, '[.!?:;,…。！？，؟।]')) AS unended,
-                 seps >= 3 AND seps * 4 >= n AS navigation, noises >= 2 AND noises * 100 >= n * 30 AS noise,
-                 n <= 12 AND regexp_matches(lower(x), 'cookie|privacy policy|terms of (use|service)|javascript|all rights reserved|lorem ipsum|subscribe|sign (in|up)|log ?in|click here|read more|share (this|on)|skip to|powered by') AS boilerplate FROM l),
+    l AS (SELECT k, j, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
+                 NOT regexp_matches(x, '[.!?:;…。！？؟।]["''”’»)\]]*[\x20\x09-\x0D]*\z') AS unended,
+                 len(regexp_extract_all(x, '[|»›·•]|[\x20\x09][/>][\x20\x09]')) AS seps, len(regexp_extract_all(x, '[,，]')) AS commas,
+                 len(regexp_extract_all(x, '[#*$%&]{2,}|[!?]{2,}')) AS noises,
+                 len(regexp_extract_all(lower(x), 'cookie|privacy policy|terms of (use|service)|javascript|all rights reserved|lorem ipsum|subscribe|sign (in|up)|log ?in|click here|read more|share (this|on)|skip to|powered by')) AS phrases
+          FROM (SELECT k, unnest(lines) AS x, generate_subscripts(lines, 1) AS j FROM w)),
+    v AS (SELECT k, j, x, n, unended, seps >= 3 AND seps * 4 >= n OR unended AND seps + commas >= 3 AND (seps + commas) * 4 >= n AS navigation,
+                 noises >= 2 AND noises * 100 >= n * 30 AS noise, phrases >= 1 AND (n <= 12 OR phrases * 8 >= n) AS boilerplate FROM l),
     s AS (SELECT k, count(*) AS n_lines, count(*) FILTER (unended) AS u, count(*) FILTER (navigation) AS m, count(*) FILTER (noise) AS o,
-                 count(*) FILTER (boilerplate) AS b, sum(n) FILTER (unended OR navigation OR noise OR boilerplate) AS lost FROM v GROUP BY k),
+                 count(*) FILTER (boilerplate) AS b, sum(n) FILTER (unended OR navigation OR noise OR boilerplate) AS lost,
+                 string_agg(x, chr(10) ORDER BY j) FILTER (NOT (unended OR navigation OR noise OR boilerplate)) AS clean FROM v GROUP BY k),
     f AS (SELECT doc_id, len(words)::BIGINT AS n_words, (length(text) - len(regexp_extract_all(text, '[\x20\x09-\x0D]')))::BIGINT AS word_chars,
                  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
                  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
                  coalesce(s.n_lines, 0) AS n_lines, coalesce(u, 0) AS n_unended_lines, coalesce(m, 0) AS n_navigation_lines,
-                 coalesce(o, 0) AS n_noise_lines, coalesce(b, 0) AS n_boilerplate_lines, coalesce(lost, 0)::BIGINT AS n_lost_words
+                 coalesce(o, 0) AS n_noise_lines, coalesce(b, 0) AS n_boilerplate_lines, coalesce(lost, 0)::BIGINT AS n_lost_words,
+                 sha256(coalesce(clean, '')) AS clean_sha256
           FROM w LEFT JOIN r USING (k) LEFT JOIN s USING (k)),
     x AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
     SELECT *, NOT base_failed AND 100 * n_lost_words <= 50 * n_words AS kept FROM x
 """)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents")).drop("clean_text")
+    judged = quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
+    return judged.withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
 
 
 @query("op3_quality_classifier")
@@ -121,7 +126,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after all documents came in, repeated lines were taken out and toxic documents were deleted."""
     counted = materialise(token_counts.counts(read_table(spark, sf_dir, "documents")))
     toxic = read_table(spark, sf_dir, "labels").where("toxic = 1")
-    return token_counts.maintain(counted, toxic, token_counts.scratch(spark))
+    folder = token_counts.scratch(spark)
+    try:
+        return materialise(token_counts.maintain(counted, toxic, folder))
+    finally:
+        files.remove(spark, folder)
 
 
 @query("op5_pii")

@@ -34,6 +34,8 @@ SEED = 42
 MAX_BITS = 4
 BYTES = 8
 MIN_SHARED = BYTES - MAX_BITS
+#: Fingerprints of a posting list that is not cut.
+LONG_LIST = 2048
 #: Shingles that are turned into bits at a time, which bounds the memory of a long text.
 CHUNK = 1 << 14
 
@@ -94,45 +96,87 @@ def shared_bytes(x: Column) -> Column:
     return sum(bits[1:], bits[0])
 
 
-def links(prints: DataFrame, posting: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct fingerprints (column ``_fp``) within ``max_bits`` bits."""
+def posting_for(n: int) -> int:
+    """Positions of a posting for ``n`` distinct fingerprints; both sizes give the same links.
+
+    Three hold a list for each of 2^24 keys and set of positions; when those grow beyond a
+    few entries, four make them shorter by 256.
+    """
+    return 3 if n <= 1 << 26 else 4
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's links those that join two of its components: the same components from fewer links than nodes."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        kept = []
+        for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+            ra, rb = root(a), root(b)
+            if ra != rb:
+                parent[rb] = ra
+                kept.append(i)
+        if kept:
+            yield batch.take(pa.array(kept))
+
+
+def links(prints: DataFrame, posting: int = 3, max_bits: int = MAX_BITS, long_list: int = LONG_LIST) -> DataFrame:
+    """(a, b), a < b: all pairs of distinct fingerprints (column ``_fp``) within ``max_bits`` bits.
+
+    A posting list of more than ``long_list`` fingerprints is cut into chunks by a hash, and
+    each pair of chunks is a join key of its own, so a dense family is spread over many tasks.
+    """
     if max_bits > MAX_BITS:
         raise ValueError("the index is complete for up to four differing bits")
     sets = position_sets(posting)
     entries = F.array(*[F.struct(F.lit(k).cast("short").alias("k"), F.col("_fp").bitwiseAND(F.lit(mask_of(s))).alias("key")) for k, s in enumerate(sets)])
     postings = prints.select("_fp", F.explode(entries).alias("e")).select("_fp", "e.k", "e.key")
+    long = postings.groupBy("k", "key").agg(F.count("*").alias("n")).where(F.col("n") > long_list)
+    cut = postings.join(long.select("k", "key", F.ceil(F.col("n") / long_list).cast("int").alias("m")), ["k", "key"], "left")
+    m = F.coalesce("m", F.lit(1))
+    cut = cut.select("_fp", "k", "key", m.alias("m"), F.pmod(F.xxhash64("_fp"), m).cast("int").alias("c"))
     # which list is the first where a pair meets, by the set of bytes it shares
     first = F.array(*[F.lit(next((k for k, s in enumerate(sets) if all(m >> p & 1 for p in s)), -1)) for m in range(1 << BYTES)])
-    a, b = postings.alias("a"), postings.alias("b")
+    a = cut.select("_fp", "k", "key", F.col("c").alias("lo"), F.explode(F.sequence("c", F.col("m") - 1)).alias("hi")).alias("a")
+    b = cut.select("_fp", "k", "key", F.explode(F.sequence(F.lit(0), "c")).alias("lo"), F.col("c").alias("hi")).alias("b")
     xor = F.col("a._fp").bitwiseXOR(F.col("b._fp"))
     shared = shared_bytes(xor)
     here = F.get(first, shared) == F.col("a.k")
     tally = F.bit_count(shared) >= MIN_SHARED
     near = F.bit_count(xor) <= max_bits
-    met = (F.col("a.k") == F.col("b.k")) & (F.col("a.key") == F.col("b.key")) & (F.col("a._fp") < F.col("b._fp"))
-    return a.join(b, met & tally & near & here).select(F.col("a._fp").alias("a"), F.col("b._fp").alias("b"))
+    met = (F.col("a.k") == F.col("b.k")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
+    once = (F.col("a.lo") < F.col("a.hi")) | (F.col("a._fp") < F.col("b._fp"))
+    return a.join(b, met & once & tally & near & here).select(F.least("a._fp", "b._fp").alias("a"), F.greatest("a._fp", "b._fp").alias("b"))
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, posting: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, id_col: str, text_col: str, posting: int | None, max_bits: int) -> tuple[DataFrame, DataFrame]:
     """(_id, _fp, _key) of every row, and (_fp, _best) with the smallest document of the group."""
     text = text_of(text_col)
     rows = materialise(docs.select(F.col(id_col).alias("_id"), fingerprints(text.cast("binary")).alias("_fp"), F.xxhash64(text).alias("_key")))
     entry = F.struct(F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("id"), F.col("_key").alias("key"))
     prints = materialise(rows.groupBy("_fp").agg(F.min(entry).alias("_first")))
-    members = materialise(connected(materialise(links(prints.select("_fp"), posting, max_bits))))
+    # the links of a dense family are many more than its fingerprints, so tasks hand on what connects them
+    pairs = links(prints.select("_fp"), posting or posting_for(prints.count()), max_bits).mapInArrow(forest, "a long, b long")
+    members = materialise(connected(materialise(pairs)))
     best = members.join(prints, F.col("node") == F.col("_fp")).groupBy("root").agg(F.min("_first").alias("_best"))
-    joined = members.join(best, "root").select("node", "_best")
+    joined = join_spread(members, best, "root", F.xxhash64("node")).select("node", "_best")
     groups = prints.join(joined, F.col("_fp") == F.col("node"), "left").select("_fp", F.coalesce("_best", "_first").alias("_best"))
     return rows, groups
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting: int | None = None, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id.
 
     A null or empty text has fingerprint zero and is linked like any other.  component_id is
     the smallest id that can be reached over links; null ids count last, so it is null only
-    if every id of the group is.  Repeated rows share their group.  An empty table gives an
-    empty result; only the id and the text are read.
+    if every id of the group is.  Repeated rows share their group.  A text of any length has
+    the fingerprint of all its shingles.  An empty table gives an empty result; only the id
+    and the text are read.
     """
     rows, groups = grouped(docs, id_col, text_col, posting, max_bits)
     # a fingerprint can be that of very many documents
@@ -140,8 +184,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                            F.col("_best.id").alias("component_id"))
 
 
-def thin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs``, all columns, with one row of each group: the one with the smallest id."""
+def thin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting: int | None = None, max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs``, all columns, with one row of each group: the one with the smallest id.
+
+    The cases of ``near_duplicates`` hold here too; of rows with that id and the same text,
+    the one with the smallest hash over its columns stays.
+    """
     _, groups = grouped(docs, id_col, text_col, posting, max_bits)
     stay = groups.select(F.col("_best.id").alias("_stay_id"), F.col("_best.key").alias("_stay_key")).distinct()
     return keep_rows(docs, stay, id_col, F.xxhash64(text_of(text_col)))

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the docs of the next one.  All but the last return documents
-with the columns they came with.
+with the columns they came with.  Null and empty texts, very long ones, ties, repeated rows
+and empty tables are treated as the operator of the stage says; other columns are carried.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.llm import exact_dedup, mixing, packing, quality_classifier, simhash
 from marketlens.session import ensure_checkpoint_dir
+from marketlens.sources import files
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *before, (_, last) = STAGES
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(before):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
-    return last(spark, docs, sf_dir)
+    try:
+        for i, (_, stage) in enumerate(before):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+        # packing has read its documents when it returns, so the folder can go
+        return last(spark, docs, sf_dir)
+    finally:
+        files.remove(spark, folder)

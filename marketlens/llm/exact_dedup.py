@@ -55,7 +55,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal each other and the empty text.  Of equal texts the smallest id stays; a null id
     sorts last, so keep_id is null only if every id of the group is.  Of repeated rows
     (same id, same text) exactly one has kept = true.  An empty table gives an empty
-    result; other columns of ``docs`` are not read.
+    result; other columns of ``docs`` are not read.  Texts of any length are compared whole.
     """
     rows = materialise(digests(docs, id_col, text_col, levels))
     entry = F.struct(F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("id"), F.col("_leaf").alias("leaf"))
@@ -74,7 +74,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = LEVELS) -> DataFrame:
-    """``docs``, all columns, without the rows that ``exact_dedup`` drops."""
+    """``docs``, all columns, without the rows that ``exact_dedup`` drops.
+
+    The cases of ``exact_dedup`` hold here too; of repeated rows with the smallest id, the
+    one whose columns have the smallest hash stays.
+    """
     stay = (exact_dedup(docs, id_col, text_col, levels).where("kept")
             .select(F.col(id_col).alias("_stay_id"), F.unhex("text_sha256").alias("_stay_key")))
     return keep_rows(docs, stay, id_col, F.unhex(F.sha2(normalised(text_of(text_col)), 256)))

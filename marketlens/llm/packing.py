@@ -98,7 +98,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     A null text is empty: its document is the end id alone.  A null source is a queue of its
     own.  Repeated rows and rows with null ids are packed one by one.  An empty table gives an
-    empty result; other columns are not read.  Only the last sequence can be short; it is
+    empty result; other columns are not read.  Texts of any length are encoded whole, in
+    parts, and cut wherever a window ends.  Only the last sequence can be short; it is
     padded to ``length`` unless its tokens are a power of two.  Target proportions are the
     sources' shares of all tokens, so that all queues end together.
     """

@@ -214,7 +214,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Null texts count as empty and are scored like any other text.  Repeated rows get the
     same score.  A null id is scored; it has no label.  With too few labels to fit, every
     score is the smoothed share of label 1.  An empty table gives an empty result.  Only
-    the id and the text of ``docs`` are read.
+    the id and the text of ``docs`` are read.  Texts of any length are scored whole.
     """
     model = train(docs, labels, id_col, text_col, label_col, sample_rows)
     scored = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), scorer(model)(text_of(text_col).cast("binary")).alias("score"))
@@ -223,6 +223,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
            threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs``, all columns, without the rows whose score is below ``threshold``."""
+    """``docs``, all columns, without the rows whose score is below ``threshold``.
+
+    The cases of ``classify`` hold here too; repeated rows stay or go together.
+    """
     model = train(docs, labels, id_col, text_col, label_col, sample_rows)
     return docs.where(scorer(model)(text_of(text_col).cast("binary")) >= threshold)

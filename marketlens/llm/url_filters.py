@@ -115,7 +115,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     A null url, or one without ``://``, has an empty host and path, fits no rule and is
     judged by the trees.  Repeated urls and null ids are judged row by row.  If all
     labelled urls have the same verdict, the others get it too; without any, they are
-    allowed.  An empty table gives an empty result; only the id and the url are read.
+    allowed.  An empty table gives an empty result; only the id and the url are read.  Urls of
+    any length are judged whole.
     """
     urls = pages.select(F.col(id_col).alias("_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("_url"))
     split = urls.select("_id", "_url", host_and_path(F.col("_url")).alias("_hp")).select("_id", "_url", "_hp.*")

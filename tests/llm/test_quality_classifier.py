@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from cases import ROWS, frame
+from cases import ROWS, SCHEMA, frame
 
 from marketlens.llm import quality_classifier as qc
 
@@ -65,3 +65,25 @@ def test_ngrams_of_a_long_text_do_not_depend_on_chunks(monkeypatch):
     monkeypatch.setattr(qc, "CHUNK", 1000)
     assert qc.bitmap(text) == whole
     assert qc.bitmap(b"") == qc.bitmap(None)
+
+
+def test_awkward_rows_through_a_fitted_model(spark):
+    """Nulls, empty and very long texts and repeated rows are scored by a model of both classes, and all alike."""
+    good = [(1000 + i, f"The council met on day {i} and agreed on the plan for the year.") for i in range(60)]
+    bad = [(2000 + i, f"BUY NOW $$$ {i} !!! click click") for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, True, 1, 1, "x") for i, t in good + bad], SCHEMA).unionAll(frame(spark))
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad] + [(None, 1), (3, None)], "doc_id long, quality int")
+    got = qc.classify(docs, labels)
+    assert got.count() == len(ROWS) + 120
+    rows = got.collect()
+    by_id = {}
+    for r in rows:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+        by_id.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(s) == 1 for s in by_id.values()) and by_id[3] == by_id[4]  # null and empty
+    held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+    assert all(r.score > 0.5 for r in rows if r.doc_id and 1000 <= r.doc_id < 1060 and held(r))
+    assert all(r.score < 0.5 for r in rows if r.doc_id and 2000 <= r.doc_id < 2060 and held(r))
+    assert qc.classify(frame(spark, []), labels).count() == 0
+    kept = qc.accept(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in rows)

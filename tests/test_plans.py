@@ -24,7 +24,7 @@ def test_filters_and_projection_reach_the_silver_scan(spark, tables):
 
 def test_ranked_views_have_no_single_partition_exchange(tables, monkeypatch):
     from marketlens.functions import ranking
-    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 20)  # force several ranges on the small fixture
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 3)  # force several ranges on the small fixture
     for df in (insight.customer_value_tiers(tables), analysis.seller_rank(tables)):
         for above in _plan(df).split("Exchange SinglePartition")[1:]:
             assert "HashAggregate(keys=[__range" in above.split("\n")[1]  # one row per range

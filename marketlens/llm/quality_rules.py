@@ -7,25 +7,31 @@ Everything is computed within the row: no shuffle, no Python.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import SPACE, WORD, let, text_of, words_of
+from marketlens.llm.common import SPACE, SPACE_CHARS, WORD, let, text_of, words_of
 
 #: Characters that count as symbols in the base figures.
 SYMBOLS = r"[#*$%&|<>]"
 #: Words of a window whose repetition counts.
 WINDOW = 8
 
-#: A sentence end at the end of a line, with closing quotes or brackets and white space behind it.
-TERMINAL = rf"[.!?:;…。！？؟।][\"'”’»)\]]*[{SPACE}]*\z"
+#: Sentence ends, and quotes and brackets that may close behind one.
+TERMINAL = "[.!?:;…。！？؟।]"
+CLOSING = "\"'”’»)]"
 #: Separators of menus and paths; commas too, in a line without a sentence end.
 SEPARATORS = r"[|»›·•]|[\x20\x09][/>][\x20\x09]"
 COMMAS = r"[,，]"
+ANY_SEPARATOR = r"[|»›·•/>]"
 NOISE = r"[#*$%&]{2,}|[!?]{2,}"
 BOILERPLATE = (r"cookie|privacy policy|terms of (use|service)|javascript|all rights reserved|lorem ipsum|subscribe"
                r"|sign (in|up)|log ?in|click here|read more|share (this|on)|skip to|powered by")
+#: Every boilerplate phrase holds one of these; the lines of a text without any need no search.
+HINTS = ("cookie", "privacy policy", "terms of ", "javascript", "all rights reserved", "lorem ipsum", "subscribe", "sign in", "sign up", "login", "log in",
+         "click here", "read more", "share this", "share on", "skip to", "powered by")
 
 
 @dataclass(frozen=True)
@@ -64,16 +70,16 @@ def repeated_words(words: Column, n: int = WINDOW) -> Column:
     return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(covered(w)))
 
 
-def line_verdicts(lines: Column, limits: Limits) -> Column:
-    """For each line: its number of words and whether a rule fails it."""
+def line_verdicts(lines: Column, hinted: Column, limits: Limits) -> Column:
+    """For each line: its number of words and whether a rule fails it; ``hinted`` tells whether the text holds a hint of boilerplate."""
     def judge(x: Column) -> Column:
         line, n = x["line"], x["n"]
-        unended = ~line.rlike(TERMINAL)
+        unended = ~F.right(F.rtrim(F.rtrim(line, F.lit(SPACE_CHARS)), F.lit(CLOSING)), F.lit(1)).rlike(TERMINAL)
         many = lambda k: (k >= limits.min_separators) & (k * limits.words_per_separator >= n)
-        navigation = let(F.regexp_count(line, F.lit(SEPARATORS)),
+        navigation = let(F.when(line.rlike(ANY_SEPARATOR), F.regexp_count(line, F.lit(SEPARATORS))).otherwise(0),
                          lambda k: many(k) | unended & let(k + F.regexp_count(line, F.lit(COMMAS)), many))
         noise = let(F.regexp_count(line, F.lit(NOISE)), lambda k: (k >= limits.min_noise) & (k * 100 >= n * limits.noise_pct))
-        boilerplate = let(F.regexp_count(F.lower(line), F.lit(BOILERPLATE)),
+        boilerplate = hinted & let(F.regexp_count(F.lower(line), F.lit(BOILERPLATE)),
                           lambda k: (k >= 1) & ((n <= limits.boilerplate_words) | (k * limits.words_per_boilerplate >= n)))
         return F.struct(line.alias("line"), n.alias("n"), unended.alias("unended"), navigation.alias("navigation"),
                         noise.alias("noise"), boilerplate.alias("boilerplate"))
@@ -96,14 +102,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     base = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(rf"[^{SPACE}]"))
-    split = base.select("_id", "_text", words_of(F.col("_text")).alias("_words"), lines.alias("_lines"))
+    hinted = let(F.lower("_text"), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(h)) for h in HINTS]))
+    split = base.select("_id", "_text", words_of(F.col("_text")).alias("_words"), lines.alias("_lines"), hinted.alias("_hinted"))
     judged = split.select(
         "_id", F.size("_words").cast("long").alias("n_words"),
         (F.char_length("_text") - F.regexp_count("_text", F.lit(rf"[{SPACE}]"))).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
-        line_verdicts(F.col("_lines"), limits).alias("_verdicts"))
+        line_verdicts(F.col("_lines"), F.col("_hinted"), limits).alias("_verdicts"))
     count = lambda p: F.size(F.filter("_verdicts", p)).cast("long")
     lost = F.aggregate("_verdicts", F.lit(0), lambda a, x: a + F.when(failing(x), x["n"]).otherwise(0)).cast("long")
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_pct * F.col("n_words"))

@@ -165,7 +165,7 @@ SHORT = [
     ("bsd", "bsd", " bsd style licen[sc]e", (), True),
     ("bsd-2-clause", "bsd", " bsd 2", (), True),
     ("bsd-3-clause", "bsd", " bsd 3", (), True),
-    ("unlicense", "unlicensed", " unlicen[sc]ed into the public domain", (), True),
+    ("unlicense", "unlicen", " unlicen[sc]ed into the public domain", (), True),
 ]
 
 #: Further sentences of licence texts and notices: label, keyword, pattern, confidence.

@@ -106,3 +106,20 @@ def test_empty_files(spark, tmp_path):
     path = write(tmp_path / "f.csv", HEADER + "\n")
     got = bronze.ingest_csv(spark, {"order_reviews": path})["order_reviews"]
     assert got.rows.count() == 0 and got.rejects.count() == 0
+
+
+def test_each_record_is_parsed_once(spark, tmp_path):
+    from marketlens.operators import cleaning
+    path = write(tmp_path / "f.csv", ",".join(schemas.columns("order_items")) + "\no1,1,p1,s1,2017-01-01,5.00,1.00\no1,x,p1,s1,2017-01-01,5.00,1.00\n")
+    df = cleaning.clean_table("order_items", bronze.read_csv(spark, {"order_items": path})["order_items"])
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 1
+    assert [(r.order_id, r.order_item_id) for r in df.collect()] == [("o1", 1)]
+
+
+def test_counts_read_a_file_once(spark, tmp_path, monkeypatch):
+    from marketlens.plans import q_ingest
+    path = write(tmp_path / "s.csv", ",".join(schemas.columns("sellers")) + "\ns1,1,a,b\ns2,1\ns3,1,a,b\n")
+    monkeypatch.setattr(q_ingest, "written", lambda spark, sf_dir: {"sellers": path})
+    df = q_ingest.csv_ingest_counts(spark, "")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [tuple(r) for r in df.collect()] == [("sellers", 2, 1)]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.columns import avg6, category_label, days_between, month_start, msum
 from marketlens.functions.labels import DELAYED, NOT_DELAYED, TABLE_LABELS, UNCATEGORIZED
+from marketlens.functions.parts import dealt
 from marketlens.sources.catalog import Tables
 
 
@@ -304,11 +305,19 @@ def review_score_by_delay(t: Tables) -> DataFrame:
 
 
 def state_flow_freight(t: Tables, n: int = 50) -> DataFrame:
-    """Q25: customer state x seller state freight."""
+    """Q25: customer state x seller state freight.
+
+    An order is counted once per flow: items are summed per (flow, order) first, in tasks
+    of like size, as orders are dealt to them whole.
+    """
     oc = t.orders.select("order_id", "customer_id").join(t.customers.select("customer_id", "customer_state"), "customer_id")
-    return (t.order_items.join(oc, "order_id").join(t.sellers.select("seller_id", "seller_state"), "seller_id")
-            .groupBy("customer_state", "seller_state").agg(
-                F.countDistinct("order_id").alias("order_count"), F.count("*").alias("item_row_count"),
-                msum("freight_value").alias("total_freight"), avg6("freight_value", 2).alias("avg_freight"))
+    sold = t.order_items.select("order_id", "seller_id", "freight_value").join(t.sellers.select("seller_id", "seller_state"), "seller_id")
+    by_order = (dealt(sold, t.order_items.count(), "order_id").join(oc.drop("customer_id"), "order_id")
+                .groupBy("customer_state", "seller_state", "order_id").agg(
+                    F.count("*").alias("__rows"), F.count("freight_value").alias("__known"), msum("freight_value").alias("__freight")))
+    return (by_order.groupBy("customer_state", "seller_state").agg(
+                F.count("order_id").alias("order_count"), F.sum("__rows").alias("item_row_count"),
+                F.sum("__freight").cast("decimal(38,2)").alias("total_freight"),
+                (F.sum("__freight") / F.nullif(F.sum("__known"), F.lit(0))).cast("decimal(38,6)").alias("avg_freight"))
             .orderBy(F.col("order_count").desc(), F.col("item_row_count").desc(), "customer_state", "seller_state")
             .limit(n))

@@ -100,3 +100,17 @@ def test_bucketed_silver_removes_order_grain_shuffles(spark, tables):
         assert "Exchange" not in base.order_item_summary(bt)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_tasks_of_fine_groups_follow_the_rows(spark, tables, monkeypatch):
+    """More rows make more partitions, with the same rows, not more groups in each of the usual number."""
+    from marketlens.functions import parts
+    silver = _silver(spark, tables)
+    views = (insight.category_seller_region_gmv, insight.cross_sell_category_pairs, lambda t: explore.state_flow_freight(t, 10_000))
+    whole = [sorted(map(str, view(silver).collect())) for view in views]
+    monkeypatch.setattr(parts, "ROWS_PER_TASK", 100)
+    needed = -(-silver.order_items.count() // 100)
+    for view, rows in zip(views, whole):
+        df = view(silver)
+        assert f", {needed}), REPARTITION_BY_NUM" in _plan(df)
+        assert sorted(map(str, df.collect())) == rows

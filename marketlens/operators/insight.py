@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import labels as L
 from marketlens.functions.columns import avg6, days_between, month_start, msum_nullable, weekday0
 from marketlens.functions.pairs import DEFAULT_CHUNK, pair_counts
+from marketlens.functions.parts import dealt
 from marketlens.functions.ranking import global_ntile, global_ntiles, stable
 from marketlens.operators import base
 from marketlens.sources.catalog import Tables
@@ -80,13 +81,15 @@ def category_seller_region_gmv(t: Tables) -> DataFrame:
     """Category x seller x customer region (SUM keeps NULL for unknown prices).
 
     An order has one buyer, so the distinct counts nest: rows per (group, buyer, order),
-    then per (group, buyer), then per group.  No row is expanded once per count.
+    then per (group, buyer), then per group.  No row is expanded once per count.  The first
+    two stay in tasks of like size, as all orders of a buyer in a group are dealt to one.
     """
     s = t.sellers.select("seller_id", "seller_state", "seller_city")
     d = (_delivered_items_categorised(t, ["customer_unique_id", "customer_state"])
          .withColumnRenamed("customer_state", "customer_region").join(s, "seller_id", "left"))
     key = ["product_category_name", "product_category_name_english", "seller_id", "seller_state", "seller_city", "customer_region"]
     sums = [F.sum(c).alias(c) for c in ("sold_item_row_count", "__priced")] + [msum_nullable(c).alias(c) for c in ("product_gmv", "freight_value")]
+    d = dealt(d, t.order_items.count(), "seller_id", "customer_unique_id", "product_category_name")
     by_order = d.groupBy(*key, "customer_unique_id", "order_id").agg(
         F.count("*").alias("sold_item_row_count"), F.count("price").alias("__priced"),
         msum_nullable("price").alias("product_gmv"), msum_nullable("freight_value").alias("freight_value"))

@@ -383,8 +383,10 @@ def cross_sell_category_pairs(t: Tables) -> DataFrame:
     """Category pairs per delivered order.
 
     A basket has at most one row per category, so it stays small and a plain self-join will do.
+    Orders are dealt to tasks of like size, in which the rows are made distinct and joined.
     """
-    oc = _delivered_items_categorised(t).select("order_id", F.col("product_category_name_english").alias("category_a")).distinct()
+    oc = _delivered_items_categorised(t).select("order_id", F.col("product_category_name_english").alias("category_a"))
+    oc = dealt(oc, t.order_items.count(), "order_id").distinct()
     return (oc.join(oc.withColumnRenamed("category_a", "category_b"), "order_id").where("category_a < category_b")
             .groupBy("category_a", "category_b").agg(F.count("*").alias("co_purchase_order_count")))
 

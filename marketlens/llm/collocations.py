@@ -18,8 +18,9 @@ threshold by their words, so the figures are exact and those that only share a s
 others fall out.  If the table is too small for a corpus, more phrases are counted in that
 scan and the result is the same.
 
-A hot word or phrase is one number of a task's table, or one row of a task after the
-partial sums of the last scan.
+A hot word or phrase is one number of a task's table.  In the last scan a task adds up its
+arrays before it hands on phrases, packed in parts by hash; a part is added up again where
+its pieces meet, so what reaches the final sum grows with the distinct phrases.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ PARTS = 1024
 CHUNK = 1 << 20
 #: Texts that are split together.
 TEXTS = 64
+#: Phrases with their counts that a task holds in the last scan before it hands them on.
+HELD = 1 << 19
 #: Words whose hashes a task remembers.
 CACHE = 1_000_000
 #: Rows that meet in one window while the top is looked for, about, and groups that meet next.
@@ -199,15 +202,53 @@ def added(least: int, kind: str) -> Callable:
     return run
 
 
-def exact_counts(reached, bits: int) -> Callable:
-    names = [f"w{i}" for i in range(LONGEST)]
+def together(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Columns (language, words, count) with the counts of equal phrases added up, and their hashes, which they are sorted by.
 
+    Phrases with equal hashes are told apart; such ones may stay in several columns.
+    """
+    rows = np.concatenate(blocks, axis=1)
+    h = np.zeros(rows.shape[1], np.uint64)
+    for values in rows[:-1]:
+        h = (h ^ values.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    order = np.argsort(h)
+    rows, h = rows[:, order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (rows[:-1, 1:] != rows[:-1, :-1]).any(axis=0)
+    first = np.flatnonzero(new)
+    sums = np.add.reduceat(rows[-1], first) if len(first) else rows[-1]
+    rows = rows[:, first]
+    rows[-1] = sums
+    return rows, h[first]
+
+
+def packed(rows: np.ndarray, h: np.ndarray, langs: list[str], parts: int) -> Iterator[pa.RecordBatch]:
+    """A row for each part of the hashes: its number, its languages, and its phrases and counts, compressed."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    numbers = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    bounds = np.searchsorted(numbers, np.arange(parts + 1))
+    for number in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+        part = rows[:, bounds[number]:bounds[number + 1]].copy()
+        used, part[0] = np.unique(part[0], return_inverse=True)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "langs": pa.array([[langs[i] for i in used]], pa.list_(pa.string())),
+                                          "counts": pa.array([squeeze(part.tobytes())], pa.binary())})
+
+
+def exact_counts(reached, bits: int, parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of the phrases whose slots reached the threshold, by their words; absent words are 0."""
+        """Counts of the phrases whose slots reached the threshold, by their words; absent words are 0.
+
+        The arrays of a task are added up before they are handed on, in parts.
+        """
         known = unpack(reached.value)
+        langs: dict[str, int] = {}
+        held: list[np.ndarray] = []
+        n_held = 0
         for batch in batches:
             for lang, tokens in zip(batch.column("lang").to_pylist(), batch.column("tokens").to_pylist()):
                 array = np.frombuffer(tokens, "<i8")
+                number = langs.setdefault(lang, len(langs))
                 for k, at, hashed, slots, _ in phrases(lang, array, known, bits):
                     keep = known[slots] < NEVER
                     at, hashed = at[keep], hashed[keep]
@@ -218,17 +259,53 @@ def exact_counts(reached, bits: int) -> Callable:
                     for c in columns:  # phrases with equal hashes are told apart
                         new[1:] |= c[1:] != c[:-1]
                     first = np.flatnonzero(new)
-                    n = np.diff(np.append(first, len(at)))
-                    none = np.zeros(len(first), np.int64)
-                    data = [*(c[first] for c in columns), *[none] * (LONGEST - k), n]
-                    for a in range(0, len(first), 1 << 16):
-                        part = [pa.array(x[a:a + (1 << 16)]) for x in data]
-                        langs = pa.repeat(pa.scalar(lang, pa.string()), len(part[0]))
-                        yield pa.RecordBatch.from_arrays([langs, *part], ["lang", *names, "f"])
+                    found = np.zeros((LONGEST + 2, len(first)), "<i8")
+                    found[0], found[-1] = number, np.diff(np.append(first, len(at)))
+                    for i, c in enumerate(columns, 1):
+                        found[i] = c[first]
+                    held.append(found)
+                    n_held += len(first)
+                if n_held > HELD:
+                    rows, h = together(held)
+                    held, n_held = [rows], rows.shape[1]
+                    if n_held > HELD // 2:
+                        yield from packed(rows, h, list(langs), parts)
+                        langs, held, n_held = {}, [], 0
+        if n_held:
+            yield from packed(*together(held), list(langs), parts)
 
     return run
 
 
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases and their counts, added up over the parts that come in; a phrase comes again if too many are held."""
+    names = [f"w{i}" for i in range(LONGEST)]
+    langs: dict[str, int] = {}
+    held: list[np.ndarray] = []
+    n_held = 0
+
+    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        texts = pa.array(list(langs), pa.string())
+        for a in range(0, rows.shape[1], 1 << 16):
+            part = rows[:, a:a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([texts.take(pa.array(part[0])), *map(pa.array, part[1:])], ["lang", *names, "f"])
+
+    for batch in batches:
+        for known, blob in zip(batch.column("langs").to_pylist(), batch.column("counts")):
+            rows = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), "<i8").reshape(LONGEST + 2, -1).copy()
+            rows[0] = np.array([langs.setdefault(x, len(langs)) for x in known])[rows[0]]
+            held.append(rows)
+            n_held += rows.shape[1]
+            if n_held > HELD:
+                rows, _ = together(held)
+                held, n_held = [rows], rows.shape[1]
+                if n_held > HELD // 2:
+                    yield from out(rows)
+                    langs, held, n_held = {}, [], 0
+    if n_held:
+        yield from out(together(held)[0])
+
+
 def cycles(spark: SparkSession, arrays: DataFrame, shards: int, bits: int, parts: int, least: int) -> np.ndarray:
     """For each slot the step from which it was known to reach ``least``; NEVER where it did not."""
     kind = "u1" if least <= 0xFF else "<u2" if least <= 0xFFFF else "<u4"
@@ -332,7 +409,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         reached = cycles(spark, arrays, shards, bits, parts, least)
         known = spark.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(reached.tobytes()))
         places = key(LONGEST)
-        counted = arrays.select("lang", "tokens").mapInArrow(exact_counts(known, bits), "lang string, " + ", ".join(f"{w} long" for w in places) + ", f long")
+        counted = arrays.select("lang", "tokens").mapInArrow(exact_counts(known, bits, parts), "part int, langs array<string>, counts binary")
+        counted = counted.repartition("part").sortWithinPartitions("part").mapInArrow(summed, "lang string, " + ", ".join(f"{w} long" for w in places) + ", f long")
         sums = counted.groupBy("lang", *places).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
         frequent = materialise(sums.select("lang", F.filter(F.array(*places), lambda w: w != 0).alias("p"), "f"))
         known.destroy()

@@ -82,6 +82,28 @@ def test_top_is_found_in_groups(spark, monkeypatch):
     assert sorted(got) == sorted(by_hand(rows, 2, 9))
 
 
+@pytest.mark.parametrize("held", [4, 1 << 19])
+def test_last_scan_adds_up_arrays_of_a_task(spark, monkeypatch, held):
+    """A task with many arrays hands on a row per part; sums are right if they are handed on early."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import zstandard
+    monkeypatch.setattr(co, "HELD", held)
+    tokens = np.array([5, 6, 7, 0, 5, 6, 0], "<i8").tobytes()
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "fr"] * 20, "tokens": pa.array([tokens] * 40, pa.binary())})
+    reached = SimpleNamespace(value=zstandard.ZstdCompressor().compress(np.zeros(1 << 8, np.uint8).tobytes()))
+    sent = list(co.exact_counts(reached, 8, 1)(iter([batch])))
+    if held > 40:
+        assert sum(b.num_rows for b in sent) == 1 and sum(b.num_rows for b in co.summed(iter(sent))) == 12
+    got = Counter()
+    for b in co.summed(iter(sent)):
+        for r in b.to_pylist():
+            got[r["lang"], tuple(r[f"w{i}"] for i in range(4) if r[f"w{i}"])] += r["f"]
+    once = {(5,): 2, (6,): 2, (7,): 1, (5, 6): 2, (6, 7): 1, (5, 6, 7): 1}
+    assert got == {(lang, p): 20 * n for lang in ("en", "fr") for p, n in once.items()}
+
+
 def test_words_with_the_same_hash_start_anew(spark, monkeypatch):
     seen, plain = [], co.spelled
 

@@ -59,8 +59,10 @@ def try_ts(c) -> Column:
     session time zone is involved and nothing raises under ANSI mode.
     """
     s = clean_str(c)
-    whole = F.regexp_replace(s, "[.][0-9]+$", "").try_cast("timestamp_ntz")
-    up = F.when(s.rlike("[.][5-9][0-9]*$"), 1).otherwise(0)
+    # most texts have no fraction, and need no pattern for it
+    fraction = s.contains(".")
+    whole = F.when(fraction, F.regexp_replace(s, "[.][0-9]+$", "")).otherwise(s).try_cast("timestamp_ntz")
+    up = F.when(fraction & s.rlike("[.][5-9][0-9]*$"), 1).otherwise(0)
     return F.when(s.rlike(_TS_RE), F.timestamp_add("SECOND", up, whole))
 
 

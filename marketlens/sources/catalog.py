@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from marketlens.sources import schemas, testdata
 
@@ -97,10 +98,16 @@ def write_silver(tables: Tables, out_dir: str, mode: str = "overwrite") -> None:
     for t in schemas.TABLES:
         df = tables[t]
         if t == "orders":
+            # the ranges come from a sample, so orders are read twice; they are parsed once
+            parsed = df.persist(StorageLevel.DISK_ONLY)
             df = df.repartitionByRange("order_purchase_timestamp", "order_id").sortWithinPartitions("order_purchase_timestamp", "order_id")
         elif t in ORDER_KEYED:
             df = df.sortWithinPartitions("order_id")
-        df.write.mode(mode).parquet(f"{out_dir.rstrip('/')}/{t}")
+        try:
+            df.write.mode(mode).parquet(f"{out_dir.rstrip('/')}/{t}")
+        finally:
+            if t == "orders":
+                parsed.unpersist()
 
 
 #: Items in a bucket of bucketed silver.

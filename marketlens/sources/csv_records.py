@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: From inside quotes to the quote that ends the field; doubled quotes stay inside.
@@ -90,7 +90,7 @@ def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def split_states(lines: DataFrame) -> DataFrame:
-    """(file, start, inside): the state in which each split starts.
+    """(file, start, inside, open): the states in which each split starts and ends.
 
     A part of a split sets the state (both its ends are alike), swaps it, or leaves it.  The
     state is what the last part that set it says, swapped as often as parts since then say.
@@ -104,7 +104,8 @@ def split_states(lines: DataFrame) -> DataFrame:
     last = F.last(F.when(sets, F.struct(F.col("from_outside").alias("value"), "n")), ignorenulls=True).over(before)
     odd = (F.col("n") - F.coalesce("last.n", F.lit(0))) % 2 == 1
     states = parts.withColumn("last", last).withColumn("inside", F.coalesce("last.value", F.lit(False)) != odd)
-    return states.groupBy("file", "start").agg(F.min_by("inside", "nth").alias("inside"))
+    end = F.when(F.col("inside"), F.col("from_inside")).otherwise(F.col("from_outside"))
+    return states.groupBy("file", "start").agg(F.min_by("inside", "nth").alias("inside"), F.max_by(end, "nth").alias("open"))
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +158,11 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield fragment(MIDDLE if head else TAIL)
 
 
+def without_return(record: Column) -> Column:
+    """``record`` without the carriage return of its line break; a pattern is matched only where there is one."""
+    return F.when(record.contains("\r"), F.regexp_replace(record, "\r$", "")).otherwise(record)
+
+
 def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines as records, the first of each file marked."""
     now = None
@@ -177,15 +183,20 @@ def records(spark: SparkSession, path: str, breaks: bool = True) -> DataFrame:
     lines = lines_of(spark, path)
     if not breaks:
         found = lines.mapInArrow(marked, "first boolean, record string").select("first", F.lit(True).alias("closed"), "record")
-        return found.withColumn("record", F.regexp_replace("record", "\r$", "")).where("record <> ''")
+        return found.withColumn("record", without_return(F.col("record"))).where("record <> ''")
     # one row per split of a file, some million for a petabyte
-    states = F.broadcast(split_states(lines))
-    found = lines.join(states, ["file", "start"]).select("file", "start", "value", "inside").mapInArrow(pieces, "file long, start long, kind int, first boolean, record string")
-    whole = found.where(F.col("kind") == WHOLE).select("first", F.lit(True).alias("closed"), "record")
+    states = split_states(lines)
+
+    def found(states: DataFrame) -> DataFrame:
+        rows = lines.join(F.broadcast(states), ["file", "start"]).select("file", "start", "value", "inside")
+        return rows.mapInArrow(pieces, "file long, start long, kind int, first boolean, record string")
+
+    whole = found(states).where(F.col("kind") == WHOLE).select("first", F.lit(True).alias("closed"), "record")
     order = Window.partitionBy("file").orderBy("start", "kind")
     number = F.sum((F.col("kind") == TAIL).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    parts = found.where(F.col("kind") != WHOLE).withColumn("number", number)
+    # only splits that start or end inside quotes have fragments
+    parts = found(states.where("inside or open")).where(F.col("kind") != WHOLE).withColumn("number", number)
     joined = parts.groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "record"))).alias("all"), F.max("first").alias("first"),
                                                  F.max((F.col("kind") == HEAD).cast("int")).alias("closed"))
     joined = joined.select("first", (F.col("closed") == 1).alias("closed"), F.array_join("all.record", "\n").alias("record"))
-    return whole.unionByName(joined).withColumn("record", F.regexp_replace("record", "\r$", "")).where("record <> ''")
+    return whole.unionByName(joined).withColumn("record", without_return(F.col("record"))).where("record <> ''")

@@ -123,3 +123,42 @@ def test_counts_read_a_file_once(spark, tmp_path, monkeypatch):
     df = q_ingest.csv_ingest_counts(spark, "")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert [tuple(r) for r in df.collect()] == [("sellers", 2, 1)]
+
+
+def test_headers_of_written_files(spark, tmp_path):
+    """Headers are put in by Spark, one in each file that has records; a null record is an empty line."""
+    lines = spark.range(0, 40, 1, 4).where("id < 10 or id >= 20").selectExpr("if(id = 30, null, concat('s', id, ',1,a,b')) as value")
+    names = schemas.columns("sellers")
+    bronze.write_csv(lines, names, str(tmp_path / "out"))
+    files = [p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))]
+    assert [f.splitlines()[0] for f in files if f] == [",".join(names)] * 3
+    assert sum(len(f.splitlines()) - 1 for f in files if f) == 30
+    got = bronze.ingest_csv(spark, {"sellers": str(tmp_path / "out")})["sellers"]
+    assert sorted(r.seller_id for r in got.rows.collect()) == sorted(f"s{i}" for i in [*range(10), *range(20, 40)] if i != 30)
+    bronze.write_csv(lines.where("value = ''"), names, str(tmp_path / "none"))
+    assert bronze.ingest_csv(spark, {"sellers": str(tmp_path / "none")})["sellers"].rows.count() == 0
+
+
+def test_only_splits_with_open_quotes_are_read_for_fragments(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    pieces = csv_records.pieces
+
+    def counted(batches):
+        def counting():
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+        yield from pieces(counting())
+
+    monkeypatch.setattr(csv_records, "pieces", counted)
+    path = write(tmp_path / "f.csv", HEADER + "\n" + 'r1,o1,5,t,"one\ntwo",a,b\n' * 50)
+    assert bronze.ingest_csv(spark, {"order_reviews": path})["order_reviews"].rows.count() == 50
+    assert seen.value == 101
+
+
+def test_trailing_carriage_returns(spark):
+    texts = ["a", "a\r", "a\r\r", "a\rb", "\r", "", None, "a\r\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.selectExpr("t", "regexp_replace(t, '\\\\r$', '') as want").select(csv_records.without_return(df["t"]), "want").collect()
+    assert [a for a, _ in got] == [b for _, b in got]
+    assert got[1][0] == "a"

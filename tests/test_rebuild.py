@@ -114,3 +114,24 @@ def test_footer_counts_read_no_data(spark):
     plan = df._jdf.queryExecution().toString()
     assert plan.count("ReadSchema: struct<>") >= 2 and plan.count("ReadSchema: struct<") == plan.count("ReadSchema: struct<>")
     assert {r.table_name: r.row_count for r in df.collect()} == {t: spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("orders", "events")}
+
+
+def test_orders_are_parsed_once_for_their_ranges(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from marketlens.sources import catalog, schemas
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    frames = {t: spark.createDataFrame([], ", ".join(f"{n} {d.simpleString()}" for n, d, _ in schemas.SILVER_COLUMNS[t])) for t in schemas.TABLES}
+    made = spark.range(0, 300, 1, 3).select(*[F.expr({"order_id": "concat('o', id)", "order_purchase_timestamp": "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(cast(id % 7 as int))"}
+                                                     .get(n, "null")).cast(d).alias(n) for n, d, _ in schemas.SILVER_COLUMNS["orders"]])
+    frames["orders"] = made.mapInArrow(counted, made.schema)
+    catalog.write_silver(catalog.Tables(spark, frames), str(tmp_path / "silver"))
+    assert read.value == 300
+    assert spark.read.parquet(str(tmp_path / "silver" / "orders")).count() == 300
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
